@@ -139,6 +139,8 @@ def within_cutoff(results: DataFrame, cutoff: float = DISTANCE_CUTOFF) -> DataFr
 
 def search_report(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Display rows of the results: number, file, lines, place of the chunk, relevance, text."""
+    # Distances have 6 decimals, so the share is a whole number of millionths and rounds exactly.
+    millionths = F.round((1 - F.col("distance")) * 1_000_000)
     shown = results.join(chunks.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
     return shown.select(
         "query_id",
@@ -147,6 +149,6 @@ def search_report(results: DataFrame, chunks: DataFrame) -> DataFrame:
         "path",
         F.concat(F.col("start_line"), F.lit(" - "), F.col("end_line")).alias("lines"),
         F.concat(F.col("chunk_index") + 1, F.lit(" de "), F.col("total_chunks")).alias("chunk_of"),
-        F.format_string("%.2f%%", F.round((1 - F.col("distance")) * 100, 2)).alias("relevance"),
+        F.format_string("%.2f%%", F.round(millionths / 100) / 100).alias("relevance"),
         "chunk",
     )

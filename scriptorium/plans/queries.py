@@ -556,7 +556,7 @@ def stream_chunk_index(spark, sf_dir):
     """The index of the documents, built by a stream and read back."""
     run = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = tables.load(spark, sf_dir, "documents").schema.toDDL()
-    arriving = document_stream(spark, f"{sf_dir}/documents.parquet", schema)
+    arriving = document_stream(spark, sf_dir, schema, "documents.parquet")
     append_chunks(arriving.select("doc_id", "text"), f"{run}/index", f"{run}/log", "doc_id").awaitTermination()
     return spark.read.parquet(f"{run}/index")
 

@@ -42,9 +42,9 @@ def documents_acr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as a corpus of Markdown files, with an acronym defined in each."""
-    name = first_word(F.col("text"))
-    form1 = F.concat("text", F.lit(" "), name, F.lit(" ("), "role", F.lit(")"))
+    """Conversation turns as a corpus of Markdown files; each names its role as an acronym with a definition."""
+    name = F.upper("role")
+    form1 = F.concat("text", F.lit(" "), name, F.lit(" (conv "), "conv_id", F.lit(")"))
     form2 = F.concat("text", F.lit(" ("), name, F.lit(")"))
     return load(spark, sf_dir, "conversations", "conv_id").select(
         F.concat(F.lit("conv_"), "conv_id", F.lit("/turn_"), "turn", F.lit(".md")).alias("path"),

@@ -8,9 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 from scriptorium.operators.chunking import chunk_rows
 
 
-def document_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+def document_stream(
+    spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_trigger: int | None = None
+) -> DataFrame:
     """Parquet files of documents as they land in the folder."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
