@@ -27,9 +27,12 @@ def split_url(url: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """The path, without the ``;parameters`` of the last segment of a web address."""
-    scheme = F.lower(F.regexp_extract(url, URL_PATTERN, 1))
-    path = F.regexp_extract(url, URL_PATTERN, 3)
-    return F.when(scheme.isin(*HIERARCHICAL), F.regexp_replace(path, ";[^/]*$", "")).otherwise(path)
+
+    def of(parts: Column) -> Column:
+        web = parts["scheme"].isin(*HIERARCHICAL)
+        return F.when(web, F.regexp_replace(parts["path"], ";[^/]*$", "")).otherwise(parts["path"])
+
+    return let(split_url(url), of)
 
 
 def _unsplit(scheme: Column, host: Column, path: Column, query: Column, fragment: Column) -> Column:
@@ -44,15 +47,10 @@ def _unsplit(scheme: Column, host: Column, path: Column, query: Column, fragment
 
 
 def _merge_paths(base_path: Column, path: Column) -> Column:
+    """The path of a reference laid over that of its page, dot segments removed."""
     folder = F.substring(base_path, F.lit(1), F.length(base_path) - F.length(basename(base_path)))
+    rooted = F.when(folder == "", "/").otherwise(folder)
     absolute = path.startswith("/")
-    joined = F.when(absolute, path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
-    segments = F.split(joined, "/", -1)
-    count = F.size(segments)
-    # In a relative reference doubled slashes collapse; in an absolute one they stay.
-    kept = F.filter(
-        segments, lambda segment, i: absolute | (segment != "") | (i == 0) | (i == count - 1)
-    )
 
     def walk(done: Column, segment: Column) -> Column:
         return (
@@ -61,37 +59,60 @@ def _merge_paths(base_path: Column, path: Column) -> Column:
             .otherwise(F.array_append(done, segment))
         )
 
-    walked = F.aggregate(kept, F.array().cast("array<string>"), walk)
-    last = F.element_at(segments, -1)
-    closed = F.when(last.isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
-    result = F.array_join(closed, "/")
-    return F.when(result == "", "/").otherwise(result)
+    def merged(segments: Column) -> Column:
+        last = F.size(segments) - 1
+        # In a relative reference doubled slashes collapse; in an absolute one they stay.
+        kept = F.filter(segments, lambda segment, i: absolute | (segment != "") | (i == 0) | (i == last))
+        # A final dot segment leaves an empty one behind.
+        closing = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.array_join(F.concat(F.aggregate(kept, F.array().cast("array<string>"), walk), closing), "/")
+
+    joined = F.when(absolute, path).otherwise(F.concat(rooted, path))
+    return F.coalesce(F.nullif(let(F.split(joined, "/", -1), merged), F.lit("")), F.lit("/"))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """The absolute URL of ``href`` found on the page ``base`` (RFC 3986, section 5)."""
 
-    def joined(whole: Column, target: Column, base_url: Column, reference: Column) -> Column:
-        scheme = F.when(reference["scheme"] != "", reference["scheme"]).otherwise(base_url["scheme"])
-        foreign = (scheme != base_url["scheme"]) | ~scheme.isin(*HIERARCHICAL)
+    def joined(urls: Column) -> Column:
+        page, reference = urls["base"], urls["reference"]
+        scheme = F.coalesce(F.nullif(reference["scheme"], F.lit("")), page["scheme"])
         same_document = reference["path"] == ""
-        path = F.when(same_document, base_url["path"]).otherwise(_merge_paths(base_url["path"], reference["path"]))
-        query = F.when(same_document & (reference["query"] == ""), base_url["query"]).otherwise(reference["query"])
-        return (
-            F.when(target == "", whole)
-            .when(foreign, target)
-            .when(
-                reference["host"] != "",
-                _unsplit(scheme, reference["host"], reference["path"], reference["query"], reference["fragment"]),
-            )
-            .otherwise(_unsplit(scheme, base_url["host"], path, query, reference["fragment"]))
+        own_host = reference["host"] != ""
+        path = (
+            F.when(own_host, reference["path"])
+            .when(same_document, page["path"])
+            .otherwise(_merge_paths(page["path"], reference["path"]))
+        )
+        query = F.when(~own_host & same_document & (reference["query"] == ""), page["query"]).otherwise(
+            reference["query"]
+        )
+        target = F.struct(
+            scheme.alias("scheme"),
+            F.when(own_host, reference["host"]).otherwise(page["host"]).alias("host"),
+            path.alias("path"),
+            query.alias("query"),
+            reference["fragment"].alias("fragment"),
+        )
+        return let(
+            target,
+            lambda t: F.when(urls["target"] == "", urls["whole"])
+            .when((t["scheme"] != page["scheme"]) | ~t["scheme"].isin(*HIERARCHICAL), urls["target"])
+            .otherwise(_unsplit(t["scheme"], t["host"], t["path"], t["query"], t["fragment"])),
         )
 
     return let(
         F.struct(base.alias("whole"), href.alias("target")),
         lambda urls: let(
-            F.struct(split_url(urls["whole"]).alias("base"), split_url(urls["target"]).alias("reference")),
-            lambda parts: joined(urls["whole"], urls["target"], parts["base"], parts["reference"]),
+            F.struct(
+                urls["whole"].alias("whole"),
+                urls["target"].alias("target"),
+                split_url(urls["whole"]).alias("base"),
+                split_url(urls["target"]).alias("reference"),
+            ),
+            joined,
         ),
     )
 
@@ -99,8 +120,7 @@ def resolve(base: Column, href: Column) -> Column:
 def storage_path(url: Column) -> Column:
     """Where a page is stored: its path without empty segments, ``index`` for the root."""
     segments = F.filter(F.split(url_path(url), "/"), lambda segment: segment != "")
-    path = F.array_join(segments, "/")
-    return F.when(path == "", "index").otherwise(path)
+    return F.coalesce(F.nullif(F.array_join(segments, "/"), F.lit("")), F.lit("index"))
 
 
 def is_pdf(url: Column) -> Column:

@@ -1,41 +1,47 @@
-"""Vectors from text by feature hashing, in the JVM."""
+"""Vectors from text by feature hashing: the default embedder."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.constants import EMBEDDING_DIM
-from scriptorium.functions.text import let
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda token: token != "")
+def _slot(token: str, dim: int) -> tuple[int, float]:
+    """Slot and sign of a token, from the first 32 bits of its MD5."""
+    number = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big")
+    return number % dim, 1.0 if number // dim % 2 == 0 else -1.0
+
+
+def _vectorised(dim: int):
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        slot = lru_cache(maxsize=100_000)(_slot)
 
+        def vector(tokens) -> np.ndarray:
+            if tokens is None or not len(tokens):
+                return np.zeros(dim)
+            places, signs = zip(*(slot(token, dim) for token in tokens))
+            counts = np.bincount(places, weights=signs, minlength=dim)
+            norm = np.sqrt(counts @ counts)
+            return counts / norm if norm else counts
 
-def _slot(token: Column, dim: int) -> Column:
-    """Slot and sign of a token, from the first 32 bits of its MD5: ``±(slot + 1)``."""
-    number = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-    slot = F.pmod(number, F.lit(dim)) + 1
-    return F.when(F.pmod(F.floor(number / dim), F.lit(2)) == 0, slot).otherwise(-slot)
+        return texts.map(vector)
+
+    return vectors
 
 
 def hash_vector(text: Column, dim: int = EMBEDDING_DIM) -> Column:
-    """Signed token counts per slot, scaled to unit length: ``ARRAY<DOUBLE>``; all 0 without tokens."""
-
-    def count(slots: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(dim)),
-            lambda i: (
-                F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == -i))
-            ).cast("double"),
-        )
-
-    def scale(vector: Column) -> Column:
-        square = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x)
-        return let(
-            F.sqrt(square),
-            lambda norm: F.transform(vector, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm)),
-        )
-
-    return let(let(F.transform(_tokens(text), lambda token: _slot(token, dim)), count), scale)
+    """Signed token counts per slot, scaled to unit length: ``ARRAY<DOUBLE>``; all 0 without tokens.
+
+    The text is cut into tokens by built-in functions; counting runs on Arrow batches of them, as a
+    model would.
+    """
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda token: token != "")
+    return _vectorised(dim)(tokens)

@@ -245,17 +245,13 @@ def noun_run_rows(
     sentences = sentence_rows(documents, key).select(
         key, "sentence_no", tokens_of(F.col("sentence"), stop_words).alias("_tokens")
     )
-    runs = let(F.col("_tokens"), lambda tokens: noun_runs_of(tokens, tagger(tokens), lemma))
-    if not _is_builtin(tagger):
+    if hasattr(tagger, "evalType"):  # a vectorised function may not stand inside a lambda
         runs = noun_runs_of(F.col("_tokens"), tagger(F.col("_tokens")), lemma)
+    else:
+        runs = let(F.col("_tokens"), lambda tokens: noun_runs_of(tokens, tagger(tokens), lemma))
     return sentences.select(key, "sentence_no", F.posexplode(runs).alias("run_no", "term"))
 
 
-def _is_builtin(tagger: Tagger) -> bool:
-    """Vectorised functions may not stand inside a lambda."""
-    return not hasattr(tagger, "evalType")
-
-
 def lemma_by_table(runs: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace single-noun terms by a table ``(term, lemma)`` of any size."""
     single = lemmas.filter(~F.col("term").contains(" ")).select("term", "lemma")
