@@ -14,6 +14,8 @@ from scriptorium.functions.text import basename, count_newlines, let, positions,
 from scriptorium.operators.ordering import dense_ordinal, running_offset
 from scriptorium.session import checkpoint_folder
 
+# Documents whose numbers are broadcast: about 50 MB of paths and numbers.
+BROADCAST_KEYS = 500_000
 _SPANS = "array<struct<first:int,last:int,trigger:int>>"
 _PIECES = "array<struct<place:int,piece:int,text:string>>"
 _END = 2147483647
@@ -130,7 +132,7 @@ def paragraph_chunks(text: Column, chunk_size: int = CHUNK_SIZE, overlap: int =
                 ),
             ).cast(_PIECES)
 
-        merged = F.array_sort(F.concat(long_pieces, let(short_ones, short_pieces)))
+        merged = F.sort_array(F.concat(long_pieces, let(short_ones, short_pieces)))
         return F.transform(merged, lambda piece: piece["text"])
 
     numbered = F.transform(
@@ -194,9 +196,11 @@ def chunk_index_table(
     """The index: chunks with id, path, file name, positions and totals.
 
     The document number is the rank of its path. It is computed on the paths alone and joined to the
-    documents before they are cut, which Catalyst does by broadcast as long as the paths are small.
+    documents, by broadcast up to ``BROADCAST_KEYS`` documents and by a shuffle beyond.
     """
     numbers = dense_ordinal(documents, key)
+    if documents.select(key).count() <= BROADCAST_KEYS:
+        numbers = F.broadcast(numbers)
     chunks = chunk_rows(documents, key, chunk_size, overlap).join(numbers, key)
     return chunks.select(
         F.concat(F.lit("doc_"), F.col("ordinal"), F.lit("_chunk_"), F.col("chunk_index")).alias("id"),

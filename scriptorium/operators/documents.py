@@ -93,7 +93,7 @@ def document_markdown(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) ->
         "page_num",
         page_markdown(F.col("page_num"), F.col("text"), F.col("tables")).alias("_page"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("page_num", "_page")))
+    ordered = F.sort_array(F.collect_list(F.struct("page_num", "_page")))
     body = F.array_join(F.transform(ordered, lambda page: page["_page"]), "\n")
     name = F.regexp_replace(F.col("doc"), r"(.)\.[^.]*$", "$1")
     # A later part continues the text before it, so it starts with the separator.
@@ -133,11 +133,13 @@ def reading_order(boxes: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame
     )
     anchors = (
         bands.groupBy("table_id", "_band")
-        .agg(F.array_sort(F.collect_list("y")).alias("_ys"))
+        .agg(F.sort_array(F.collect_list("y")).alias("_ys"))
         .select("table_id", F.explode(F.aggregate("_ys", start, anchor)["rows"]).alias("_row"))
         .select("table_id", "_row.y", "_row.anchor")
         .withColumn("row_no", F.dense_rank().over(Window.partitionBy("table_id").orderBy("anchor")) - 1)
         .drop("anchor")
+        # Read by two joins below; as one named exchange it is computed once.
+        .repartition("table_id", "y")
     )
     placed = boxes.join(anchors, ["table_id", "y"])
     at_x = placed.groupBy("table_id", "row_no", "x").agg(F.count("*").alias("_n"))

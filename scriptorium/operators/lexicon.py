@@ -126,14 +126,25 @@ def acronym_dictionary(documents: DataFrame, key: str = "path", parts: int | Non
     parts = parts or posting_parts(documents.select(key))
     found = acronym_definitions(documents, key).withColumn("part", part_of(F.col(key), parts))
     by_part = found.groupBy("acronym", "part").agg(
-        F.array_sort(F.collect_list(key)).alias("files"),
+        F.sort_array(F.collect_list(key)).alias("files"),
         F.min_by("definition", key).alias("_definition"),
         F.min(key).alias("_first"),
     )
     totals = by_part.groupBy("acronym").agg(
-        F.min_by("_definition", "_first").alias("definition"), F.sum(F.size("files")).alias("n_files")
+        F.min_by("_definition", "_first").alias("definition"),
+        F.min("_first").alias("_first_of_all"),
+        F.sum(F.size("files")).alias("n_files"),
+    )
+    # Both sides of the join read the same columns, so that the parts are shuffled once and reused: the
+    # part of the first document takes its own definition, which is that of the totals.
+    own = F.col("_first") == F.col("_first_of_all")
+    return by_part.join(totals, "acronym").select(
+        "acronym",
+        "part",
+        F.when(own, F.col("_definition")).otherwise(F.col("definition")).alias("definition"),
+        "n_files",
+        "files",
     )
-    return by_part.join(totals, "acronym").select("acronym", "part", "definition", "n_files", "files")
 
 
 # Terms
@@ -277,11 +288,13 @@ def term_dictionary(
     by_part = (
         per_document.withColumn("part", part_of(F.col(key), parts))
         .groupBy("term", "part")
-        .agg(F.array_sort(F.collect_list(key)).alias("files"), F.sum("_n").alias("_occurrences"))
+        .agg(F.sort_array(F.collect_list(key)).alias("files"), F.sum("_n").alias("_occurrences"))
     )
     totals = (
         by_part.groupBy("term")
         .agg(F.sum("_occurrences").alias("occurrences"), F.sum(F.size("files")).alias("n_files"))
         .filter(F.col("occurrences") >= min_occurrences)
     )
-    return by_part.join(totals, "term").select("term", "part", "occurrences", "n_files", "files")
+    # As above: naming the occurrences of the part, never more than all, keeps both sides alike.
+    occurrences = F.greatest("occurrences", "_occurrences").alias("occurrences")
+    return by_part.join(totals, "term").select("term", "part", occurrences, "n_files", "files")

@@ -18,9 +18,10 @@ def _range_bounds(keys: DataFrame, key: str) -> list:
     sample = (
         keys.select(key).distinct().orderBy(F.xxhash64(key), F.col(key)).limit(SAMPLE_KEYS).collect()
     )
+    if len(sample) < SAMPLE_KEYS:
+        return []
     ordered = sorted(row[0] for row in sample)
-    ranges = max(1, min(MAX_RANGES, len(ordered) // 8))
-    return [ordered[len(ordered) * i // ranges] for i in range(1, ranges)]
+    return [ordered[len(ordered) * i // MAX_RANGES] for i in range(1, MAX_RANGES)]
 
 
 def _range_of(key: Column, bounds: list) -> Column:

@@ -40,7 +40,7 @@ def context_assembly(
         "chunk",
     )
     near = F.when(F.col("distance") < cutoff, F.struct("rank", part.alias("part")))
-    gathered = found.groupBy("query_id").agg(F.array_sort(F.collect_list(near)).alias("_parts"))
+    gathered = found.groupBy("query_id").agg(F.sort_array(F.collect_list(near)).alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda item: item["part"]), "\n\n")
     return questions.join(gathered, "query_id", "left").select(
         "query_id",

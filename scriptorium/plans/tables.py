@@ -67,7 +67,7 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as cell boxes: one table per order."""
-    return load(spark, sf_dir, "lineitem").select(
+    return load(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("table_id"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("box_id"),
         (F.col("l_linenumber") - 1).alias("place"),

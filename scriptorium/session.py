@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Small results are cut by hand-sized tasks too: what follows a shuffle here is often heavy per row.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Lists are collected for very many small groups; hashing them beats sorting for longer than by default.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows can be whole documents, so Arrow batches are bounded in bytes as well as in rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
@@ -22,6 +24,13 @@ SQL_SETTINGS = {
 }
 
 
+# To be given when a session is created; they cannot be changed later.
+STATIC_SETTINGS = {
+    # Long expressions are built from many small columns; recording the call site of each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to a running session."""
     for key, value in SQL_SETTINGS.items():

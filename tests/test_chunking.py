@@ -89,7 +89,7 @@ def test_sources_by_position(spark):
 
 def test_positions_over_many_ranges(spark):
     rng = random.Random(5)
-    keys = list({f"{rng.choice('abñ日')}{rng.random()}" for _ in range(3000)})
+    keys = list({f"{rng.choice('abñ日')}{rng.random()}" for _ in range(9000)})
     weights = {key: rng.randrange(4) for key in keys}
     frame = spark.createDataFrame([(k, weights[k]) for k in keys], "k string, w bigint").repartition(7)
     ordinal = {r.k: r.ordinal for r in dense_ordinal(frame, "k").collect()}
