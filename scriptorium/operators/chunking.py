@@ -199,6 +199,7 @@ def chunk_index_table(
     documents, by broadcast up to ``BROADCAST_KEYS`` documents and by a shuffle beyond.
     """
     numbers = dense_ordinal(documents, key)
+    # The documents are counted, not the numbers: that reads no column.
     if documents.select(key).count() <= BROADCAST_KEYS:
         numbers = F.broadcast(numbers)
     chunks = chunk_rows(documents, key, chunk_size, overlap).join(numbers, key)

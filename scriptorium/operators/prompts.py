@@ -20,6 +20,7 @@ from scriptorium.constants import (
     SOURCE_UNKNOWN,
     TEMPERATURE,
 )
+from scriptorium.operators.retrieval import with_chunks
 
 
 def context_assembly(
@@ -30,7 +31,7 @@ def context_assembly(
     ``results`` is ``(query_id, rank, id, distance)``, ``chunks`` is ``(id, source, chunk)``. A group holds
     the top results of one question, so its size is k. The number shown is the rank before the cut-off.
     """
-    found = results.join(chunks, "id")
+    found = with_chunks(results, chunks)
     part = F.concat(
         F.lit("[Fragmento "),
         "rank",

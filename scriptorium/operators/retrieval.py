@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from scriptorium.constants import DISTANCE_CUTOFF, TOP_K
 from scriptorium.functions.vectors import hash_vector
-from scriptorium.session import checkpoint_folder
+from scriptorium.session import broadcast_if_small, checkpoint_folder
 
 Embedder = Callable[[Column], Column]
 
 # Bytes of question vectors in one broadcast; more questions go in several passes over the corpus.
 QUESTION_BYTES = 32 * 1024 * 1024
+# Results that are broadcast to the chunks they name; more are joined by a shuffle.
+BROADCAST_RESULTS = 500_000
 # Distances computed at once in a task: questions of a block times vectors of a batch.
 BLOCK_CELLS = 4_000_000
 DECIMALS = 6
@@ -137,12 +139,21 @@ def within_cutoff(results: DataFrame, cutoff: float = DISTANCE_CUTOFF) -> DataFr
     return results.filter(F.col("distance") < cutoff)
 
 
+def with_chunks(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The results with the columns of the chunks they name.
+
+    Results are few and chunks are many: the search runs once and its rows go to the chunks, so that the
+    index is read in place and not shuffled.
+    """
+    checkpoint_folder(results.sparkSession)
+    return chunks.join(broadcast_if_small(results.checkpoint(), BROADCAST_RESULTS), "id")
+
+
 def search_report(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Display rows of the results: number, file, lines, place of the chunk, relevance, text."""
     # Distances have 6 decimals, so the share is a whole number of millionths and rounds exactly.
     millionths = F.round((1 - F.col("distance")) * 1_000_000)
-    shown = results.join(chunks.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
-    return shown.select(
+    return with_chunks(results, chunks).select(
         "query_id",
         F.col("rank").alias("result_no"),
         "filename",

@@ -399,7 +399,7 @@ ORACLES: dict[str, str] = {
     "semantic_search": f"WITH {SEARCH} SELECT query_id, rank, id, distance FROM {knn(5, COSINE, 'corpus', 'asked')}",
     "knn_cosine": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, COSINE, 'own', 'own')}",
     "knn_l2": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(3, SQUARED, 'own', 'own')}",
-    "knn_cutoff": f"WITH {SEARCH} SELECT query_id, rank, id, distance FROM {knn(5, SQUARED, 'corpus', 'asked')} WHERE distance < 1.5",
+    "knn_cutoff": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, SQUARED, 'own', 'own')} WHERE distance < 1.5",
     "search_report": f"""WITH {SEARCH}, found AS {knn(5, COSINE, 'corpus', 'asked')}
       SELECT query_id, rank AS result_no, filename, path, start_line || ' - ' || end_line AS lines,
       (chunk_index + 1) || ' de ' || total_chunks AS chunk_of,

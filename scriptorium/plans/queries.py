@@ -500,7 +500,7 @@ def knn_l2(spark, sf_dir):
 
 @query
 def knn_cutoff(spark, sf_dir):
-    return retrieval.within_cutoff(_search(spark, sf_dir, "l2")[2], DISTANCE_CUTOFF)
+    return retrieval.within_cutoff(_self_search(spark, sf_dir, TOP_K, "l2"), DISTANCE_CUTOFF)
 
 
 @query

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SQL_SETTINGS = {
     # AQE splits the partitions of hot join keys; forced, so that it also splits them when a later
@@ -51,3 +52,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-"))
         current = context.getCheckpointDir()
     return named or current
+
+
+def broadcast_if_small(rows: DataFrame, limit: int) -> DataFrame:
+    """Mark a table for broadcast if it has at most ``limit`` rows; otherwise leave the join to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
