@@ -15,9 +15,7 @@ MAX_RANGES = 512
 
 
 def _range_bounds(keys: DataFrame, key: str) -> list:
-    sample = (
-        keys.select(key).distinct().orderBy(F.xxhash64(key), F.col(key)).limit(SAMPLE_KEYS).collect()
-    )
+    sample = keys.select(key).orderBy(F.xxhash64(key), F.col(key)).limit(SAMPLE_KEYS).collect()
     if len(sample) < SAMPLE_KEYS:
         return []
     ordered = sorted(row[0] for row in sample)
@@ -30,9 +28,10 @@ def _range_of(key: Column, bounds: list) -> Column:
     return F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds]), lambda bound: bound <= key))
 
 
-def running_offset(df: DataFrame, key: str, weight: str, out: str) -> DataFrame:
+def running_offset(df: DataFrame, key: str, weight: str, out: str, bounds: list | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows with a smaller ``key``. Keys are unique."""
-    ranged = df.withColumn("_range", _range_of(F.col(key), _range_bounds(df, key)))
+    bounds = _range_bounds(df, key) if bounds is None else bounds
+    ranged = df.withColumn("_range", _range_of(F.col(key), bounds))
     totals = ranged.groupBy("_range").agg(F.sum(weight).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
@@ -48,4 +47,4 @@ def running_offset(df: DataFrame, key: str, weight: str, out: str) -> DataFrame:
 def dense_ordinal(keys: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
     """Number the distinct keys 0, 1, 2, ... in key order: ``(key, out)``."""
     unit = keys.select(key).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    return running_offset(unit, key, "_one", out).select(key, out)
+    return running_offset(unit, key, "_one", out, _range_bounds(keys, key)).select(key, out)

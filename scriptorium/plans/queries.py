@@ -535,7 +535,7 @@ def parse_responses(spark, sf_dir):
     """Conversation turns as answers of a model: good, without choices, not JSON, failed."""
     message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
     good = F.to_json(F.struct(F.array(message).alias("choices")))
-    responses = tables.load(spark, sf_dir, "conversations", "conv_id").select(
+    responses = tables.load(spark, sf_dir, "conversations", "conv_id", "turn").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.when(F.col("role") == "system", 500).otherwise(200).alias("status"),
         F.lit("Internal Server Error").alias("reason"),

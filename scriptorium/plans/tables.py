@@ -9,13 +9,13 @@ from scriptorium.operators.pages import extract_links
 from scriptorium.session import configure
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A table. One that lies in fewer files than there are cores may be spread over them by a key."""
+def load(spark: SparkSession, sf_dir: str, name: str, *spread_by: str) -> DataFrame:
+    """A table. One that is read in fewer tasks than there are cores may be spread over them by its key."""
     configure(spark)
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(table.inputFiles()) < cores:
-        table = table.repartition(cores, spread_by)
+    if spread_by and table.rdd.getNumPartitions() < cores:
+        table = table.repartition(cores, *spread_by)
     return table
 
 
@@ -46,7 +46,7 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.upper("role")
     form1 = F.concat("text", F.lit(" "), name, F.lit(" (conv "), "conv_id", F.lit(")"))
     form2 = F.concat("text", F.lit(" ("), name, F.lit(")"))
-    return load(spark, sf_dir, "conversations", "conv_id").select(
+    return load(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.concat(F.lit("conv_"), "conv_id", F.lit("/turn_"), "turn", F.lit(".md")).alias("path"),
         F.when(F.col("role") == "user", form1).otherwise(form2).alias("text"),
     )
@@ -67,7 +67,7 @@ def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as cell boxes: one table per order."""
-    return load(spark, sf_dir, "lineitem", "l_orderkey").select(
+    return load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(
         F.col("l_orderkey").alias("table_id"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("box_id"),
         (F.col("l_linenumber") - 1).alias("place"),
@@ -81,7 +81,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as ragged tables: lines as rows, sentences as cells."""
     rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\. "))
-    return load(spark, sf_dir, "conversations", "conv_id").select("conv_id", "turn", "role", "text", rows.alias("rows"))
+    return load(spark, sf_dir, "conversations", "conv_id", "turn").select("conv_id", "turn", "role", "text", rows.alias("rows"))
 
 
 def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
