@@ -23,14 +23,16 @@ def _range_bounds(keys: DataFrame, key: str) -> list:
 
 
 def _range_of(key: Column, bounds: list) -> Column:
-    if not bounds:
-        return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds]), lambda bound: bound <= key))
 
 
 def running_offset(df: DataFrame, key: str, weight: str, out: str, bounds: list | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows with a smaller ``key``. Keys are unique."""
     bounds = _range_bounds(df, key) if bounds is None else bounds
+    if not bounds:
+        # Fewer keys than one sample: one range, which needs no offset.
+        everything = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(everything), F.lit(0)))
     ranged = df.withColumn("_range", _range_of(F.col(key), bounds))
     totals = ranged.groupBy("_range").agg(F.sum(weight).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
