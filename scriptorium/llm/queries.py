@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe
+from scriptorium.llm import bpe, token_counts
 from scriptorium.llm.common import table
 
 
@@ -21,7 +21,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and whether they go beyond a context of 2,048."""
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id")
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
