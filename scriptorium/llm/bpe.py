@@ -35,8 +35,8 @@ class TreeEncoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self._short = Memo(self.greedy, 200_000)
-        self._fits = Memo(lambda pair: self._window(pair[0] + pair[1]) == list(pair), 200_000)
+        self._short = Memo(self.greedy, 60_000)
+        self._fits = Memo(lambda pair: self._window(pair[0] + pair[1]) == list(pair), 60_000)
 
     def _window(self, data: bytes) -> list[bytes]:
         return self._short[data] if len(data) <= SHORT else self.greedy(data)
@@ -122,8 +122,8 @@ class TextEncoder:
         self.tree = TreeEncoder(ranks)
         self._id = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self._matches = regex.compile(pattern).findall
-        self._matched = Memo(self._match, 100_000)
-        self._pieces = Memo(self._piece, 400_000)
+        self._matched = Memo(self._match, 50_000)
+        self._pieces = Memo(self._piece, 250_000)
         self._cut = re.compile(r"(?<=\S) (?=\S)").split
         self._rare_space = re.compile(r"[^\S\x00-\x7f]").search
 
@@ -183,23 +183,32 @@ def _default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, key: str, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``(key, ids array<int>)``: the tokens of every whole text.
+def _ids_array(data: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
+
+
+def encode(docs: DataFrame, key: str, text: str = "text", path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """``(key, ids array<int>)``: the tokens of every whole text; with ``decoded`` also their bytes, decoded from the ids.
 
     ``path``: a file of ranks, one base64 token and its rank per line. A null text is empty and has no tokens.
-    A row of any key, null or repeated, gives one row. No shuffle; a task holds one batch of rows.
+    A row of any key, null or repeated, gives one row; other columns are not read. No shuffle; a task holds one
+    batch of rows. Decoding in the same pass saves moving the ids to a second Python worker.
     """
     path, pattern = resource(path, RANKS), pattern or _default_pattern()
 
     def work(batch):
         encoder = _encoder(path, pattern)
         data = [encoder.ids(t) for t in text_list(batch.column(1))]
-        offsets = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype("int32")
-        values = pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["key", "ids"])
+        columns = {"key": batch.column(0), "ids": _ids_array(data)}
+        if decoded:
+            vocabulary = _vocabulary(path)
+            columns["decoded"] = pa.array([decode_tree(np.frombuffer(d, "<i4").tolist(), vocabulary) for d in data], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(per_batch(work), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return rows.mapInArrow(per_batch(work), f"key {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:

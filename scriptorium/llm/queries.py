@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, token_counts
+from scriptorium.llm import bpe, quality_rules, token_counts
 from scriptorium.llm.common import table
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the tokens and of the decoded bytes of every document."""
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", decoded=True)
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return tokens.select(
         "doc_id",
@@ -27,8 +27,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' statistics of every document, and whether it is kept."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
