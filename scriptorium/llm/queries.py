@@ -5,8 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, quality_rules, token_counts
-from scriptorium.llm.common import table
+from scriptorium.llm import bpe, chat_format, quality_rules, token_counts
+from scriptorium.llm.common import checkpointed, table
+
+
+#: A conversation whose texts look like the marks of a common template.
+MARKS_AS_TEXT = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the formatted conversations."""
+    columns = ("conv_id", "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(spark.sql(MARKS_AS_TEXT))
+    made = chat_format.format_chats(turns)
+    read = made.select(
+        "conv_id",
+        chat_format.read_turns(F.col("formatted")).alias("turns"),
+        chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(written.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +55,33 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' statistics of every document, and whether it is kept."""
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    measured = quality_rules.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    judged = quality_rules.decide(checkpointed(measured))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": """
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL
+          SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+        s AS (
+          SELECT *, role IS DISTINCT FROM lag(role) OVER w AS fresh, role IS DISTINCT FROM lead(role) OVER w AS last,
+                 regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS e_role, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS e_text
+          FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length(e_text) + CASE WHEN fresh THEN length('<|block|><|text|>') + length(e_role) ELSE length('<|more|>') END
+                   + CASE WHEN last THEN length('<|end|>') + 1 ELSE 0 END)::BIGINT AS formatted_chars
+        FROM s GROUP BY conv_id
+    """,
+}
