@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, quality_rules, token_counts
+from scriptorium.llm import bpe, chat_format, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
@@ -47,6 +47,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash fingerprint of every document and its component at two bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, and whether they go beyond a context of 2,048."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id")
@@ -63,6 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
