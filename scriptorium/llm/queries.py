@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, quality_rules, simhash, token_counts
+from scriptorium.llm import bpe, chat_format, packing, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
@@ -35,6 +35,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2,048 tokens."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the tokens and of the decoded bytes of every document."""
     tokens = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", decoded=True)
@@ -68,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
