@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, packing, quality_rules, simhash, token_counts
+from scriptorium.llm import bpe, chat_format, packing, quality_classifier, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that a document is of good quality."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
 #: A conversation whose texts look like the marks of a common template.
 MARKS_AS_TEXT = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
@@ -72,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
