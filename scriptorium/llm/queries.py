@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, packing, quality_classifier, quality_rules, simhash, token_counts
+from scriptorium.llm import bpe, chat_format, edit_fingerprint, packing, quality_classifier, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
@@ -40,6 +40,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to each other and to the next document's."""
+    return edit_fingerprint.edited_by_next(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2,048 tokens."""
     return packing.packed_documents(table(spark, sf_dir, "documents"), "doc_id")
@@ -79,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
+    "op3_edit_fingerprint": op3_edit_fingerprint,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
