@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, edit_fingerprint, packing, quality_classifier, quality_rules, simhash, token_counts
+from scriptorium.llm import bpe, chat_format, edit_fingerprint, gated_lm, packing, quality_classifier, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
@@ -62,6 +62,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-likelihood of every document under a gated recurrent model, and under single words."""
+    return gated_lm.score(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash fingerprint of every document and its component at two bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", width=3, radius=2)
@@ -87,6 +92,7 @@ QUERIES = {
     "op3_edit_fingerprint": op3_edit_fingerprint,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_gated_lm": op6_gated_lm,
     "op7_simhash": op7_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
