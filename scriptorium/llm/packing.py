@@ -10,7 +10,7 @@ then get their number within their length, and with it their place in the plan.
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -26,6 +26,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 2048
 #: Id that ends every document.
 END_ID = 0
+#: Pieces of text whose ids are remembered, and as many from before.
+REMEMBERED = 500_000
 #: Groups that the pieces of one length are numbered in.
 GROUPS = 64
 
@@ -46,6 +48,7 @@ class TextTokenizer:
         self._library.no_truncation()
         self._library.no_padding()
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._cut = re.compile(r"(?<=\S) (?=\S)").split
         self._rare_space = re.compile(r"[^\S\x00-\x7f]").search
 
@@ -56,16 +59,31 @@ class TextTokenizer:
         pieces = text.split(" ") if plain else self._cut(text)
         return [pieces[0], *[" " + piece for piece in pieces[1:]]]
 
-    def ids(self, texts: list[str], limit: int = 400_000) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(text) for text in texts]
-        if len(self._known) > limit:
-            self._known = {}
-        new = list({piece for pieces in cut for piece in pieces if piece not in self._known})
+        if len(self._known) > REMEMBERED:
+            self._old, self._known = self._known, {}
+        known, old, marked, ask = self._known, self._old, [], {}
+        for piece in {piece for pieces in cut for piece in pieces if piece not in known}:
+            # A comma or full stop after a letter is a token of its own; what stands before it may be known.
+            body = piece[:-1] if piece[-1:] in ",." and piece[-2:-1].isalpha() else piece
+            if body is not piece:
+                marked.append(piece)
+            if body not in known:
+                if body in old:
+                    known[body] = old[body]
+                else:
+                    ask[body] = None
+        if marked:
+            ask.update((mark, None) for mark in ",." if mark not in known)
+        new = list(ask)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for piece, encoding in zip(part, self._library.encode_batch(part, add_special_tokens=False), strict=True):
-                self._known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        return [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
+                known[piece] = array("I", encoding.ids).tobytes()
+        for piece in marked:
+            known[piece] = known[piece[:-1]] + known[piece[-1]]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 @lru_cache(2)
