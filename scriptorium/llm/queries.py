@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, edit_fingerprint, gated_lm, packing, quality_classifier, quality_rules, simhash, token_counts
+from scriptorium.llm import bpe, chat_format, edit_fingerprint, gated_lm, licenses, packing, quality_classifier, quality_rules, simhash, token_counts
 from scriptorium.llm.common import checkpointed, table
 
 
@@ -73,6 +73,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences named in each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, and whether they go beyond a context of 2,048."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), "doc_id")
@@ -94,10 +99,30 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_gated_lm": op6_gated_lm,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
+def _template_values() -> str:
+    rows = [(name, licenses.bigrams_of(body)) for name, body in licenses.TEMPLATES]
+    return ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in rows)
+
+
 ORACLES: dict[str, str] = {
+    "op8_licenses": f"""
+        WITH t(license, grams) AS (VALUES {_template_values()}),
+        d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents),
+        g AS (SELECT doc_id, x, regexp_split_to_array(x, '\\n *\\n[ \\n]*') AS p FROM d),
+        parts AS (
+          SELECT doc_id, unnest(list_concat(string_split(x, chr(10)), list_filter(p, lambda y: contains(y, chr(10))), CASE WHEN len(p) > 1 THEN [x] ELSE [] END)) AS part
+          FROM g),
+        words AS (SELECT doc_id, row_number() OVER () AS part, list_filter(regexp_split_to_array(part, '[ \\n]+'), lambda y: y <> '') AS w FROM parts),
+        grams AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+        dice AS (
+          SELECT doc_id, part, license, max(2.0::DOUBLE * len(list_intersect(b, grams)) / (len(b) + len(grams))) AS dice
+          FROM grams, t WHERE len(list_intersect(b, grams)) > 0 GROUP BY ALL)
+        SELECT doc_id, license, count(*) AS n_parts, max(dice) AS dice FROM dice WHERE dice >= {licenses.LEAST} GROUP BY ALL
+    """,
     "op2_chat_format": """
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
