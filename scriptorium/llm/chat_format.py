@@ -19,7 +19,7 @@ LEARNT = "assistant"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\\\$1|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
 def unescaped(text: Column) -> Column:
