@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, stats: str = "stats", label: str = "label") -> Mode
     """A model from rows of statistics and labels 0 or 1 (means between them are allowed). ``labelled`` is read three times.
 
     What reaches the driver is bounded by the number of statistics, features and bins. Rows without a label
-    are left out; with no rows, or rows of one class only, every score is the mean label, or one half.
+    are left out; with no rows to fit, or rows of one class only, every score is the mean label, or one half.
     """
     rows = labelled.select(F.col(stats).alias("stats"), F.col(label).cast("double").alias("label")).filter("stats IS NOT NULL AND label IS NOT NULL")
     rows = rows.withColumn("calibrates", F.pmod(F.xxhash64("stats"), F.lit(CALIBRATE)) == 0)
@@ -162,7 +162,10 @@ def fit(labelled: DataFrame, stats: str = "stats", label: str = "label") -> Mode
 
     schema = "i int, row binary"
     added = rows.filter(~F.col("calibrates")).select("stats", "label").mapInArrow(sums, schema).groupBy("i").applyInArrow(add, schema)
-    moment = np.stack([np.frombuffer(row["row"], "<i8") for row in sorted(added.collect(), key=lambda r: r["i"])]).astype("float64") / GRID**2
+    found = sorted(added.collect(), key=lambda r: r["i"])
+    if not found:
+        return model
+    moment = np.stack([np.frombuffer(row["row"], "<i8") for row in found]).astype("float64") / GRID**2
     gram, right = moment[:-1, :-1], moment[:-1, -1]
     count = max(gram[-1, -1], 1.0)
     model.weights = np.linalg.solve(gram / count + RIDGE * np.eye(size - 1), right / count) / GRID

@@ -289,7 +289,7 @@ def test_edit_likeness_follows_the_edit_distance(spark):
 
     prints = edit_fingerprint.fingerprints_of(base)
     mean = lambda p: np.mean([edit_fingerprint.likeness_of(a, b) for a, b in zip(prints, edit_fingerprint.fingerprints_of([edited(t, p) for t in base]), strict=True)])
-    assert mean(0) == 1 and mean(0.002) > 0.9 > mean(0.05) > 0.15
+    assert mean(0) == 1 and mean(0.002) > 0.8 > mean(0.05) > 0.15
     assert np.mean([edit_fingerprint.likeness_of(a, b) for a, b in zip(prints, prints[1:], strict=False)]) < 0.15
     near = edit_fingerprint.fingerprints_of([edited(t, 0.001) for t in base])
     rows = spark.createDataFrame([*enumerate(prints), *enumerate(near, 100)], "doc_id bigint, fingerprint string")
