@@ -103,16 +103,3 @@ PLURAL_RULES = (
     ("sses", "ss"),
 )
 NOT_PLURAL = ("ss", "us", "is")
-
-# HTML entities decoded in page text: (entity, character); the ampersand is decoded last.
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-)

@@ -22,10 +22,15 @@ HREF_AROUND = r"""(?is)^(<a\s(?:[^>]*?\s)?href\s*=\s*)(?:"[^"]*"|'[^']*'|[^\s"'>
 # (pattern, replacement) in order of application; replacements use $n.
 HTML_RULES = (
     (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<(?:script|style|head)\b.*?</(?:script|style|head)\s*>", ""),
+    # Each element up to its own end; code may hold the ends of others, so it goes first.
+    (r"(?is)<script\b.*?</script\s*>", ""),
+    (r"(?is)<style\b.*?</style\s*>", ""),
+    (r"(?is)<head\b.*?</head\s*>", ""),
     (r"(?is)<!doctype[^>]*>", ""),
     (r"[ \t\r\n]+", " "),
-    (r'(?i)<a\s(?:[^>]*?\s)?href\s*=\s*"([^">]*)"[^>]*>([^<]*)</a\s*>', "[$2]($1)"),
+    (r'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^">]*)"[^>]*>(.*?)</a\s*>', "[$2]($1)"),
+    (r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*'([^'>]*)'[^>]*>(.*?)</a\s*>", "[$2]($1)"),
+    (r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*([^\s"'>]+)[^>]*>(.*?)</a\s*>""", "[$2]($1)"),
     (r"(?i)<h1\b[^>]*>", "\n\n# "),
     (r"(?i)<h2\b[^>]*>", "\n\n## "),
     (r"(?i)<h3\b[^>]*>", "\n\n### "),

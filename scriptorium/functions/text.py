@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.constants import ENTITIES, SPACE, SPACE_CHARACTERS
+from scriptorium.constants import SPACE, SPACE_CHARACTERS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,10 +35,28 @@ def count_newlines(text: Column) -> Column:
     return F.size(F.split(text, "\n")) - 1
 
 
+#: All named character references of HTML, as the standard library lists them.
+_NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
+_REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
 def decode_entities(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Named and numeric character references as characters, each decoded once; unknown ones stay."""
+
+    def character(name: Column) -> Column:
+        digits = F.when(name.rlike("^#[0-9]"), F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16))
+        digits = digits.when(name.startswith("#"), F.substring(name, F.lit(3), F.length(name)))
+        numeric = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.when(name.startswith("#"), numeric).otherwise(F.element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name))
+
+    def piece(each: Column, i: Column) -> Column:
+        def decoded(name: Column) -> Column:
+            return F.when(name != "", F.concat(character(name), F.substring(each, F.length(name) + 2, F.length(each))))
+
+        found = let(F.regexp_extract(each, _REFERENCE, 1), decoded)
+        return F.when(i == 0, each).otherwise(F.coalesce(found, F.concat(F.lit("&"), each)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
 
 def basename(path: Column) -> Column:

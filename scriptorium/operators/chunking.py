@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.constants import CHUNK_OVERLAP, CHUNK_SIZE, SOURCE_FALLBACK
-from scriptorium.functions.splitting import split_recursively
-from scriptorium.functions.text import basename, count_newlines, let, positions, strip, words
+from scriptorium.functions.splitting import first_lines, split_recursively
+from scriptorium.functions.text import basename, let, positions, strip, words
 from scriptorium.operators.ordering import dense_ordinal, running_offset
 from scriptorium.session import checkpoint_folder
 
-# Documents whose numbers are broadcast: about 50 MB of paths and numbers.
-BROADCAST_KEYS = 500_000
 _SPANS = "array<struct<first:int,last:int,trigger:int>>"
 _PIECES = "array<struct<place:int,piece:int,text:string>>"
 _END = 2147483647
@@ -141,20 +139,22 @@ def paragraph_chunks(text: Column, chunk_size: int = CHUNK_SIZE, overlap: int =
     return let(numbered, build)
 
 
-def line_span(text: Column, chunk: Column) -> Column:
-    """First and last line of the first occurrence of ``chunk``, counted from 1; ``(0, 0)`` without one."""
-
-    def lines(at: Column) -> Column:
-        before = F.when(at == 0, -1).otherwise(count_newlines(F.substring(text, F.lit(1), at - 1)))
-        return let(
-            before,
-            lambda count: F.struct(
-                (count + 1).cast("int").alias("start_line"),
-                F.when(count < 0, 0).otherwise(count + 1 + count_newlines(chunk)).cast("int").alias("end_line"),
-            ),
-        )
+def line_spans(texts: Column, chunks: Column) -> Column:
+    """Of each chunk the first and last line of its first occurrence, counted from 1; ``(0, 0)`` without one.
+
+    All chunks of a text are searched at once, in time linear in the text.
+    """
+
+    @F.pandas_udf("array<struct<start_line:int,end_line:int>>")
+    def locate(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else first_lines(t or "", list(c)) for t, c in zip(texts, chunks, strict=True)], dtype=object)
 
-    return let(F.instr(text, chunk), lines)
+    return locate(texts, chunks)
+
+
+def line_span(text: Column, chunk: Column) -> Column:
+    """First and last line of the first occurrence of one chunk."""
+    return F.get(line_spans(text, F.array(chunk)), F.lit(0))
 
 
 def chunk_rows(
@@ -162,25 +162,22 @@ def chunk_rows(
     key: str = "path",
     chunk_size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    keep: bool = False,
 ) -> DataFrame:
-    """One row per chunk: ``(key, chunk_index, total_chunks, chunk, start_line, end_line)``.
+    """One row per chunk, with ``keep`` also the document's other columns: ``(key, chunk_index, total_chunks, chunk, start_line, end_line)``.
 
     Row-local: the positions are found before the explode, so a text is never copied per chunk.
     """
-    located = let(
-        paragraph_chunks(F.col("text"), chunk_size, overlap),
-        lambda chunks: F.transform(
-            chunks,
-            lambda chunk: F.struct(
-                chunk.alias("chunk"), F.size(chunks).alias("total_chunks"), line_span(F.col("text"), chunk).alias("lines")
-            ),
-        ),
-    )
-    exploded = documents.select(key, F.posexplode(located).alias("chunk_index", "_item"))
+    others = [name for name in documents.columns if name not in (key, "text")] if keep else []
+    cut = documents.select(key, *others, "text", paragraph_chunks(F.col("text"), chunk_size, overlap).alias("_chunks"))
+    located = cut.select(key, *others, "_chunks", line_spans(F.col("text"), F.col("_chunks")).alias("_lines"))
+    zipped = F.arrays_zip(F.col("_chunks").alias("chunk"), F.col("_lines").alias("lines"))
+    exploded = located.select(key, *others, F.size("_chunks").alias("total_chunks"), F.posexplode(zipped).alias("chunk_index", "_item"))
     return exploded.select(
         key,
+        *others,
         "chunk_index",
-        F.col("_item.total_chunks").alias("total_chunks"),
+        "total_chunks",
         F.col("_item.chunk").alias("chunk"),
         F.col("_item.lines.start_line").alias("start_line"),
         F.col("_item.lines.end_line").alias("end_line"),
@@ -196,13 +193,11 @@ def chunk_index_table(
     """The index: chunks with id, path, file name, positions and totals.
 
     The document number is the rank of its path. It is computed on the paths alone and joined to the
-    documents, by broadcast up to ``BROADCAST_KEYS`` documents and by a shuffle beyond.
+    documents before they are cut, so that chunks, which overlap, are never shuffled.
     """
     numbers = dense_ordinal(documents, key)
-    # The documents are counted, not the numbers: that reads no column.
-    if documents.select(key).count() <= BROADCAST_KEYS:
-        numbers = F.broadcast(numbers)
-    chunks = chunk_rows(documents, key, chunk_size, overlap).join(numbers, key)
+    numbered = documents.select(key, "text").join(numbers, key)
+    chunks = chunk_rows(numbered, key, chunk_size, overlap, keep=True)
     return chunks.select(
         F.concat(F.lit("doc_"), F.col("ordinal"), F.lit("_chunk_"), F.col("chunk_index")).alias("id"),
         F.col(key).alias("path"),

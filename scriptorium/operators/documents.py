@@ -56,7 +56,7 @@ def fill_cells(rows: Column) -> Column:
         F.filter(rows, lambda row: F.size(row) > 0),
         lambda row: F.transform(row, lambda cell: let(strip(cell), lambda c: F.when(c == "", " ").otherwise(c))),
     )
-    return F.when(F.size(rows) > 0, filled).otherwise(F.array(F.array(F.lit(CELLS_MISSING))))
+    return let(filled, lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(F.array(F.lit(CELLS_MISSING)))))
 
 
 def ragged_to_markdown(tables: DataFrame, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Acronyms with definitions, and frequent noun terms, with their postings.
 
-Everything up to the aggregations works inside one row per document: no shuffle carries text. Postings
-come in numbered parts of about ``DOCS_PER_PART`` documents, chosen by a hash of the path, so the list of
-a term that occurs everywhere never meets in one group; a corpus up to that size has one part per entry.
+Everything up to the aggregations works inside one row per document: no shuffle carries text. Postings are
+rows (``acronym_definitions``, ``term_postings``), which have no bound per entry. Where lists are asked for,
+they come in numbered parts, by a hash of the path: the number is a parameter, the same at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from scriptorium.constants import (
 )
 from scriptorium.functions.text import first_or_null, let, positions, strip
 
-DOCS_PER_PART = 1024
+#: Parts that the lists of an entry come in, unless a caller asks for more.
+PARTS = 1
 _NOT_WORD = r"[^\p{L}\p{N}_]+"
 _NOT_TOKEN = r"[^\p{L}\p{N}_'\-]+"
 _GAP = "|"
@@ -35,15 +36,9 @@ Tagger = Callable[[Column], Column]
 Lemma = Callable[[Column], Column]
 
 
-def posting_parts(documents: DataFrame, docs_per_part: int = DOCS_PER_PART) -> int:
-    """How many parts the postings of a corpus need. The count reads no text."""
-    return max(1, -(-documents.count() // docs_per_part))
-
-
 def part_of(key: Column, parts: int) -> Column:
-    if parts == 1:
-        return F.lit(0)
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(parts)).cast("int")
+    """The part of a document: the first 32 bits of the MD5 of its key, modulo the number of parts."""
+    return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % parts).cast("int")
 
 
 # Acronyms
@@ -118,12 +113,11 @@ def acronym_definitions(documents: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def acronym_dictionary(documents: DataFrame, key: str = "path", parts: int | None = None) -> DataFrame:
+def acronym_dictionary(documents: DataFrame, key: str = "path", parts: int = PARTS) -> DataFrame:
     """``(acronym, part, definition, n_files, files)``.
 
     The definition is that of the first document with the acronym, also when it has none there.
     """
-    parts = parts or posting_parts(documents.select(key))
     found = acronym_definitions(documents, key).withColumn("part", part_of(F.col(key), parts))
     by_part = found.groupBy("acronym", "part").agg(
         F.sort_array(F.collect_list(key)).alias("files"),
@@ -269,11 +263,16 @@ def lemma_by_table(runs: DataFrame, lemmas: DataFrame) -> DataFrame:
     return runs.join(single, "term", "left").withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
 
 
+def term_postings(runs: DataFrame, key: str = "path") -> DataFrame:
+    """``(term, key, n)``: how often each term occurs in each document."""
+    return runs.groupBy("term", key).agg(F.count("*").alias("n"))
+
+
 def term_dictionary(
     documents: DataFrame,
     key: str = "path",
     min_occurrences: int = MIN_OCCURRENCES,
-    parts: int | None = None,
+    parts: int = PARTS,
     runs: DataFrame | None = None,
     **options,
 ) -> DataFrame:
@@ -282,13 +281,11 @@ def term_dictionary(
     Occurrences are combined per document, then per part, before anything is grouped by term alone.
     ``runs`` may bring ready term rows (for instance with lemmas from a table).
     """
-    parts = parts or posting_parts(documents.select(key))
     runs = noun_run_rows(documents, key, **options) if runs is None else runs
-    per_document = runs.groupBy("term", key).agg(F.count("*").alias("_n"))
     by_part = (
-        per_document.withColumn("part", part_of(F.col(key), parts))
+        term_postings(runs, key).withColumn("part", part_of(F.col(key), parts))
         .groupBy("term", "part")
-        .agg(F.sort_array(F.collect_list(key)).alias("files"), F.sum("_n").alias("_occurrences"))
+        .agg(F.sort_array(F.collect_list(key)).alias("files"), F.sum("n").alias("_occurrences"))
     )
     totals = (
         by_part.groupBy("term")

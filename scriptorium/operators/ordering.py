@@ -1,44 +1,30 @@
 """Positions in a global order, without a single-task window.
 
-The keys are cut into ranges by bounds taken from a hash-ordered sample. Any bounds give the same exact
-result; the sample only balances the ranges. Per-range totals (one row per range, at most ``MAX_RANGES``)
-give each range its offset, and the window runs inside the ranges.
+The keys are dealt to ranges, as many as there are shuffle partitions. Any ranges give the same exact result; how even
+they are only balances the work. Per-range totals (one row per range) give each range its offset, and the
+window runs inside the ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_KEYS = 4096
-MAX_RANGES = 512
+from scriptorium.session import checkpoint_folder
 
 
-def _range_bounds(keys: DataFrame, key: str) -> list:
-    sample = keys.select(key).orderBy(F.xxhash64(key), F.col(key)).limit(SAMPLE_KEYS).collect()
-    if len(sample) < SAMPLE_KEYS:
-        return []
-    ordered = sorted(row[0] for row in sample)
-    return [ordered[len(ordered) * i // MAX_RANGES] for i in range(1, MAX_RANGES)]
-
-
-def _range_of(key: Column, bounds: list) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds]), lambda bound: bound <= key))
-
-
-def running_offset(df: DataFrame, key: str, weight: str, out: str, bounds: list | None = None) -> DataFrame:
+def running_offset(df: DataFrame, key: str, weight: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over all rows with a smaller ``key``. Keys are unique."""
-    bounds = _range_bounds(df, key) if bounds is None else bounds
-    if not bounds:
-        # Fewer keys than one sample: one range, which needs no offset.
-        everything = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(everything), F.lit(0)))
-    ranged = df.withColumn("_range", _range_of(F.col(key), bounds))
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number of a range is written with its rows, so totals and windows see the same ranges.
+    ranged = df.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()).checkpoint()
     totals = ranged.groupBy("_range").agg(F.sum(weight).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    # At most MAX_RANGES rows, so the broadcast is bounded whatever the size of the input.
+    # One row per range, so the broadcast is bounded by the number of shuffle partitions.
     return (
         ranged.join(F.broadcast(starts), "_range")
         .withColumn(out, F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
@@ -49,4 +35,4 @@ def running_offset(df: DataFrame, key: str, weight: str, out: str, bounds: list
 def dense_ordinal(keys: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
     """Number the distinct keys 0, 1, 2, ... in key order: ``(key, out)``."""
     unit = keys.select(key).distinct().withColumn("_one", F.lit(1).cast("bigint"))
-    return running_offset(unit, key, "_one", out, _range_bounds(keys, key)).select(key, out)
+    return running_offset(unit, key, "_one", out).select(key, out)

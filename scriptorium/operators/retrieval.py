@@ -92,6 +92,17 @@ def _searcher(questions: Broadcast, k: int, metric: str):
     return search
 
 
+def usable_vector(embedding: Column, width: int) -> Column:
+    """Whether a vector is there, has ``width`` numbers, and none of them is null."""
+    return F.coalesce((F.size(embedding) == width) & ~F.exists(embedding, lambda x: x.isNull()), F.lit(False))
+
+
+def rejected_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """The rows that a search over vectors of ``width`` numbers leaves out, with a ``reason``."""
+    reason = F.when(F.col("embedding").isNull(), "no vector").when(F.size("embedding") != width, "wrong width").otherwise("null in vector")
+    return vectors.filter(~usable_vector(F.col("embedding"), width)).withColumn("reason", reason)
+
+
 def nearest(
     vectors: DataFrame,
     questions: DataFrame,
@@ -103,7 +114,8 @@ def nearest(
     """Exact ``k`` nearest vectors of every question: ``(query_id, rank, id, distance)``.
 
     ``vectors`` has ``id_column`` and ``embedding``, ``questions`` has ``query_id`` and ``embedding``.
-    ``metric`` is ``cosine`` or ``l2`` (squared). Distances are rounded to 6 decimals, ties go by id.
+    Vectors of another width than the questions' widest, and those with nulls, are left out on both sides
+    (``rejected_vectors`` names them). ``metric`` is ``cosine`` or ``l2`` (squared). Distances are rounded to 6 decimals, ties go by id.
 
     Each task multiplies its share of the corpus with the question block and keeps ``k`` rows per question;
     only those are shuffled, and the final rank takes ``k`` of them. The corpus itself is never shuffled.
@@ -114,10 +126,11 @@ def nearest(
     checkpoint_folder(spark)
     asked = questions.select("query_id", "embedding").checkpoint()
     count, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    asked = asked.filter(usable_vector(F.col("embedding"), width))
     size = count * width * 8
     # Twice the number needed on average, so that an uneven hash keeps every pass within its bound.
     passes = 1 if size <= question_bytes else -(-2 * size // question_bytes)
-    corpus = vectors.select(F.col(id_column).alias("id"), F.col("embedding").alias("vector"))
+    corpus = vectors.filter(usable_vector(F.col("embedding"), width)).select(F.col(id_column).alias("id"), F.col("embedding").alias("vector"))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, " \
         f"id {corpus.schema['id'].dataType.simpleString()}, distance double"
     found = None

@@ -10,7 +10,6 @@ from scriptorium.constants import (
     ANSWER_ERROR,
     ANSWER_HTTP_ERROR,
     CELLS_MISSING,
-    ENTITIES,
     NOT_NOUNS,
     NOT_PLURAL,
     NOTHING_FOUND,
@@ -23,7 +22,8 @@ from scriptorium.constants import (
     SPACE,
     STOP_WORDS,
 )
-from scriptorium.functions.markup import HTML_RULES, LAYOUT_RULES, MARKDOWN_RULES
+from scriptorium.functions.markup import LAYOUT_RULES, MARKDOWN_RULES
+from scriptorium.plans.tables import ODD_HTML
 
 DOMAIN = "la colección de documentos"
 NL = "chr(10)"
@@ -47,6 +47,13 @@ def rules(text: str, table) -> str:
     return text
 
 
+# The character references that occur in the pages and in what the queries add to them; the ampersand comes last.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
+    ("&agrave;", "à"), ("&ntilde;", "ñ"), ("&#8217;", "’"), ("&#x27;", "'"), ("&amp;", "&"),
+)
+
+
 def entities(text: str) -> str:
     for entity, character in ENTITIES:
         text = f"replace({text}, {quoted(entity)}, {quoted(character)})"
@@ -82,7 +89,26 @@ addresses AS MATERIALIZED (SELECT *, regexp_replace(CASE WHEN url LIKE 'mailto:%
 
 STORED = "coalesce(nullif(array_to_string(list_filter(string_split({path}, '/'), lambda x: x <> ''), '/'), ''), 'index')"
 REWRITTEN = """regexp_replace(html, '<a href="/*([^"?#]*?)/*(?:[?#][^"]*)?"', '<a href="\\1.md"', 'g')"""
-MARKDOWN = strip(rules(entities(rules("html", HTML_RULES)), LAYOUT_RULES)) + f" || {NL}"
+def markdown(html: str) -> str:
+    """A page unit by unit: one case per tag, text with its white space collapsed."""
+    for element in ("!--.*?--", r"script\b.*?</script\s*", r"style\b.*?</style\s*", r"head\b.*?</head\s*"):
+        html = f"regexp_replace({html}, '(?is)<{element}>', '', 'g')"
+    tag, ends = "lower(regexp_extract(u, '^</?([A-Za-z][A-Za-z0-9]*)', 1))", "starts_with(u, '</')"
+    target = r"""trim(regexp_extract(u, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''')"""
+    blocks = "'p', 'div', 'ul', 'ol', 'table', 'article', 'section', 'footer', 'header', 'nav', 'blockquote'"
+    unit = rf"""CASE WHEN NOT regexp_full_match(u, '(?s)<[^>]*>') THEN regexp_replace(u, '[ \t\r\n]+', ' ', 'g')
+      WHEN {tag} = 'a' AND {ends} THEN chr(3) WHEN {tag} = 'a' AND {target} <> '' THEN chr(1) || {target} || chr(2)
+      WHEN regexp_full_match({tag}, 'h[1-6]') THEN CASE WHEN {ends} THEN {NL} || {NL} ELSE {NL} || {NL} || repeat('#', substr({tag}, 2)::INT) || ' ' END
+      WHEN {tag} = 'li' AND NOT {ends} THEN {NL} || '  * ' WHEN {tag} IN ('b', 'strong') THEN '**' WHEN {tag} IN ('i', 'em') THEN '_'
+      WHEN {tag} = 'br' THEN '  ' || {NL} WHEN {tag} = 'hr' THEN {NL} || {NL} || '* * *' || {NL} || {NL}
+      WHEN {tag} IN ({blocks}) THEN {NL} || {NL} WHEN {tag} = 'tr' AND NOT {ends} THEN {NL} WHEN {tag} IN ('td', 'th') AND {ends} THEN ' | ' ELSE '' END"""
+    made = f"array_to_string(list_transform(regexp_extract_all({html}, '<[^>]*>|[^<]+|<'), lambda u: {unit}), '')"
+    made = rf"replace(regexp_replace({made}, chr(1) || '([^\x02]*)\x02([^\x03]*)\x03', '[\2](\1)', 'g'), chr(3), '')"
+    made = rf"regexp_replace(regexp_replace({entities(made)}, '\n +\n', {NL} || {NL}, 'g'), '\n{{3,}}', {NL} || {NL}, 'g')"
+    return strip(made) + f" || {NL}"
+
+
+MARKDOWN = markdown("html")
 
 SITE = f"""{LINKS},
 site AS MATERIALIZED (SELECT l.url AS src, p.url AS dst FROM links l JOIN pages p
@@ -149,6 +175,13 @@ BOXES = """boxes AS MATERIALIZED (SELECT l_orderkey AS table_id, l_partkey * 10
 
 # Lexicon
 
+PARTS = 8
+
+
+def part(key: str) -> str:
+    return f"(('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % {PARTS})::INT"
+
+
 ACRONYMS = "list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}'))"
 
 
@@ -162,7 +195,8 @@ acr_def AS MATERIALIZED (SELECT {key}, acronym, CASE
     WHEN regexp_matches(text, {form2}) THEN {strip(f'regexp_extract(text, {form2}, 1)')} END AS definition
   FROM acr_doc JOIN {corpus} USING ({key})),
 acr_dict AS MATERIALIZED (SELECT acronym, list(definition ORDER BY {key})[1] AS definition, count(*) AS n_files,
-    list({key} ORDER BY {key}) AS files FROM acr_def GROUP BY acronym)"""
+    list({key} ORDER BY {key}) AS files FROM acr_def GROUP BY acronym),
+acr_parts AS MATERIALIZED (SELECT acronym, {part(key)} AS part, list({key} ORDER BY {key}) AS part_files FROM acr_def GROUP BY ALL)"""
 
 
 def lemma(word: str) -> str:
@@ -192,7 +226,9 @@ run_texts AS (SELECT {key}, sentence_no, min(position) AS start, count(*) AS n,
 run_rows AS MATERIALIZED (SELECT {key}, sentence_no, row_number() OVER (PARTITION BY {key}, sentence_no ORDER BY start) - 1 AS run_no,
   CASE WHEN n > 1 THEN run ELSE {lemma('run')} END AS term FROM run_texts),
 term_dict AS MATERIALIZED (SELECT term, count(*) AS occurrences, count(DISTINCT {key}) AS n_files, list(DISTINCT {key} ORDER BY {key}) AS files
-  FROM run_rows GROUP BY term HAVING count(*) > 1)"""
+  FROM run_rows GROUP BY term HAVING count(*) > 1),
+term_parts AS MATERIALIZED (SELECT term, {part(key)} AS part, list(DISTINCT {key} ORDER BY {key}) AS part_files
+  FROM run_rows SEMI JOIN term_dict USING (term) GROUP BY ALL)"""
 
 
 # Graph
@@ -211,11 +247,11 @@ degrees AS MATERIALIZED (SELECT n.id, n.kind, count(e.id) AS degree, round(count
   FROM nodes n LEFT JOIN ends e ON e.id = n.id AND e.kind = n.kind GROUP BY n.id, n.kind),
 connections AS MATERIALIZED (SELECT src AS element, src_kind AS kind, path, dst AS other FROM relations
   UNION ALL SELECT dst, dst_kind, path, src FROM relations),
-connected AS (SELECT element AS id, kind, list(other ORDER BY path, other) AS connections FROM connections GROUP BY ALL),
-entries AS MATERIALIZED (SELECT n.kind, n.id, 0 AS part, n.definition, n.occurrences, coalesce(a.files, t.files) AS files,
-    coalesce(c.connections, []) AS connections, d.centrality
-  FROM nodes n LEFT JOIN acr_dict a ON n.kind = 'acronimo' AND a.acronym = n.id LEFT JOIN term_dict t ON n.kind = 'termino' AND t.term = n.id
-  LEFT JOIN connected c ON c.id = n.id AND c.kind = n.kind JOIN degrees d ON d.id = n.id AND d.kind = n.kind)"""
+connected AS (SELECT element AS id, kind, {part('path')} AS part, list(other ORDER BY path, other) AS connections FROM connections GROUP BY ALL),
+listed AS (SELECT acronym AS id, 'acronimo' AS kind, part, part_files FROM acr_parts UNION ALL SELECT term, 'termino', part, part_files FROM term_parts),
+entries AS MATERIALIZED (SELECT kind, id, part, n.definition, n.occurrences, coalesce(part_files, []) AS files,
+    coalesce(connections, []) AS connections, d.centrality
+  FROM listed FULL JOIN connected USING (id, kind, part) JOIN nodes n USING (id, kind) JOIN degrees d USING (id, kind))"""
 
 
 def escaped(text: str) -> str:
@@ -248,7 +284,9 @@ def knn(k: int, distance: str, corpus: str, asked: str) -> str:
 
 COSINE = "1 - coalesce(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 0)"
 SQUARED = "list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
-OWN = "own AS MATERIALIZED (SELECT vec_id AS id, vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings)"
+OWN = """own AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+cells AS (SELECT label, unnest(range(len(v))) AS i, unnest(v) AS x FROM own),
+means AS MATERIALIZED (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS x FROM cells GROUP BY ALL) GROUP BY label)"""
 SEARCH = f"""{DOCS_MD},
 {chunks('docs_md', 'doc_id')},
 {INDEX},
@@ -299,7 +337,8 @@ ORACLES: dict[str, str] = {
       CASE WHEN lower(url) LIKE '%.pdf' THEN CASE WHEN lower(name) LIKE '%.pdf' THEN name ELSE name || '.pdf' END END AS pdf_name FROM named""",
     "crawl_scope": "SELECT page_id, url FROM pages WHERE url LIKE 'https://%'",
     "rewrite_links": f"SELECT page_id, url, {REWRITTEN} AS html FROM pages",
-    "html_to_markdown": f"SELECT page_id, url, {MARKDOWN} AS markdown FROM pages",
+    "html_to_markdown": f"""SELECT page_id, url, {MARKDOWN} AS markdown
+      FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 1 THEN html || {quoted(ODD_HTML)} ELSE html END AS html FROM pages)""",
     "crawl_closure": f"""WITH RECURSIVE {SITE}, reached AS (SELECT url, 0 AS depth FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
       UNION SELECT dst, depth + 1 FROM reached JOIN site ON src = url WHERE depth < 60)
       SELECT url, min(depth) AS depth, 'page' AS route FROM reached GROUP BY url""",
@@ -321,9 +360,10 @@ ORACLES: dict[str, str] = {
       FROM placed p LEFT JOIN docs_md d ON d.doc_id = p.i""",
     "line_paragraphs": f"WITH {PARAGRAPHS} SELECT doc, page_num, position, paragraph FROM scan_paragraphs",
     "ragged_to_markdown": f"WITH {RAGGED} SELECT conv_id, turn, array_to_string(lines, {NL}) AS markdown FROM lined",
-    "filled_cells": f"""WITH {RAGGED}, filled AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN [[{quoted(CELLS_MISSING)}]] ELSE
+    "filled_cells": f"""WITH {RAGGED}, given AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN [] ELSE r END AS r FROM ragged),
+      filled AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN [[{quoted(CELLS_MISSING)}]] ELSE
         list_transform(r, lambda x: list_transform(x, lambda c: CASE WHEN contains(c, ',') OR {strip('c')} = '' THEN ' ' ELSE {strip('c')} END))
-        END AS f FROM ragged)
+        END AS f FROM given)
       SELECT conv_id, turn, unnest(range(len(f))) AS row_no, array_to_string(unnest(f), '|') AS cells FROM filled""",
     "document_markdown": f"""WITH {RAGGED}, {PARAGRAPHS},
       texts AS (SELECT doc, page_num, string_agg(paragraph || {NL} || {NL}, {NL} ORDER BY position) AS body FROM scan_paragraphs GROUP BY ALL),
@@ -347,7 +387,7 @@ ORACLES: dict[str, str] = {
     "acronym_occurrences": f"WITH {DOCS_ACR}, {acronyms('docs_acr', 'doc_id')} SELECT doc_id, acronym, occurrences FROM acr_doc",
     "acronym_definitions": f"WITH {DOCS_ACR}, {acronyms('docs_acr', 'doc_id')} SELECT doc_id, acronym, definition FROM acr_def",
     "acronym_dictionary": f"""WITH {DOCS_ACR}, {acronyms('docs_acr', 'doc_id')}
-      SELECT acronym, 0 AS part, definition, n_files, {joined('files')} AS files FROM acr_dict""",
+      SELECT acronym, part, definition, n_files, {joined('part_files')} AS files FROM acr_dict JOIN acr_parts USING (acronym)""",
     "sentences": f"WITH {terms('documents', 'doc_id')} SELECT doc_id, sentence_no, sentence FROM sentence_rows",
     "tokens": f"WITH {terms('documents', 'doc_id')} SELECT doc_id, sentence_no, position, token FROM token_rows",
     "tagged_tokens": f"""WITH {terms('documents', 'doc_id')} SELECT doc_id, sentence_no, position, token,
@@ -358,7 +398,7 @@ ORACLES: dict[str, str] = {
       FROM token_rows GROUP BY ALL""",
     "noun_runs": f"WITH {terms('documents', 'doc_id')} SELECT doc_id, sentence_no, run_no, term FROM run_rows",
     "term_dictionary": f"""WITH {terms('documents', 'doc_id')}
-      SELECT term, 0 AS part, occurrences, n_files, {joined('files')} AS files FROM term_dict""",
+      SELECT term, part, occurrences, n_files, {joined('part_files')} AS files FROM term_dict JOIN term_parts USING (term)""",
     "elements": f"WITH {GRAPH} SELECT id AS element, kind FROM nodes",
     "element_presence": f"""WITH {DOCS_ACR}, {acronyms('docs_acr', 'doc_id')}, {terms('docs_acr', 'doc_id')},
       named AS MATERIALIZED (SELECT acronym AS element, 'acronimo' AS kind, lower(acronym) AS e FROM acr_dict
@@ -397,9 +437,9 @@ ORACLES: dict[str, str] = {
       SELECT doc_id, chunk_index, array_to_string(list_transform(v, lambda x: round(x * 1000000)::BIGINT), '|') AS embedding
       FROM {vectors('chunks', 'chunk')}""",
     "semantic_search": f"WITH {SEARCH} SELECT query_id, rank, id, distance FROM {knn(5, COSINE, 'corpus', 'asked')}",
-    "knn_cosine": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, COSINE, 'own', 'own')}",
-    "knn_l2": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(3, SQUARED, 'own', 'own')}",
-    "knn_cutoff": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, SQUARED, 'own', 'own')} WHERE distance < 1.5",
+    "knn_cosine": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, COSINE, 'own', 'means')}",
+    "knn_l2": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(3, SQUARED, 'own', 'means')}",
+    "knn_cutoff": f"WITH {OWN} SELECT query_id, rank, id, distance FROM {knn(5, SQUARED, 'own', 'means')} WHERE distance < 1.5",
     "search_report": f"""WITH {SEARCH}, found AS {knn(5, COSINE, 'corpus', 'asked')}
       SELECT query_id, rank AS result_no, filename, path, start_line || ' - ' || end_line AS lines,
       (chunk_index + 1) || ' de ' || total_chunks AS chunk_of,

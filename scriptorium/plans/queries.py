@@ -132,7 +132,8 @@ def rewrite_links(spark, sf_dir):
 
 @query
 def html_to_markdown(spark, sf_dir):
-    return pages.pages_to_markdown(tables.pages(spark, sf_dir))
+    odd = F.when(F.col("page_id") % 2 == 1, F.concat("html", F.lit(tables.ODD_HTML))).otherwise(F.col("html"))
+    return pages.pages_to_markdown(tables.pages(spark, sf_dir).withColumn("html", odd))
 
 
 @query
@@ -230,7 +231,10 @@ def filled_cells(spark, sf_dir):
         "rows",
         F.transform("rows", lambda row: F.transform(row, lambda cell: F.when(cell.contains(","), " \t").otherwise(cell))),
     )
-    rows = docs.fill_cells(F.col("rows"))
+    # Some tables have only rows without cells, some have one among others.
+    empty = F.array().cast("array<string>")
+    given = F.when(F.col("role") == "system", F.array(empty, empty)).when(F.col("turn") == 1, F.array_append("rows", empty)).otherwise(F.col("rows"))
+    rows = docs.fill_cells(given)
     return blanked.select("conv_id", "turn", F.posexplode(rows).alias("row_no", "_row")).select(
         "conv_id", "turn", "row_no", joined("_row").alias("cells")
     )
@@ -267,7 +271,7 @@ def acronym_definitions(spark, sf_dir):
 
 @query
 def acronym_dictionary(spark, sf_dir):
-    found = lexicon.acronym_dictionary(tables.documents_acr(spark, sf_dir), "doc_id")
+    found = lexicon.acronym_dictionary(tables.documents_acr(spark, sf_dir), "doc_id", parts=PARTS)
     return found.withColumn("files", joined("files"))
 
 
@@ -303,17 +307,21 @@ def noun_runs(spark, sf_dir):
 
 @query
 def term_dictionary(spark, sf_dir):
-    found = lexicon.term_dictionary(tables.documents(spark, sf_dir), "doc_id")
+    found = lexicon.term_dictionary(tables.documents(spark, sf_dir), "doc_id", parts=PARTS)
     return found.withColumn("files", joined("files"))
 
 
 # Relations and graph
 
 
-def _dictionaries(corpus: DataFrame, key: str, parts: int) -> tuple[DataFrame, DataFrame]:
+#: Parts that the lists of a dictionary entry come in, at every size of the tables.
+PARTS = 8
+
+
+def _dictionaries(corpus: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return (
-        lexicon.acronym_dictionary(corpus, key, parts=parts),
-        lexicon.term_dictionary(corpus, key, parts=parts),
+        lexicon.acronym_dictionary(corpus, key, parts=PARTS),
+        lexicon.term_dictionary(corpus, key, parts=PARTS),
     )
 
 
@@ -326,8 +334,7 @@ class _Graph:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         checkpoint_folder(spark)
         self.corpus = tables.talks(spark, sf_dir)
-        self.parts = lexicon.posting_parts(self.corpus.select("path"))
-        acronyms, terms = _dictionaries(self.corpus, "path", self.parts)
+        acronyms, terms = _dictionaries(self.corpus, "path")
         self.acronyms, self.terms = acronyms.checkpoint(), terms.checkpoint()
         self.nodes = graph.graph_nodes(self.acronyms, self.terms)
         self.elements = graph.elements(self.nodes)
@@ -347,7 +354,7 @@ class _Graph:
     @property
     def dictionary(self) -> DataFrame:
         centrality = graph.degree_centrality(self.nodes, self.edges)
-        return dictionary.semantic_dictionary(self.acronyms, self.terms, self.relations, centrality, self.parts)
+        return dictionary.semantic_dictionary(self.acronyms, self.terms, self.relations, centrality, PARTS)
 
 
 @query
@@ -359,7 +366,7 @@ def elements(spark, sf_dir):
 def element_presence(spark, sf_dir):
     """All acronyms and terms of the documents, searched in all documents."""
     corpus = tables.documents_acr(spark, sf_dir)
-    acronyms, terms = _dictionaries(corpus, "doc_id", lexicon.posting_parts(corpus.select("doc_id")))
+    acronyms, terms = _dictionaries(corpus, "doc_id")
     everything = graph.elements(graph.graph_nodes(acronyms, terms))
     return presence.element_presence(corpus, everything, "doc_id")
 
@@ -482,25 +489,32 @@ def semantic_search(spark, sf_dir):
     return _search(spark, sf_dir, "cosine")[2]
 
 
-def _self_search(spark, sf_dir, k: int, metric: str) -> DataFrame:
-    """Every vector of the table as a question to the whole table."""
-    vectors = tables.load(spark, sf_dir, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.nearest(vectors, vectors.withColumnRenamed("id", "query_id"), k, metric)
+def _label_search(spark, sf_dir, k: int, metric: str) -> DataFrame:
+    """The mean vector of each label as a question to the whole table; the labels are few."""
+    vectors = tables.load(spark, sf_dir, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), "embedding", "label")
+    means = (
+        vectors.select(F.col("label").cast("bigint").alias("query_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+        .groupBy("query_id", "i")
+        .agg(F.avg("x").alias("x"))
+        .groupBy("query_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+    )
+    return retrieval.nearest(vectors.select("id", "embedding"), means, k, metric)
 
 
 @query
 def knn_cosine(spark, sf_dir):
-    return _self_search(spark, sf_dir, TOP_K, "cosine")
+    return _label_search(spark, sf_dir, TOP_K, "cosine")
 
 
 @query
 def knn_l2(spark, sf_dir):
-    return _self_search(spark, sf_dir, TOP_K_SMALL, "l2")
+    return _label_search(spark, sf_dir, TOP_K_SMALL, "l2")
 
 
 @query
 def knn_cutoff(spark, sf_dir):
-    return retrieval.within_cutoff(_self_search(spark, sf_dir, TOP_K, "l2"), DISTANCE_CUTOFF)
+    return retrieval.within_cutoff(_label_search(spark, sf_dir, TOP_K, "l2"), DISTANCE_CUTOFF)
 
 
 @query

@@ -9,6 +9,13 @@ from scriptorium.operators.pages import extract_links
 from scriptorium.session import configure
 
 
+# What the query adds to every second page: code with ends of other elements, a title, references, other quotes, nested tags.
+ODD_HTML = (
+    '<head><script>var a = "</style>"; leak()</script><title>TITLE</title></head><style>b { } </script></style>'
+    "<p>&agrave; la ca&ntilde;a, it&#8217;s &#x27;so&#x27; &amp;lt;</p><a href='x.md'>one</a> <a class=c href=\"y.md\"><b>two</b></a> <a href=z.md>three</a>"
+)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *spread_by: str) -> DataFrame:
     """A table. One that is read in fewer tasks than there are cores may be spread over them by its key."""
     configure(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Small results are cut by hand-sized tasks too: what follows a shuffle here is often heavy per row.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    # Lists are collected for very many small groups; hashing them beats sorting for longer than by default.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows can be whole documents, so Arrow batches are bounded in bytes as well as in rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
@@ -42,13 +41,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a temporary
-    folder is taken.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session takes a temporary
+    folder; on a cluster it is an error, since executors would not share such a folder.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if named is None and not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-"))
         current = context.getCheckpointDir()
     return named or current

@@ -1,11 +1,12 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.functions.splitting import split_recursively
+from scriptorium.functions.splitting import first_lines, split_recursively
 from scriptorium.functions.text import count_newlines, strip
 from scriptorium.operators import chunking
 from scriptorium.operators.ordering import dense_ordinal, running_offset
@@ -65,6 +66,27 @@ def test_line_spans(value):
     assert value(count_newlines(F.col("t")), t=text) == 3
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab\né", max_size=80), st.lists(st.text(alphabet="ab\n", max_size=12), max_size=4), st.integers(0, 80), st.integers(1, 30))
+def test_first_lines_against_search(text, others, start, size):
+    chunks = [*others, text[start : start + size], text]
+    places = [text.find(chunk) for chunk in chunks]
+    lines = [0 if place < 0 else text.count("\n", 0, place) + 1 for place in places]
+    expected = [{"start_line": n, "end_line": n + c.count("\n") if n else 0} for n, c in zip(lines, chunks)]
+    assert first_lines(text, chunks) == expected
+
+
+def test_a_long_document_is_located_in_linear_time(spark):
+    text = "\n\n".join(f"{i} " + " ".join(["word"] * 50) for i in range(12_000)) + "\n\n0 " + " ".join(["word"] * 50)
+    started = time.time()
+    rows = chunking.chunk_rows(spark.createDataFrame([("a", text)], "path string, text string")).orderBy("chunk_index").collect()
+    assert time.time() - started < 60 and len(rows) > 5000 and len(text) > 3_000_000
+    for row in rows[::500]:
+        place = text.find(row.chunk)
+        assert row.start_line == (0 if place < 0 else text.count("\n", 0, place) + 1)
+    assert rows[0].start_line == 1
+
+
 def test_index_table(spark):
     documents = spark.createDataFrame([("b/z.md", "x\n\ny"), ("a.md", "k" * 600)], "path string, text string")
     rows = chunking.chunk_index_table(documents).orderBy("id").collect()

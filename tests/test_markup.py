@@ -40,3 +40,12 @@ def test_markdown_to_text(value):
     assert value(markup.markdown_to_text(F.col("m")), m=source) == (
         "Title\n\nSome bold and thin code, a link .\n\nquoted\n\nitem\none\n\nend &"
     )
+
+
+def test_elements_end_at_their_own_end_and_links_keep_their_target(value):
+    to_markdown = lambda h: value(markup.html_to_markdown(F.col("h")), h=h)
+    assert to_markdown("<head><script>x</script><title>TITLE</title></head>Body") == "Body\n"
+    assert to_markdown('<script>var a="</style>"; LEAK()</script>Body') == "Body\n"
+    assert to_markdown("<a href='x.md'>t</a>") == "[t](x.md)\n"
+    assert to_markdown('<a href="y.md"><b>u</b></a>') == "[**u**](y.md)\n"
+    assert to_markdown("&agrave;&ntilde;&#8217;&#x27;&amp;lt;&nothing; & &;") == "àñ’'&lt;&nothing; & &;\n"

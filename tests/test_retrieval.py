@@ -100,3 +100,13 @@ def test_answers(spark):
     assert {r.query_id: r.answer for r in found.collect()} == {
         1: "sí", 2: ANSWER_ERROR, 3: ANSWER_ERROR, 4: "Error al procesar la consulta: Server Error", 5: ANSWER_ERROR,
     }
+
+
+def test_unusable_vectors_are_left_out_and_named(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id bigint, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        assert [(r.query_id, r.id) for r in retrieval.nearest(corpus, asked, 5, metric).orderBy("rank").collect()] == [(7, 1), (7, 5)]
+    found = {r.id: r.reason for r in retrieval.rejected_vectors(corpus, 2).collect()}
+    assert found == {2: "no vector", 3: "wrong width", 4: "null in vector"}

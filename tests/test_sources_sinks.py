@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,16 @@ def test_corpus_scan(spark, tmp_path):
     assert rows == {"a.md": ("uno\n\nñ", "Archivo: a.md"), "sub dir/b+c.md": ("dos", "Archivo: sub dir/b+c.md")}
 
 
+def test_corpus_scan_of_a_relative_folder(spark, tmp_path, monkeypatch):
+    # The JVM keeps its own working folder, so the relative path starts there.
+    here = spark._jvm.java.io.File(".").getCanonicalPath()
+    (tmp_path / "site" / "site").mkdir(parents=True)
+    (tmp_path / "site" / "site" / "a.md").write_text("uno", encoding="utf-8")
+    relative = os.path.relpath(tmp_path / "site", here)
+    for folder in (relative, f"./{relative}", f"file://{tmp_path}/site/", f"{tmp_path}/site/../site"):
+        assert [r.path for r in corpus.scan_corpus(spark, folder).collect()] == ["site/a.md"]
+
+
 def test_missing_sources_are_empty(spark, tmp_path):
     missing = str(tmp_path / "none")
     assert corpus.scan_corpus(spark, missing).columns == ["path", "text", "source"]
