@@ -56,15 +56,27 @@ class TextTokenizer:
         plain = "  " not in text and text[:1] != " " and text[-1:] != " "
         plain = plain and not any(c in text and (f"{c} " in text or f" {c}" in text) for c in "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
         plain = plain and (text.isascii() or self._rare_space(text) is None)
+        if plain and "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0")
         pieces = text.split(" ") if plain else self._cut(text)
         return [pieces[0], *[" " + piece for piece in pieces[1:]]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(text) for text in texts]
         if len(self._known) > REMEMBERED:
             self._old, self._known = self._known, {}
+        known = self._known
+        cut = [self._pieces(text) for text in texts]
+        found = [list(map(known.get, pieces)) for pieces in cut]
+        missing = {piece for pieces, have in zip(cut, found, strict=True) if None in have for piece, ids in zip(pieces, have, strict=True) if ids is None}
+        self._learn(missing)
+        for pieces, have in zip(cut, found, strict=True):
+            if None in have:
+                have[:] = [known[piece] if ids is None else ids for piece, ids in zip(pieces, have, strict=True)]
+        return [b"".join(have) for have in found]
+
+    def _learn(self, missing: set[str]) -> None:
         known, old, marked, ask = self._known, self._old, [], {}
-        for piece in {piece for pieces in cut for piece in pieces if piece not in known}:
+        for piece in missing:
             # A comma or full stop after a letter is a token of its own; what stands before it may be known.
             body = piece[:-1] if piece[-1:] in ",." and piece[-2:-1].isalpha() else piece
             if body is not piece:
@@ -83,7 +95,6 @@ class TextTokenizer:
                 known[piece] = array("I", encoding.ids).tobytes()
         for piece in marked:
             known[piece] = known[piece[:-1]] + known[piece[-1]]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 @lru_cache(2)
