@@ -397,6 +397,15 @@ ORACLES: dict[str, str] = {
       SELECT token, CASE WHEN length(token) >= 5 AND token NOT IN (SELECT token FROM asked) THEN 'NN' ELSE 'XX' END AS tag, count(*) AS n
       FROM token_rows GROUP BY ALL""",
     "noun_runs": f"WITH {terms('documents', 'doc_id')} SELECT doc_id, sentence_no, run_no, term FROM run_rows",
+    "lemma_by_table": f"""WITH {terms('documents', 'doc_id')}, asked AS (SELECT DISTINCT lower(unnest(list_filter(
+        regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_''\\-]+'), lambda x: regexp_full_match(x, '\\p{{L}}+')))) AS token FROM benchmark)
+      SELECT CASE WHEN n = 1 THEN coalesce(left(token, 4), run) ELSE run END AS term, count(*) AS n
+      FROM (SELECT n, run, token FROM run_texts LEFT JOIN asked ON n = 1 AND run = token) GROUP BY 1""",
+    "index_written": f"""WITH {chunks('documents', 'doc_id')}
+      SELECT doc_id, chunk_index, total_chunks, chunk, start_line, {END_LINE} AS end_line FROM chunks""",
+    "dictionary_written": f"""WITH {GRAPH} SELECT kind, id, 0 AS part, definition, occurrences, {joined('files')} AS files,
+      {joined('connections')} AS connections, centrality FROM entries""",
+    "relations_written": f"WITH {GRAPH} SELECT src, dst, path, distance FROM relations",
     "term_dictionary": f"""WITH {terms('documents', 'doc_id')}
       SELECT term, part, occurrences, n_files, {joined('part_files')} AS files FROM term_dict JOIN term_parts USING (term)""",
     "elements": f"WITH {GRAPH} SELECT id AS element, kind FROM nodes",

@@ -13,6 +13,8 @@ from scriptorium.functions import markup
 from scriptorium.operators import chunking, crawl, dictionary, graph, lexicon, pages, presence, prompts, retrieval, status
 from scriptorium.operators import documents as docs
 from scriptorium.plans import tables
+from scriptorium.sources import corpus as sources
+from scriptorium.sources import sinks
 from scriptorium.sources.corpus import with_source
 from scriptorium.session import checkpoint_folder
 from scriptorium.streaming.index import append_chunks, document_stream
@@ -305,6 +307,15 @@ def noun_runs(spark, sf_dir):
     return lexicon.noun_run_rows(tables.documents(spark, sf_dir), "doc_id")
 
 
+@query
+def lemma_by_table(spark, sf_dir):
+    """Single nouns that the questions hold become their first four letters; counted by term."""
+    words = tables.questions(spark, sf_dir).select(F.explode(lexicon.tokens_of(F.col("question"))).alias("term")).distinct()
+    runs = lexicon.noun_run_rows(tables.documents(spark, sf_dir), "doc_id", lemma=lambda noun: noun)
+    found = lexicon.lemma_by_table(runs, words.withColumn("lemma", F.substring("term", 1, 4)))
+    return found.groupBy("term").agg(F.count("*").alias("n"))
+
+
 @query
 def term_dictionary(spark, sf_dir):
     found = lexicon.term_dictionary(tables.documents(spark, sf_dir), "doc_id", parts=PARTS)
@@ -349,7 +360,8 @@ class _Graph:
 
     @property
     def edges(self) -> DataFrame:
-        return graph.graph_edges(self.relations, self.nodes)
+        # Relations come from the nodes, so both ends are known.
+        return graph.graph_edges(self.relations)
 
     @property
     def dictionary(self) -> DataFrame:
@@ -574,3 +586,38 @@ def stream_chunk_index(spark, sf_dir):
     append_chunks(arriving.select("doc_id", "text"), f"{run}/index", f"{run}/log", "doc_id").awaitTermination()
     return spark.read.parquet(f"{run}/index")
 
+
+# Sinks, written and read back
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def index_written(spark, sf_dir):
+    """Chunks of all documents in an index that was replaced once and appended to once."""
+    path = _written(spark, "index")
+    rows = chunking.chunk_rows(tables.documents(spark, sf_dir), "doc_id")
+    even = F.col("doc_id") % 2 == 0
+    sinks.replace_index(rows.filter(~even), path)
+    sinks.replace_index(rows.filter(even), path)
+    sinks.append_index(rows.filter(~even), path)
+    return spark.read.parquet(path)
+
+
+@query
+def dictionary_written(spark, sf_dir):
+    """The semantic dictionary as a file of its own form, read back."""
+    path, built = _written(spark, "dictionary"), _Graph(spark, sf_dir)
+    sinks.write_dictionary(built.dictionary.withColumn("centrality", F.round("centrality", 6)), built.relations, path)
+    found = sources.scan_dictionary(spark, path, lines=True)
+    return found.withColumn("files", joined("files")).withColumn("connections", joined("connections"))
+
+
+@query
+def relations_written(spark, sf_dir):
+    """The relations of the same file, without the kinds of their ends."""
+    path, built = _written(spark, "relations"), _Graph(spark, sf_dir)
+    sinks.write_dictionary(built.dictionary, built.relations, path)
+    return sources.scan_relations(spark, path, lines=True)
