@@ -108,7 +108,46 @@ def _template_values() -> str:
     return ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in rows)
 
 
+def _rules_sql() -> str:
+    """Statistics by unnested windows, and the same expectation-maximisation as a recursive query."""
+    n = len(quality_rules.RULES)
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {r.bad} THEN 1 WHEN {r.good} THEN 2 ELSE 0 END" for r in quality_rules.RULES)
+    odds = f"ln({quality_rules.RIGHT}::DOUBLE / {quality_rules.WRONG})"
+    logit = f"list_sum(list_transform(range(1, {n + 1}), lambda r: CASE v[r] WHEN 2 THEN odds[r] WHEN 1 THEN -odds[r] ELSE 0.0 END))"
+    right = "list_sum(list_transform(range(1, len(vs) + 1), lambda j: ms[j] * CASE vs[j][r] WHEN 2 THEN q[j] WHEN 1 THEN 1 - q[j] ELSE 0.0 END))"
+    cast = "list_sum(list_transform(range(1, len(vs) + 1), lambda j: CASE WHEN vs[j][r] = 0 THEN 0.0 ELSE ms[j] END))"
+    share = f"least(({right} + {quality_rules.RIGHT}) / ({cast} + {quality_rules.RIGHT + quality_rules.WRONG}), {quality_rules.MOST}::DOUBLE)"
+    return rf"""
+        WITH RECURSIVE w AS MATERIALIZED (
+          SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+          FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        wins AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+        twice AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY doc_id),
+        s AS MATERIALIZED (
+          SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+                 length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
+                 len(list_distinct(w[1:500])) AS n_distinct
+          FROM w LEFT JOIN covered USING (doc_id)),
+        votes AS MATERIALIZED (SELECT *, [{votes}] AS v FROM s),
+        patterns AS (SELECT v, count(*)::DOUBLE AS n, len(list_filter(v, lambda x: x > 0)) > 1 AS m FROM votes GROUP BY v),
+        counted AS (SELECT list(v ORDER BY v) AS vs, list(CASE WHEN m THEN n ELSE 0.0 END ORDER BY v) AS ms FROM patterns),
+        em AS (
+          SELECT 0 AS step, vs, ms, list_transform(range({n}), lambda r: {odds}) AS odds FROM counted
+          UNION ALL
+          SELECT step + 1, vs, ms, list_transform(list_transform(range(1, {n + 1}), lambda r: {share}), lambda a: ln(a / (1 - a)))
+          FROM (SELECT *, list_transform(vs, lambda v: 1 / (1 + exp(-{logit}))) AS q FROM em WHERE step < {quality_rules.ROUNDS})),
+        posterior AS (SELECT v, 1 / (1 + exp(-{logit})) AS p FROM (SELECT unnest(vs) AS v, odds FROM em WHERE step = {quality_rules.ROUNDS}))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND p >= 0.5 AS kept
+        FROM votes JOIN posterior USING (v)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op10_quality_rules": _rules_sql(),
     "op8_licenses": f"""
         WITH t(license, grams) AS (VALUES {_template_values()}),
         d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents),
