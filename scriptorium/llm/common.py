@@ -40,8 +40,12 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+#: Arguments longer than this are not remembered.
+LONG = 256
+
+
 class Memo(dict):
-    """Results of a function by its argument, in two generations of at most ``limit`` entries each."""
+    """Results of a function by its argument, in two generations of at most ``limit`` entries each; long arguments are computed anew."""
 
     def __init__(self, compute: Callable, limit: int = 300_000):
         super().__init__()
@@ -51,6 +55,8 @@ class Memo(dict):
         value = self._old.get(key)
         if value is None:
             value = self._compute(key)
+            if len(key) > LONG:
+                return value
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.llm.common import checkpointed, resource, text_list
+from scriptorium.llm.common import LONG, checkpointed, resource, text_list
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 2048
@@ -72,6 +72,10 @@ class TextTokenizer:
         for pieces, have in zip(cut, found, strict=True):
             if None in have:
                 have[:] = [known[piece] if ids is None else ids for piece, ids in zip(pieces, have, strict=True)]
+        for piece in missing:
+            if len(piece) > LONG:
+                known.pop(piece, None)
+                known.pop(piece[:-1], None)
         return [b"".join(have) for have in found]
 
     def _learn(self, missing: set[str]) -> None:

@@ -193,14 +193,20 @@ class TextCounter:
             return ChunkMap(a.head, a.count, a.tail + b.head)
         return ChunkMap(a.head, a.count + self._words[a.tail + b.head] + b.count, b.tail)
 
+    def _prefixes(self, text: str, chunk: int) -> list[ChunkMap]:
+        return prefix_scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)], self.compose)
+
+    def _ended(self, m: ChunkMap) -> int:
+        """The tokens of a chunk that nothing comes before or after."""
+        return self._words[m.head] + (m.count or 0) + self._words[m.tail]
+
     def prefix_counts(self, text: str, chunk: int = CHUNK) -> list[int]:
         """The tokens up to the end of each chunk, words cut there counted as they stand."""
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        return [self._words[m.head] + (m.count or 0) + self._words[m.tail] for m in prefix_scan(maps, self.compose)]
+        return [self._ended(m) for m in self._prefixes(text, chunk)]
 
-    def count(self, text: str) -> int:
-        counts = self.prefix_counts(text)
-        return counts[-1] if counts else 0
+    def count(self, text: str, chunk: int = CHUNK) -> int:
+        prefixes = self._prefixes(text, chunk)
+        return self._ended(prefixes[-1]) if prefixes else 0
 
 
 def prefix_scan(items: list, compose: Callable) -> list:
