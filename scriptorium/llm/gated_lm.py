@@ -30,10 +30,12 @@ BUCKETS = ENDINGS * MARKS
 CLASSES, HIDDEN = 40, 24
 #: Training: one document in so many per round, rounds, texts side by side, steps of backpropagation, step size.
 EVERY, ROUNDS, LANES, STEPS, RATE = 32, 3, 64, 16, 0.15
+#: Training reads texts in pieces of so many tokens, each from a fresh state, so that no lane is much longer than others.
+PIECE = 512
 #: Sum of squared gradients before the first; it keeps the first steps of rarely used weights short.
 FIRST_SQUARE = 0.01
-#: Scoring: texts side by side, and steps per window.
-ABREAST, WINDOW = 384, 64
+#: Scoring: texts side by side, steps per window, and texts scored at once.
+ABREAST, WINDOW, TEXTS = 384, 64, 2000
 SEED = 5_077
 #: Numbers per row of the exchange of weights.
 BLOCK = 8192
@@ -230,15 +232,20 @@ class Trainer:
         """Trains on texts of symbols; lanes read them one after the other. The tokens read."""
         n = len(self.network.vocabulary.mass)  # the symbol read before the first word
         lanes: list[np.ndarray] = [np.empty((0, 3), int)] * LANES
-        h, total, texts, going = np.zeros((LANES, HIDDEN), "f4"), 0, iter(texts), True
+
+        def pieces():
+            for symbols in texts:
+                rows = np.c_[np.r_[n, symbols[:-1]], symbols, np.arange(len(symbols)) % PIECE == 0]
+                yield from (rows[i : i + PIECE] for i in range(0, len(rows), PIECE))
+
+        h, total, coming, going = np.zeros((LANES, HIDDEN), "f4"), 0, pieces(), True
         while True:
             for i in range(LANES):
                 while going and len(lanes[i]) < STEPS:
-                    symbols = next(texts, None)
-                    going = symbols is not None
+                    piece = next(coming, None)
+                    going = piece is not None
                     if going:
-                        rows = np.c_[np.r_[n, symbols[:-1]], symbols, np.arange(len(symbols)) == 0]
-                        lanes[i] = np.r_[lanes[i], rows]
+                        lanes[i] = np.r_[lanes[i], piece]
             full = [i for i in range(LANES) if len(lanes[i]) >= STEPS]
             if not full:
                 full = [i for i in range(LANES) if len(lanes[i])]
@@ -394,8 +401,9 @@ def score(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         vocabulary, network = _network_of(sent)
         for batch in batches:
             keys = batch.column(0)
-            for a in range(0, batch.num_rows, ABREAST):
-                part = [vocabulary.symbols(words_of(t or "")) for t in batch.column(1).slice(a, ABREAST).to_pylist()]
+            # A whole batch is scored at once: texts of like length go side by side.
+            for a in range(0, batch.num_rows, TEXTS):
+                part = [vocabulary.symbols(words_of(t or "")) for t in batch.column(1).slice(a, TEXTS).to_pylist()]
                 scores = text_scores(network, [symbols for _, symbols, _ in part])
                 rows, token, n, tokens, known, base, model = [], [], [], [], [], [], []
                 for i, ((places, _, rare), s) in enumerate(zip(part, scores, strict=True), a):
