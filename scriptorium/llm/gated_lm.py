@@ -2,8 +2,8 @@
 
 Outputs are factored: a class, then a word of the class. Frequent words have outputs of their own; every other word
 belongs to a bucket by its ending, is drawn from the bucket by its count in the whole training text, and the
-network predicts the bucket. Training runs in rounds: each task starts from the same weights, trains on its share of
-the round's documents by truncated backpropagation, and the weights of all tasks are averaged by their
+network predicts the bucket. Training reads every training text once, in rounds: each task starts from the same weights,
+trains on its share of the round's documents by truncated backpropagation, and the weights of all tasks are averaged by their
 tokens. Scoring carries the state of a document from window to window, so its likelihood is that of the whole text.
 """
 
@@ -27,9 +27,9 @@ OUTPUTS, TABLE, LONGEST = 1500, 200_000, 64
 #: Buckets of all other words: endings times kinds of punctuation after them.
 ENDINGS, MARKS = 32, 4
 BUCKETS = ENDINGS * MARKS
-CLASSES, HIDDEN = 40, 24
-#: Training: one document in so many per round, rounds, texts side by side, steps of backpropagation, step size.
-EVERY, ROUNDS, LANES, STEPS, RATE = 32, 3, 64, 16, 0.15
+CLASSES, HIDDEN = 40, 32
+#: Training: rounds, which share out all texts, texts side by side, steps of backpropagation, step size.
+ROUNDS, LANES, STEPS, RATE = 3, 64, 16, 0.15
 #: Training reads texts in pieces of so many tokens, each from a fresh state, so that no lane is much longer than others.
 PIECE = 512
 #: Sum of squared gradients before the first; it keeps the first steps of rarely used weights short.
@@ -347,8 +347,13 @@ def _network_of(handle) -> tuple[Vocabulary, Network]:
     return vocabulary, Network(vocabulary, flat)
 
 
-def train(docs: DataFrame, text: str, vocabulary: Vocabulary, every: int = EVERY, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights. Each round reads one document in ``every``, another part each time, chosen by a hash of the text."""
+def round_of(key: str, text: str, rounds: int = ROUNDS) -> Column:
+    """The round that reads a row. Copies of a text are told apart by their keys, rows without a key by their texts."""
+    return F.pmod(F.xxhash64(key, text), F.lit(rounds))
+
+
+def train(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights. Each round reads the rows of its own, and all rounds together read every row once."""
     spark, network = docs.sparkSession, Network(vocabulary)
     blocks = -(-len(network.flat) // BLOCK)
     for number in range(rounds):
@@ -370,7 +375,7 @@ def train(docs: DataFrame, text: str, vocabulary: Vocabulary, every: int = EVERY
             total = sum(s * row for s, row in sorted(zip(seen, rows, strict=True), key=lambda x: (x[0], x[1].tobytes()))) / seen.sum()
             return pa.table({"i": group.column("i")[:1], "row": pa.array([total.astype("f4").tobytes()], pa.binary())})
 
-        part = docs.filter(F.pmod(F.xxhash64(text), F.lit(every)) == number % every).select(F.col(text).alias("text"))
+        part = docs.filter(round_of(key, text, rounds) == number).select(F.col(text).alias("text"))
         found = part.mapInArrow(run, "i int, seen bigint, row binary").groupBy("i").applyInArrow(mean, "i int, row binary").collect()
         if found:
             moved = np.concatenate([np.frombuffer(row["row"], "f4") for row in sorted(found, key=lambda r: r["i"])])
@@ -395,7 +400,7 @@ def score(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     learnt = docs.filter(F.coalesce(~held_out(F.col(key)), F.lit(True)))
     counts = checkpointed(word_counts(learnt, text))
     vocabulary = vocabulary_of(counts)
-    sent = spark.sparkContext.broadcast((vocabulary, train(learnt, text, vocabulary)))
+    sent = spark.sparkContext.broadcast((vocabulary, train(learnt, key, text, vocabulary)))
 
     def run(batches):
         vocabulary, network = _network_of(sent)

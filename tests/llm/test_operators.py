@@ -346,6 +346,21 @@ def test_language_model(spark, odd, none):
     assert gated_lm.score(none, "doc_id").count() == 0
 
 
+def test_language_model_reads_every_training_text_once(spark, odd):
+    rows = [*((i, PROSE) for i in range(300)), *((300 + i, f"text {i}") for i in range(300)), *((None, f"no key {i}") for i in range(30)), *texts()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    number = gated_lm.round_of("doc_id", "text")
+    parts = [[tuple(row) for row in docs.filter(number == i).collect()] for i in range(gated_lm.ROUNDS)]
+    order = lambda row: (str(row[0]), str(row[1]))
+    assert sorted((row for part in parts for row in part), key=order) == sorted(rows, key=order)
+    assert all(sum(t == PROSE for _, t in part) > 50 for part in parts)
+    # Each text moves the weights, also alone.
+    vocabulary = gated_lm.vocabulary_of(checkpointed(gated_lm.word_counts(docs)))
+    start = gated_lm.Network(vocabulary).flat
+    for text in ("text 1", "text 2", "text 3", "text 4"):
+        assert not np.array_equal(gated_lm.train(docs.filter(F.col("text") == text), "doc_id", "text", vocabulary), start)
+
+
 def test_language_model_gradients():
     """Backpropagation against differences, and scores that do not depend on windows or neighbours."""
     words, counts = ["\n", *[f"w{i}" for i in range(60)]], np.arange(61, 0, -1)
