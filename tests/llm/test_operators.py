@@ -143,6 +143,25 @@ def test_quality_rules(spark, odd, none):
     assert clash.columns.count("kept") == 1 and set(CLASHES) - {"_pattern"} <= set(clash.columns)
 
 
+def test_distinct_words_of_whole_texts(spark, odd):
+    """A varied head does not hide a poor text, nor a poor head a varied one; texts of up to 500 words count as they are."""
+    r = random.Random(12)
+    fresh = lambda n: [f"word{r.randrange(10**6)}" for _ in range(n)]
+    poor = lambda n: [r.choice(["stone", "river", "cloud", "tree", "grass"]) for _ in range(n)]
+    cases = [fresh(500) + poor(4000), poor(500) + fresh(4000), fresh(500), fresh(501), poor(499), poor(1250), []]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(cases)], "doc_id bigint, text string")
+    got = dict(rows_of(quality_rules.measure(docs), "doc_id", "n_distinct"))
+
+    def brute(words):
+        total = sum(len(set(words[i : i + 500])) for i in range(0, len(words), 500))
+        return 500 * total // len(words) if len(words) > 500 else total
+
+    assert got == {i: brute(words) for i, words in enumerate(cases)}
+    place = [rule.name for rule in quality_rules.RULES].index("distinct_words")
+    votes = {k: p[place] for k, p in rows_of(quality_rules.measure(docs), "doc_id", "_pattern")}
+    assert votes[0] == str(quality_rules.BAD) and votes[1] == str(quality_rules.ABSTAIN)
+
+
 def test_votes_are_weighed_by_agreement(spark):
     # Rules 1 and 2 agree; rule 3 says the opposite of both; rule 4 votes alone.
     patterns = spark.createDataFrame([("1120", 60), ("2210", 300), ("0000", 50), ("0001", 20), ("0010", 5)], "pattern string, n bigint")
