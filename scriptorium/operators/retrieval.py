@@ -103,6 +103,13 @@ def rejected_vectors(vectors: DataFrame, width: int) -> DataFrame:
     return vectors.filter(~usable_vector(F.col("embedding"), width)).withColumn("reason", reason)
 
 
+def usual_width(vectors: DataFrame) -> int:
+    """The most frequent width of the vectors without nulls; of equally frequent ones the smallest. 1 if there are none."""
+    whole = vectors.filter(F.coalesce(~F.exists("embedding", lambda x: x.isNull()), F.lit(False)) & (F.size("embedding") > 0))
+    first = whole.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    return first["width"] if first else 1
+
+
 def nearest(
     vectors: DataFrame,
     questions: DataFrame,
@@ -110,12 +117,13 @@ def nearest(
     metric: str = "cosine",
     id_column: str = "id",
     question_bytes: int = QUESTION_BYTES,
+    width: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every question: ``(query_id, rank, id, distance)``.
 
     ``vectors`` has ``id_column`` and ``embedding``, ``questions`` has ``query_id`` and ``embedding``.
-    Vectors of another width than the questions' widest, and those with nulls, are left out on both sides
-    (``rejected_vectors`` names them). ``metric`` is ``cosine`` or ``l2`` (squared). Distances are rounded to 6 decimals, ties go by id.
+    Vectors of another width than ``width``, and those with nulls, are left out on both sides
+    (``rejected_vectors`` names them). By default it is the most frequent width of ``vectors``. ``metric`` is ``cosine`` or ``l2`` (squared). Distances are rounded to 6 decimals, ties go by id.
 
     Each task multiplies its share of the corpus with the question block and keeps ``k`` rows per question;
     only those are shuffled, and the final rank takes ``k`` of them. The corpus itself is never shuffled.
@@ -125,8 +133,9 @@ def nearest(
     spark = vectors.sparkSession
     checkpoint_folder(spark)
     asked = questions.select("query_id", "embedding").checkpoint()
-    count, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    width = usual_width(vectors) if width is None else width
     asked = asked.filter(usable_vector(F.col("embedding"), width))
+    count = asked.count()
     size = count * width * 8
     # Twice the number needed on average, so that an uneven hash keeps every pass within its bound.
     passes = 1 if size <= question_bytes else -(-2 * size // question_bytes)

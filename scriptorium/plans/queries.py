@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.constants import COOCCURRENCE_RADIUS, DISTANCE_CUTOFF, TOP_K, TOP_K_SMALL
+from scriptorium.constants import EMBEDDING_DIM, COOCCURRENCE_RADIUS, DISTANCE_CUTOFF, TOP_K, TOP_K_SMALL
 from scriptorium.functions import markup
 from scriptorium.operators import chunking, crawl, dictionary, graph, lexicon, pages, presence, prompts, retrieval, status
 from scriptorium.operators import documents as docs
@@ -484,6 +484,7 @@ def _search(spark, sf_dir, metric: str) -> tuple[DataFrame, DataFrame, DataFrame
         retrieval.embed_texts(asked, "question"),
         TOP_K,
         metric,
+        width=EMBEDDING_DIM,
     )
     return index, asked, results
 
@@ -504,14 +505,16 @@ def semantic_search(spark, sf_dir):
 def _label_search(spark, sf_dir, k: int, metric: str) -> DataFrame:
     """The mean vector of each label as a question to the whole table; the labels are few."""
     vectors = tables.load(spark, sf_dir, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), "embedding", "label")
+    width = retrieval.usual_width(vectors)
     means = (
-        vectors.select(F.col("label").cast("bigint").alias("query_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+        vectors.filter(retrieval.usable_vector(F.col("embedding"), width))
+        .select(F.col("label").cast("bigint").alias("query_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
         .groupBy("query_id", "i")
         .agg(F.avg("x").alias("x"))
         .groupBy("query_id")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
     )
-    return retrieval.nearest(vectors.select("id", "embedding"), means, k, metric)
+    return retrieval.nearest(vectors.select("id", "embedding"), means, k, metric, width=width)
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.constants import ANSWER_ERROR, NOTHING_FOUND, NOTHING_RELEVANT
 from scriptorium.functions.vectors import hash_vector
 from scriptorium.operators import prompts, retrieval
+from scriptorium.plans import queries
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +111,19 @@ def test_unusable_vectors_are_left_out_and_named(spark):
         assert [(r.query_id, r.id) for r in retrieval.nearest(corpus, asked, 5, metric).orderBy("rank").collect()] == [(7, 1), (7, 5)]
     found = {r.id: r.reason for r in retrieval.rejected_vectors(corpus, 2).collect()}
     assert found == {2: "no vector", 3: "wrong width", 4: "null in vector"}
+
+
+def test_over_wide_vectors_do_not_empty_the_result(spark):
+    """Neither a question nor a vector of the corpus with a number too many changes what the others find."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 5.0])]
+    corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0, 1.0])], "query_id bigint, embedding array<double>")
+    assert [(r.query_id, r.id) for r in retrieval.nearest(corpus, asked, 5).orderBy("query_id", "rank").collect()] == [(7, 1), (7, 2)]
+    assert {r.query_id: r.reason for r in retrieval.rejected_vectors(asked, 2).collect()} == {8: "wrong width"}
+
+
+def test_label_means_of_usable_vectors(spark, tmp_path):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0, 9.0]), (3, 1, [0.0, 1.0]), (4, 1, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.QUERIES["knn_cosine"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.id) for r in found if r["rank"] == 1} == {(0, 1), (1, 3)} and len(found) == 6
