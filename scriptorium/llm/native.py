@@ -16,3 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """The maximal runs of characters that are no ASCII white space; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda word: word != "")
+
+
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z lower-cased and no other character changed."""
+    # A text of ASCII characters only has no other capitals, and lower() is the faster way.
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, CAPITALS, CAPITALS.lower()))

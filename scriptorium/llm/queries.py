@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, chat_format, edit_fingerprint, gated_lm, licenses, packing, quality_classifier, quality_rules, simhash, token_counts
+from scriptorium.llm import (
+    bpe,
+    chat_format,
+    edit_fingerprint,
+    exact_dedup,
+    gated_lm,
+    lexical_search,
+    licenses,
+    merkle,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+)
 from scriptorium.llm.common import checkpointed, table
+from scriptorium.llm.native import lower_ascii
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +106,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The columns of a document that its leaf covers, in this order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verification; in a fifth of the documents the text was changed after the manifest was made."""
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.leaf_digest(*[lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in LEAF])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, changed)
+    leaves = docs.select(F.col("source").alias("tree"), F.col("doc_id").alias("key"), merkle.leaf_digest(*map(F.col, LEAF)).alias("digest"), tampered.alias("altered"))
+    return merkle.manifest(leaves).proof_digests("doc_id")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", k=20)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its exact copies that stays."""
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
@@ -102,7 +140,12 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
+
+
 def _template_values() -> str:
     rows = [(name, licenses.bigrams_of(body)) for name, body in licenses.TEMPLATES]
     return ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in rows)
@@ -146,7 +189,78 @@ def _rules_sql() -> str:
     """
 
 
+CAPITALS_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql() -> str:
+    """Levels by grouping, proofs by joining each leaf to the runs above it, roots by folding those runs again."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(text if c == 'text' else c) for c in LEAF)})"
+
+    # CRC-32 of the digits of the key, bit by bit.
+    bits = "list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(c, ascii(d)::BIGINT))"
+    crc = f"xor(4294967295, list_reduce(string_split(doc_id::VARCHAR, ''), lambda c, d: {bits}, 4294967295::BIGINT))"
+    up = "SELECT {tree} level + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER ({part}) AS n FROM {name}) WHERE n > 1 GROUP BY {tree} level, i // 16"
+    return f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+          SELECT doc_id, source, {leaf('text')} AS d, CASE WHEN {crc} % 5 = 0 THEN {leaf(CAPITALS_SQL.format('text'))} END AS changed,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents),
+        nodes AS (SELECT source, 0 AS level, i, d FROM leaves UNION ALL {up.format(tree='source,', part='PARTITION BY source', name='nodes')}),
+        built AS MATERIALIZED (SELECT * FROM nodes),
+        heights AS MATERIALIZED (SELECT source, max(level) AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank FROM built GROUP BY source),
+        subroots AS MATERIALIZED (SELECT h.*, b.d AS subroot FROM heights h JOIN built b ON b.source IS NOT DISTINCT FROM h.source AND b.level = h.height),
+        tops AS (SELECT 0 AS level, rank AS i, subroot AS d FROM subroots UNION ALL {up.format(tree='', part='', name='tops')}),
+        top AS MATERIALIZED (SELECT * FROM tops),
+        root AS MATERIALIZED (SELECT level AS height, d AS root FROM top ORDER BY level DESC LIMIT 1),
+        steps AS MATERIALIZED (
+          SELECT doc_id, l.d AS leaf, changed, subroot, l.source, l.i, height, rank, 0 AS level FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source),
+        runs AS MATERIALIZED (
+          SELECT doc_id, level, list(d ORDER BY nth) AS run, list_position(list(nth ORDER BY nth), own) AS place FROM (
+            SELECT s.doc_id, b.level, b.d, b.i AS nth, s.i // (16 ** b.level)::BIGINT AS own FROM steps s JOIN built b
+              ON b.source IS NOT DISTINCT FROM s.source AND b.level < s.height AND b.i // 16 = s.i // (16 ** (b.level + 1))::BIGINT
+            UNION ALL
+            SELECT s.doc_id, s.height + t.level, t.d, t.i, s.rank // (16 ** t.level)::BIGINT FROM steps s, root r JOIN top t
+              ON t.level < r.height WHERE t.i // 16 = s.rank // (16 ** (t.level + 1))::BIGINT) GROUP BY doc_id, level, own),
+        ways AS MATERIALIZED (
+          SELECT doc_id, list({{'run': run, 'place': place}} ORDER BY level) AS way,
+                 string_agg(array_to_string(list_concat(run[:place - 1], run[place + 1:]), ''), '' ORDER BY level) AS proof FROM runs GROUP BY doc_id),
+        folds AS (
+          SELECT doc_id, 0 AS step, coalesce(changed, leaf) AS d, coalesce(way, []) AS way FROM steps LEFT JOIN ways USING (doc_id)
+          UNION ALL
+          SELECT doc_id, step + 1, sha256(array_to_string(list_concat(list_append(way[step + 1].run[:way[step + 1].place - 1], d), way[step + 1].run[way[step + 1].place + 1:]), '')), way
+          FROM folds WHERE step < len(way))
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.d AS folded_root, f.d = root AS verified
+        FROM steps JOIN folds f USING (doc_id) LEFT JOIN ways USING (doc_id), root WHERE f.step = len(f.way)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_lexical_search": """
+        WITH words AS MATERIALIZED (
+          SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+          FROM documents WHERE text IS NOT NULL),
+        sized AS MATERIALIZED (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+        whole AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+        tf AS MATERIALIZED (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sized) GROUP BY ALL),
+        weights AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+        asked AS MATERIALIZED (SELECT item_id, term, count(*)::BIGINT AS times FROM (
+          SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+        scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+          FROM asked JOIN weights USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
+    "op13_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, {CAPITALS_SQL.format("coalesce(text, '')")} AS t FROM documents)
+    """,
     "op10_quality_rules": _rules_sql(),
     "op8_licenses": f"""
         WITH t(license, grams) AS (VALUES {_template_values()}),
