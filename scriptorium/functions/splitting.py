@@ -1,59 +1,9 @@
-"""Splitting of one text and places of its pieces, helpers for use inside vectorised functions."""
+"""Places of the chunks of a text, a helper for use inside vectorised functions."""
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
-SEPARATORS = ("\n\n", "\n", " ", "")
-
-
-def _cut(text: str, separator: str) -> list[str]:
-    """Pieces of the text; each keeps the separator in front of it."""
-    if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [piece for piece in (head, *(separator + piece for piece in rest)) if piece]
-
-
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbouring pieces up to ``size`` and let each result start with a tail of the one before."""
-    packed: list[str] = []
-    window: deque[str] = deque()
-    width = 0
-    for piece in pieces:
-        if window and width + len(piece) > size:
-            packed.append("".join(window))
-            while window and (width > overlap or width + len(piece) > size):
-                width -= len(window.popleft())
-        window.append(piece)
-        width += len(piece)
-    packed.append("".join(window))
-    return [text for text in map(str.strip, packed) if text]
-
-
-def split_recursively(text: str | None, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that makes them fit."""
-    if not text:
-        return []
-    level = next((i for i, mark in enumerate(separators) if mark == "" or mark in text), len(separators) - 1)
-    finer = separators[level + 1 :]
-    chunks: list[str] = []
-    fitting: list[str] = []
-    for piece in _cut(text, separators[level]):
-        if len(piece) < size:
-            fitting.append(piece)
-            continue
-        if fitting:
-            chunks += _pack(fitting, size, overlap)
-            fitting = []
-        chunks += split_recursively(piece, size, overlap, finer) if finer else [piece]
-    if fitting:
-        chunks += _pack(fitting, size, overlap)
-    return chunks
-
-
 _BASE = np.uint64(6364136223846793005)
 
 

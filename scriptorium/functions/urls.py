@@ -123,6 +123,11 @@ def storage_path(url: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(segments, "/"), F.lit("")), F.lit("index"))
 
 
+def canonical(url: Column) -> Column:
+    """The address of the page: the URL without its fragment."""
+    return F.substring_index(url, "#", 1)
+
+
 def is_pdf(url: Column) -> Column:
     """Decided on the whole address, so ``x.pdf?y`` is not a PDF."""
     return F.lower(url).endswith(".pdf")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.constants import CHUNK_OVERLAP, CHUNK_SIZE, SOURCE_FALLBACK
-from scriptorium.functions.splitting import first_lines, split_recursively
+from scriptorium.functions.splitting import first_lines
 from scriptorium.functions.text import basename, let, positions, strip, words
 from scriptorium.operators.ordering import dense_ordinal, running_offset
 from scriptorium.session import checkpoint_folder
@@ -210,16 +210,22 @@ def chunk_index_table(
     )
 
 
+def numbered_chunks(chunks: DataFrame, key: str) -> DataFrame:
+    """Chunk rows with ``position``: their running number over the whole corpus, in document and chunk order.
+
+    The texts are cut once: the chunks are written, and only their numbers per document are ranked.
+    """
+    checkpoint_folder(chunks.sparkSession)
+    written = chunks.checkpoint()
+    counts = written.groupBy(key).agg(F.count("*").alias("_count"))
+    offsets = running_offset(counts, key, "_count", "_offset").select(key, "_offset")
+    return written.join(offsets, key).withColumn("position", F.col("_offset") + F.col("chunk_index")).drop("_offset")
+
+
 def global_positions(documents: DataFrame, key: str = "path") -> DataFrame:
-    """Chunks with their running number over the whole corpus, in document and chunk order."""
-    checkpoint_folder(documents.sparkSession)
-    counts = documents.select(key, F.size(paragraph_chunks(F.col("text"))).cast("bigint").alias("_count"))
-    offsets = running_offset(counts.checkpoint(), key, "_count", "_offset").select(key, "_offset")
-    return (
-        chunk_rows(documents, key)
-        .join(offsets, key)
-        .select((F.col("_offset") + F.col("chunk_index")).alias("position"), key, "chunk_index", "chunk")
-    )
+    """Chunks with their running number over the whole corpus."""
+    cut = documents.select(key, F.posexplode(paragraph_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return numbered_chunks(cut, key).select("position", key, "chunk_index", "chunk")
 
 
 def attach_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -234,12 +240,106 @@ def attach_source(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def recursive_chunks(chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
-    """A vectorised function ``text -> ARRAY<STRING>``: recursive splitting by ever smaller separators."""
+#: From the coarsest to the finest; what none of them makes fit is cut by characters.
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def _window(spans: Column, first: Column, lengths: Column, filled: Column) -> Column:
+    return F.struct(spans.alias("spans"), first.cast("int").alias("first"), lengths.alias("lengths"), filled.cast("int").alias("filled"))
+
+
+def _refined(text: Column, separator: str, size: int, overlap: int) -> Column:
+    """Pieces of one span, cut at the separator: ``ARRAY<STRUCT<text, done>>``.
+
+    A piece keeps the separator in front of it. Pieces shorter than ``size`` are packed, and a result starts with the tail of the one before; a
+    longer piece is left for the next separator. The fold carries lengths and yields spans of pieces; texts are built once.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(parts: Column) -> Column:
+        def closed(state: Column, i: Column) -> Column:
+            """The spans with the open window, which ends before piece ``i``."""
+            span = F.struct(state["first"].alias("first"), (i - 1).alias("last"), F.lit(False).alias("whole"))
+            return F.when(F.size(state["lengths"]) > 0, F.array_append(state["spans"], span)).otherwise(state["spans"])
+
+        def overflow(state: Column, i: Column, length: Column) -> Column:
+            """The window without the pieces that must go for the next one to fit behind a tail of ``overlap``."""
+            start = F.struct(F.lit(0).alias("gone"), state["filled"].alias("filled"))
+            drop = F.aggregate(
+                state["lengths"],
+                start,
+                lambda s, n: F.when(
+                    (s["filled"] > overlap) | (s["filled"] + length > size),
+                    F.struct((s["gone"] + 1).alias("gone"), (s["filled"] - n).alias("filled")),
+                ).otherwise(s),
+            )
+            return let(
+                drop,
+                lambda d: _window(
+                    closed(state, i),
+                    state["first"] + d["gone"],
+                    F.array_append(F.slice(state["lengths"], d["gone"] + 1, F.size(state["lengths"])), length),
+                    d["filled"] + length,
+                ),
+            )
+
+        def step(state: Column, i: Column) -> Column:
+            def with_length(length: Column) -> Column:
+                span = F.struct(i.alias("first"), i.alias("last"), F.lit(True).alias("whole"))
+                return (
+                    F.when(length == 0, _window(state["spans"], i + 1, none, F.lit(0)))
+                    .when(length >= size, _window(F.array_append(closed(state, i), span), i + 1, none, F.lit(0)))
+                    .when((F.size(state["lengths"]) > 0) & (state["filled"] + length > size), overflow(state, i, length))
+                    .otherwise(_window(state["spans"], state["first"], F.array_append(state["lengths"], length), state["filled"] + length))
+                )
+
+            return let(F.length(F.element_at(parts, i)) + F.when(i > 1, len(separator)).otherwise(0), with_length)
+
+        start = _window(F.array().cast("array<struct<first:int,last:int,whole:boolean>>"), F.lit(1), none, F.lit(0))
+        spans = F.aggregate(positions(1, F.size(parts)), start, step, lambda state: closed(state, F.size(parts) + 1))
+
+        def piece(span: Column) -> Column:
+            packed = strip(F.array_join(F.slice(parts, span["first"], span["last"] - span["first"] + 1), separator))
+            long = F.concat(F.when(span["first"] > 1, separator).otherwise(""), F.element_at(parts, span["first"]))
+            return F.struct(F.when(span["whole"], long).otherwise(packed).alias("text"), (~span["whole"]).alias("done"))
+
+        return F.transform(spans, piece)
+
+    return let(F.split(text, separator), fold)
+
+
+def _by_characters(text: Column, size: int, overlap: int) -> Column:
+    """Overlapping runs of ``size`` characters; the text is cut once, at the places where runs begin."""
+    step = size - overlap
+    each = -(-size // step)
+
+    def runs(parts: Column) -> Column:
+        count = F.when(F.length(text) > size, 1 + F.ceil((F.length(text) - size) / step)).otherwise(1).cast("int")
+        return F.transform(F.sequence(F.lit(1), count), lambda i: strip(F.left(F.array_join(F.slice(parts, i, F.lit(each)), ""), F.lit(size))))
+
+    found = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), runs)
+    return F.transform(found, lambda run: F.struct(run.alias("text"), F.lit(True).alias("done")))
+
+
+def recursive_chunks(text: Column, chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Chunks of at most ``chunk_size`` characters, cut at the coarsest separator that makes them fit: ``ARRAY<STRING>``.
+
+    A text is a list of spans that each separator refines in turn: spans that fit are done, the others are cut again in their place. ``overlap`` must
+    be smaller than ``chunk_size``. Empty and null texts have no chunks.
+    """
+
+    def refine(spans: Column, cut: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(spans, lambda span: F.when(span["done"], F.array(span)).otherwise(cut(span["text"]))))
+
+    spans = F.array(F.struct(text.alias("text"), F.lit(False).alias("done")))
+    for separator in SEPARATORS:
+        spans = refine(spans, lambda piece, separator=separator: _refined(piece, separator, chunk_size, overlap))
+    spans = refine(spans, lambda piece: _by_characters(piece, chunk_size, overlap))
+    texts = F.filter(F.transform(spans, lambda span: span["text"]), lambda chunk: chunk != "")
+    return F.when(F.coalesce(text, F.lit("")) != "", texts).otherwise(F.array().cast("array<string>"))
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda text: split_recursively(text, chunk_size, overlap))
 
-    return split
+def recursive_rows(documents: DataFrame, key: str = "path", chunk_size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``(key, chunk_index, chunk)`` by recursive splitting, with the documents' other columns but the text."""
+    others = [name for name in documents.columns if name != "text"]
+    return documents.select(*others, F.posexplode(recursive_chunks(F.col("text"), chunk_size, overlap)).alias("chunk_index", "chunk"))

@@ -11,6 +11,7 @@ from scriptorium.constants import (
     MIN_REGION_SIDE,
     PAGE_HEADING,
     ROW_TOLERANCE,
+    ROWS_FAILED,
     TABLE_EMPTY,
     TABLE_TITLE,
     TABLES_HEADING,
@@ -19,6 +20,8 @@ from scriptorium.functions.text import let, positions, strip
 
 # Pages of one document that are assembled into one string; longer documents come in numbered parts.
 PAGES_PER_PART = 512
+# Rows of one table that are assembled into one string.
+ROWS_PER_PART = 512
 
 
 def line_paragraphs(text: Column) -> Column:
@@ -37,26 +40,38 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
+def _head(width: Column) -> Column:
+    names = F.transform(positions(1, width), lambda i: F.concat(F.lit(COLUMN_NAME), i))
+    return F.array(_line(names), _line(F.array_repeat(F.lit("---"), width)))
+
+
 def table_lines(rows: Column) -> Column:
     """Markdown lines of a ragged table: numbered headings, a rule, rows padded to the widest."""
 
     def lines(width: Column) -> Column:
-        names = F.transform(positions(1, width), lambda i: F.concat(F.lit(COLUMN_NAME), i))
         padded = F.transform(rows, lambda row: F.concat(row, F.array_repeat(F.lit(""), width - F.size(row))))
-        return F.concat(
-            F.array(_line(names), _line(F.array_repeat(F.lit("---"), width))), F.transform(padded, _line)
-        )
+        return F.concat(_head(width), F.transform(padded, _line))
 
     return F.when(F.size(rows) > 0, let(_width(rows), lines)).otherwise(F.array(F.lit(TABLE_EMPTY)))
 
 
+def _cell(text: Column) -> Column:
+    """Stripped text, a single space for a blank or missing one."""
+    return let(strip(F.coalesce(text, F.lit(""))), lambda c: F.when(c == "", " ").otherwise(c))
+
+
 def fill_cells(rows: Column) -> Column:
-    """Stripped cells, a blank one as a single space, empty rows dropped; a message when nothing is left."""
-    filled = F.transform(
-        F.filter(rows, lambda row: F.size(row) > 0),
-        lambda row: F.transform(row, lambda cell: let(strip(cell), lambda c: F.when(c == "", " ").otherwise(c))),
+    """Stripped cells, a blank one as a single space, empty rows dropped.
+
+    Without any row there is nothing to sort and the table says so; another message stands where rows are left without cells.
+    """
+    filled = F.transform(F.filter(rows, lambda row: F.size(row) > 0), lambda row: F.transform(row, _cell))
+    return let(
+        filled,
+        lambda kept: F.when(F.size(kept) > 0, kept)
+        .when(F.size(rows) > 0, F.array(F.array(F.lit(CELLS_MISSING))))
+        .otherwise(F.array(F.array(F.lit(ROWS_FAILED)))),
     )
-    return let(filled, lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(F.array(F.lit(CELLS_MISSING)))))
 
 
 def ragged_to_markdown(tables: DataFrame, *keys: str) -> DataFrame:
@@ -111,7 +126,7 @@ def reading_order(boxes: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame
     A box opens a new row when it lies more than ``tolerance`` below the first box of the current row.
     Rows depend on the distinct heights only. Those are combined before the shuffle, cut wherever the gap
     alone already opens a row, and folded per cut: a table of very many boxes costs no more than its
-    height. Columns are counted the same way, from box counts per distinct ``x``.
+    height. Columns are numbered inside the rows.
     """
     heights = boxes.select("table_id", "y").distinct()
     by_height = Window.partitionBy("table_id").orderBy("y")
@@ -138,22 +153,45 @@ def reading_order(boxes: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame
         .select("table_id", "_row.y", "_row.anchor")
         .withColumn("row_no", F.dense_rank().over(Window.partitionBy("table_id").orderBy("anchor")) - 1)
         .drop("anchor")
-        # Read by two joins below; as one named exchange it is computed once.
-        .repartition("table_id", "y")
     )
+    # Boxes meet their height, not their table: a table of very many boxes is spread over its heights.
     placed = boxes.join(anchors, ["table_id", "y"])
-    at_x = placed.groupBy("table_id", "row_no", "x").agg(F.count("*").alias("_n"))
-    left_of = Window.partitionBy("table_id", "row_no").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = at_x.select("table_id", "row_no", "x", F.coalesce(F.sum("_n").over(left_of), F.lit(0)).alias("_left"))
     ties = [name for name in boxes.columns if name not in ("table_id", "x")]
-    within = Window.partitionBy("table_id", "row_no", "x").orderBy(*ties)
-    return placed.join(offsets, ["table_id", "row_no", "x"]).select(
+    in_row = Window.partitionBy("table_id", "row_no").orderBy("x", *ties)
+    return placed.select(
         *boxes.columns,
         F.col("row_no").cast("int").alias("row_no"),
-        (F.col("_left") + F.row_number().over(within) - 1).cast("bigint").alias("col_no"),
+        (F.row_number().over(in_row) - 1).cast("bigint").alias("col_no"),
     )
 
 
+def boxes_to_markdown(regions: DataFrame, boxes: DataFrame, tolerance: int = ROW_TOLERANCE, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """``(table_id, part, markdown)``: the Markdown table of every region ``(table_id)`` from its cell boxes ``(table_id, x, y, text, ...)``.
+
+    Cells stand in reading order; blank ones are a single space, short rows are padded to the widest. Rows come together in two levels: the cells of a
+    row, then ``rows_per_part`` rows of a part; the text of a table is the concatenation of its parts. A region without
+    boxes, or with one that has no place, cannot be sorted and holds the message that says so. Regions may repeat; boxes of unknown regions are left out.
+    """
+    known = regions.select("table_id").distinct()
+    unplaced = boxes.filter(F.col("x").isNull() | F.col("y").isNull()).select("table_id").distinct()
+    placed = reading_order(boxes.join(unplaced, "table_id", "left_anti").join(known, "table_id", "left_semi"), tolerance)
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("col_no", _cell(F.col("text")).alias("cell")))), lambda c: c["cell"])
+    rows = placed.groupBy("table_id", "row_no").agg(cells.alias("cells"))
+    widths = placed.groupBy("table_id").agg((F.max("col_no") + 1).cast("int").alias("width"))
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    lines = rows.join(widths, "table_id").select(
+        "table_id", "width", F.floor(F.col("row_no") / rows_per_part).cast("int").alias("part"), F.struct("row_no", _line(padded).alias("line")).alias("_line")
+    )
+    parts = lines.groupBy("table_id", "part", "width").agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
+    body = F.array_join(F.transform("_lines", lambda row: row["line"]), "\n")
+    head = F.array_join(_head(F.col("width")), "\n")
+    # A later part continues the text before it, so it starts with the separator.
+    made = parts.select("table_id", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), F.lit("\n"), body).alias("markdown"))
+    failed = F.array_join(table_lines(F.array(F.array(F.lit(ROWS_FAILED)))), "\n")
+    unsorted = known.join(widths, "table_id", "left_anti").select("table_id", F.lit(0).alias("part"), failed.alias("markdown"))
+    return made.unionByName(unsorted)
+
+
 def region_filter(boxes: DataFrame, minimum: int = MIN_REGION_SIDE) -> DataFrame:
     """Regions larger than ``minimum`` both ways; the id is the place before the filter, so ids have gaps.
 

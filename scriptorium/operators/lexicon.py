@@ -24,7 +24,7 @@ from scriptorium.constants import (
     SPACE,
     STOP_WORDS,
 )
-from scriptorium.functions.text import first_or_null, let, positions, strip
+from scriptorium.functions.text import let, strip
 
 #: Parts that the lists of an entry come in, unless a caller asks for more.
 PARTS = 1
@@ -58,61 +58,81 @@ def acronym_occurrences(documents: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def _definition_candidates(text: Column) -> Column:
-    """Both forms of definition at every opening parenthesis of the text.
+_ENTRIES = "array<struct<acronym:string,form:int,at:int,part:int>>"
 
-    The text is cut at its opening parentheses once, for all acronyms together. ``before`` is the run of
-    capitals in front of one and ``inside`` what it holds (form 1); ``alone`` is the acronym that fills it
-    and ``front`` the text back to the parenthesis before it (form 2).
+
+def _entries(acronyms: Column, closed: Column, opened: Column) -> Column:
+    """Everything that can define an acronym of the text, sorted by acronym, form and place.
+
+    ``closed`` are the texts before each ``)``, cut at their ``(``: what follows one of these up to the ``)`` is form 1 for the run of capitals before it,
+    and for the ends of that run. ``opened`` is the whole text cut at its ``(``: form 2 is an acronym alone in parentheses, behind any text. Form 0 stands
+    for the acronym itself.
     """
+    lengths = F.array_distinct(F.transform(acronyms, F.length))
 
-    def at(pieces: Column, i: Column) -> Column:
-        front = F.element_at(pieces, i - 1)
-        behind = F.element_at(pieces, i)
-        before = F.regexp_extract(front, f"([A-Z]{{2,}}){SPACE}*$", 1)
-        tail = F.when(behind.contains(")"), behind).otherwise(
-            F.array_join(F.slice(pieces, i, F.size(pieces)), "(")
-        )
-        inside = F.when((before != "") & tail.contains(")"), F.substring_index(tail, ")", 1))
-        alone = F.regexp_extract(behind, rf"^{SPACE}*([A-Z]{{2,}}){SPACE}*\)", 1)
-        return F.struct(
-            before.alias("before"),
-            F.when(inside != "", strip(inside)).alias("inside"),
-            alone.alias("alone"),
-            F.when((alone != "") & (front != ""), strip(front)).alias("front"),
-        )
+    def first_form(parts: Column, at: Column) -> Column:
+        def ends(part: Column, k: Column) -> Column:
+            def entries(run: Column) -> Column:
+                own = F.filter(lengths, lambda n: n <= F.length(run))
+                return F.transform(own, lambda n: F.struct(F.right(run, n).alias("acronym"), F.lit(1).alias("form"), at.alias("at"), k.alias("part")))
 
-    return let(
-        F.split(text, r"\("),
-        lambda pieces: F.filter(
-            F.transform(positions(2, F.size(pieces)), lambda i: at(pieces, i)),
-            lambda c: c["inside"].isNotNull() | c["front"].isNotNull(),
-        ),
-    )
+            # The last part stands behind the last "(" and has nothing to define; empty parentheses define nothing either.
+            defines = (k < F.size(parts) - 1) & ~((k == F.size(parts) - 2) & (F.element_at(parts, -1) == ""))
+            return F.when(defines, let(F.regexp_extract(part, f"([A-Z]{{2,}}){SPACE}*$", 1), entries)).otherwise(F.array().cast(_ENTRIES))
 
+        return F.flatten(F.transform(parts, ends))
+
+    def second_form(part: Column, k: Column) -> Column:
+        alone = F.regexp_extract(part, rf"^{SPACE}*([A-Z]{{2,}}){SPACE}*\)", 1)
+        found = F.when((k > 0) & (F.get(opened, k - 1) != ""), alone).otherwise("")
+        return F.struct(found.alias("acronym"), F.lit(2).alias("form"), k.alias("at"), F.lit(0).alias("part"))
+
+    itself = F.transform(acronyms, lambda a: F.struct(a.alias("acronym"), F.lit(0).alias("form"), F.lit(0).alias("at"), F.lit(0).alias("part")))
+    one = F.flatten(F.transform(closed, first_form)).cast(_ENTRIES)
+    two = F.filter(F.transform(opened, second_form), lambda entry: entry["acronym"] != "").cast(_ENTRIES)
+    return F.sort_array(F.concat(itself.cast(_ENTRIES), one, two))
 
-def acronym_definitions(documents: DataFrame, key: str = "path") -> DataFrame:
-    """``(key, acronym, definition)``: the distinct acronyms of each document, null without a definition."""
 
-    def define(acronym: Column, candidates: Column) -> Column:
-        form1 = first_or_null(
-            F.filter(candidates, lambda c: c["inside"].isNotNull() & c["before"].endswith(acronym))
-        )
-        form2 = first_or_null(F.filter(candidates, lambda c: c["front"].isNotNull() & (c["alone"] == acronym)))
-        return F.struct(acronym.alias("acronym"), F.coalesce(form1["inside"], form2["front"]).alias("definition"))
+def _definitions(text: Column) -> Column:
+    """``ARRAY<STRUCT<acronym, definition>>``: one entry per acronym of the text.
+
+    The text is cut at its parentheses once, for all acronyms together. In the sorted entries an acronym's first definition stands behind the acronym
+    itself, so nothing is looked up, and only the definitions that are taken are built.
+    """
 
-    defined = let(
+    def define(found: Column) -> Column:
+        def of(entries: Column) -> Column:
+            def built(entry: Column, i: Column) -> Column:
+                def definition(best: Column) -> Column:
+                    parts = F.get(found["closed"], best["at"])
+                    inside = F.array_join(F.slice(parts, best["part"] + 2, F.size(parts)), "(")
+                    front = F.get(found["opened"], best["at"] - 1)
+                    return F.when(best["acronym"] != entry["acronym"], F.lit(None)).when(best["form"] == 1, strip(inside)).when(best["form"] == 2, strip(front))
+
+                return F.struct(entry["acronym"].alias("acronym"), let(F.get(entries, i + 1), definition).alias("definition"))
+
+            made = F.transform(entries, lambda entry, i: F.when(entry["form"] == 0, built(entry, i)))
+            return F.filter(made, lambda entry: entry.isNotNull())
+
+        return let(_entries(found["acronyms"], found["closed"], found["opened"]), of)
+
+    # What stands behind the last ")" is not closed.
+    closed = let(F.split(text, r"\)"), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return let(
         F.struct(
-            F.array_distinct(acronyms_in(F.col("text"))).alias("acronyms"),
-            _definition_candidates(F.col("text")).alias("candidates"),
+            F.array_distinct(acronyms_in(text)).alias("acronyms"),
+            F.transform(closed, lambda part: F.split(part, r"\(")).alias("closed"),
+            F.split(text, r"\(").alias("opened"),
         ),
-        lambda found: F.transform(found["acronyms"], lambda acronym: define(acronym, found["candidates"])),
-    )
-    return documents.select(key, F.explode(defined).alias("_found")).select(
-        key, "_found.acronym", "_found.definition"
+        define,
     )
 
 
+def acronym_definitions(documents: DataFrame, key: str = "path") -> DataFrame:
+    """``(key, acronym, definition)``: the distinct acronyms of each document, null without a definition."""
+    return documents.select(key, F.explode(_definitions(F.col("text"))).alias("_found")).select(key, "_found.acronym", "_found.definition")
+
+
 def acronym_dictionary(documents: DataFrame, key: str = "path", parts: int = PARTS) -> DataFrame:
     """``(acronym, part, definition, n_files, files)``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.markup import html_to_markdown, page_hrefs, rewrite_hrefs
 from scriptorium.functions.text import basename
-from scriptorium.functions.urls import in_scope, is_pdf, is_remote, pdf_file_name, resolve, storage_path, url_path
+from scriptorium.functions.urls import canonical, in_scope, is_pdf, is_remote, pdf_file_name, resolve, storage_path, url_path
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -20,6 +20,18 @@ def resolve_links(links: DataFrame) -> DataFrame:
     return links.withColumn("target", resolve(F.col("url"), F.col("href")))
 
 
+def page_edges(pages: DataFrame, scope: str = "") -> DataFrame:
+    """``(src, dst, page_id, n_links)``: the links of captured pages, by the addresses of both ends.
+
+    Links are resolved against their page, kept inside the scope, and counted per pair of addresses before anything moves. An address is
+    canonical without its fragment. ``page_id`` is the captured page at ``dst`` (the last one of an address), null where none was captured.
+    """
+    links = resolve_links(extract_links(pages)).filter(in_scope(F.col("target"), scope))
+    ends = links.groupBy(canonical(F.col("url")).alias("src"), canonical(F.col("target")).alias("dst")).agg(F.count("*").alias("n_links"))
+    captured = pages.groupBy(canonical(F.col("url")).alias("dst")).agg(F.max("page_id").alias("page_id"))
+    return ends.join(captured, "dst", "left").select("src", "dst", "page_id", "n_links")
+
+
 def url_parts(urls: DataFrame) -> DataFrame:
     """Path and base name of each ``url``."""
     path = url_path(F.col("url"))

@@ -19,6 +19,7 @@ from scriptorium.constants import (
     PROMPT_QUESTION,
     PROMPT_ROLE,
     PROMPT_RULES,
+    ROWS_FAILED,
     SPACE,
     STOP_WORDS,
 )
@@ -111,8 +112,10 @@ def markdown(html: str) -> str:
 MARKDOWN = markdown("html")
 
 SITE = f"""{LINKS},
-site AS MATERIALIZED (SELECT l.url AS src, p.url AS dst FROM links l JOIN pages p
-  ON p.page_id = ('0x' || substr(md5(l.href), 1, 8))::BIGINT % (SELECT count(*) FROM pages))"""
+firsts AS MATERIALIZED (SELECT page_id, p.url AS old, 'https://site.example.org' || coalesce(href, '/') AS url FROM pages p LEFT JOIN (SELECT * FROM links WHERE position = 0) USING (page_id)),
+site AS MATERIALIZED (SELECT regexp_replace(f.url, '#.*', '') AS src, 'https://site.example.org' || regexp_replace(href, '#.*', '') AS dst, count(*) AS n_links
+  FROM links JOIN firsts f USING (page_id) GROUP BY ALL),
+captured AS MATERIALIZED (SELECT regexp_replace(url, '#.*', '') AS dst, max(page_id) AS page_id FROM firsts GROUP BY ALL)"""
 
 
 # Chunks
@@ -147,6 +150,36 @@ chunks AS MATERIALIZED (SELECT *, CASE WHEN found_at = 0 THEN 0 ELSE length(subs
   FROM (SELECT *, CASE WHEN chunk = '' THEN 1 ELSE instr(text, chunk) END AS found_at FROM cut))"""
 
 
+def refined(name: str, source: str, separator: str) -> str:
+    """One separator of the recursive splitter: the pieces themselves are folded, a window of them at a time."""
+    own = {"\n\n": f"{NL} || {NL}", "\n": NL, " ": "' '"}[separator]
+    pieces = f"list_filter(list_transform(string_split(t, {own}), lambda x, i: CASE WHEN i > 1 THEN {own} || x ELSE x END), lambda x: x <> '')"
+    text = "array_to_string(a.win, '')"
+    done = f"CASE WHEN len(a.win) > 0 THEN list_append(a.out, {{'t': {text}, 'done': true}}) ELSE a.out END"
+    rest = "array_to_string(a.win[j:], '')"
+    tail = f"a.win[list_filter(range(1, len(a.win) + 2), lambda j: length({rest}) <= 50 AND length({rest}) + length(x) <= 500)[1]:]"
+    return f"""{name} AS MATERIALIZED (SELECT * FROM {source} WHERE done UNION ALL
+  SELECT key, list_append(place, unnest(range(len(items)))), unnest(items).t, unnest(items).done FROM (
+  SELECT key, place, CASE WHEN len(a.win) > 0 THEN list_append(a.out, {{'t': {text}, 'done': true}}) ELSE a.out END AS items FROM (
+  SELECT key, place, list_reduce({pieces}, lambda a, x: CASE
+      WHEN length(x) >= 500 THEN {{'out': list_append({done}, {{'t': x, 'done': false}}), 'win': []::VARCHAR[]}}
+      WHEN len(a.win) > 0 AND length({text}) + length(x) > 500 THEN {{'out': {done}, 'win': list_append({tail}, x)}}
+      ELSE {{'out': a.out, 'win': list_append(a.win, x)}} END,
+    {{'out': []::STRUCT(t VARCHAR, done BOOLEAN)[], 'win': []::VARCHAR[]}}) AS a FROM {source} WHERE NOT done)))"""
+
+
+def recursive(corpus: str, key: str) -> str:
+    """``recursive_rows (key, chunk_index, chunk)``: span lists refined by one separator after the other."""
+    return f"""span0 AS MATERIALIZED (SELECT {key} AS key, []::BIGINT[] AS place, text AS t, false AS done FROM {corpus} WHERE text <> ''),
+{refined('span1', 'span0', chr(10) * 2)},
+{refined('span2', 'span1', chr(10))},
+{refined('span3', 'span2', ' ')},
+span4 AS (SELECT * FROM span3 WHERE done UNION ALL SELECT key, list_append(place, unnest(n)), substr(t, 1 + 450 * unnest(n), 500), true
+  FROM (SELECT *, range(CASE WHEN length(t) > 500 THEN 1 + ceil((length(t) - 500) / 450.0)::BIGINT ELSE 1 END) AS n FROM span3 WHERE NOT done)),
+recursive_rows AS MATERIALIZED (SELECT key, row_number() OVER (PARTITION BY key ORDER BY place) - 1 AS chunk_index, {strip('t')} AS chunk
+  FROM span4 WHERE {strip('t')} <> '')"""
+
+
 END_LINE = "CASE WHEN found_at = 0 THEN 0 ELSE start_line + inside END"
 INDEX = f"""index_rows AS MATERIALIZED (SELECT 'doc_' || (dense_rank() OVER (ORDER BY doc_id) - 1) || '_chunk_' || chunk_index AS id,
   doc_id AS path, doc_id::VARCHAR AS filename, chunk_index, total_chunks, start_line, {END_LINE} AS end_line, chunk FROM chunks)"""
@@ -307,7 +340,22 @@ def joined(items: str) -> str:
     return f"array_to_string({items}, '|')"
 
 
+#: Plain text of the Markdown of the pages.
+PLAIN = strip(entities(rules(rules("markdown", MARKDOWN_RULES), LAYOUT_RULES)))
+
+
 ORACLES: dict[str, str] = {
+    "recursive_chunks": f"""WITH {DOCS_MD}, {recursive('docs_md', 'doc_id')} SELECT key AS doc_id, chunk_index, chunk FROM recursive_rows""",
+    "recursive_search": f"""WITH plain AS MATERIALIZED (SELECT page_id AS path, {PLAIN} AS text FROM (SELECT page_id, {MARKDOWN} AS markdown FROM pages)),
+      {recursive('plain', 'path')},
+      numbered AS MATERIALIZED (SELECT key AS path, chunk, row_number() OVER (ORDER BY key, chunk_index) - 1 AS id FROM recursive_rows),
+      corpus AS MATERIALIZED {vectors('numbered', 'chunk')},
+      asked AS MATERIALIZED {vectors('(SELECT item_id AS query_id, text AS question FROM benchmark)', 'question')},
+      found AS MATERIALIZED {knn(3, SQUARED, 'corpus', 'asked')},
+      parts AS (SELECT query_id, string_agg('[Fragmento ' || rank || ' - Fuente: Archivo: ' || path || ']' || {NL} || chunk, {NL} || {NL}
+        ORDER BY rank) FILTER (distance < 0.9) AS near, count(*) AS n FROM found JOIN numbered USING (id) GROUP BY query_id)
+      SELECT query_id, question, CASE WHEN n IS NULL THEN {quoted(NOTHING_FOUND)} WHEN near IS NULL THEN {quoted(NOTHING_RELEVANT)} ELSE near END AS context
+      FROM asked LEFT JOIN parts USING (query_id)""",
     "scan_corpus": "SELECT doc_id AS path, text, 'Archivo: ' || doc_id AS source FROM documents",
     "ingest_status": f"""WITH {ADDRESSES}, named AS (SELECT url, regexp_extract(path, '[^/]*$') AS name FROM addresses WHERE form = 0)
       SELECT url AS name, CASE WHEN regexp_full_match(name, '[0-9]+') THEN 'ok' ELSE 'rejected' END AS status,
@@ -339,11 +387,13 @@ ORACLES: dict[str, str] = {
     "rewrite_links": f"SELECT page_id, url, {REWRITTEN} AS html FROM pages",
     "html_to_markdown": f"""SELECT page_id, url, {MARKDOWN} AS markdown
       FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 1 THEN html || {quoted(ODD_HTML)} ELSE html END AS html FROM pages)""",
-    "crawl_closure": f"""WITH RECURSIVE {SITE}, reached AS (SELECT url, 0 AS depth FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
-      UNION SELECT dst, depth + 1 FROM reached JOIN site ON src = url WHERE depth < 60)
-      SELECT url, min(depth) AS depth, 'page' AS route FROM reached GROUP BY url""",
-    "frontier_anti": f"""WITH {SITE} SELECT DISTINCT dst AS url FROM site
-      WHERE dst NOT IN (SELECT url FROM pages WHERE url LIKE 'https://%')""",
+    "page_edges": f"""WITH {SITE} SELECT src, dst, page_id, n_links FROM site LEFT JOIN captured USING (dst)""",
+    "crawl_closure": f"""WITH RECURSIVE {SITE}, start AS (SELECT regexp_replace(url, '#.*', '') AS url FROM firsts WHERE page_id = (SELECT min(page_id) FROM firsts)),
+      reached AS (SELECT [url] AS fresh, [url] AS seen, 0 AS depth FROM start
+        UNION ALL SELECT n, list_concat(seen, n), depth + 1 FROM (SELECT seen, depth, coalesce((SELECT list(DISTINCT dst) FROM site
+          WHERE list_contains(fresh, src) AND NOT list_contains(seen, dst)), []) AS n FROM reached) WHERE len(n) > 0)
+      SELECT unnest(fresh) AS url, depth, 'page' AS route FROM reached""",
+    "frontier_anti": f"""WITH {SITE} SELECT DISTINCT dst AS url FROM site WHERE dst NOT IN (SELECT dst FROM captured)""",
     "markdown_to_text": f"""SELECT page_id, {strip(entities(rules(rules('markdown', MARKDOWN_RULES), LAYOUT_RULES)))} AS text
       FROM (SELECT page_id, {MARKDOWN} AS markdown FROM pages)""",
     "paragraphs": f"""WITH {DOCS_MD} SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS paragraph
@@ -360,8 +410,8 @@ ORACLES: dict[str, str] = {
       FROM placed p LEFT JOIN docs_md d ON d.doc_id = p.i""",
     "line_paragraphs": f"WITH {PARAGRAPHS} SELECT doc, page_num, position, paragraph FROM scan_paragraphs",
     "ragged_to_markdown": f"WITH {RAGGED} SELECT conv_id, turn, array_to_string(lines, {NL}) AS markdown FROM lined",
-    "filled_cells": f"""WITH {RAGGED}, given AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN [] ELSE r END AS r FROM ragged),
-      filled AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN [[{quoted(CELLS_MISSING)}]] ELSE
+    "filled_cells": f"""WITH {RAGGED}, given AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN [[]] WHEN turn = 2 THEN [] ELSE r END AS r FROM ragged),
+      filled AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN [[{quoted(ROWS_FAILED)}]] WHEN len(flatten(r)) = 0 THEN [[{quoted(CELLS_MISSING)}]] ELSE
         list_transform(r, lambda x: list_transform(x, lambda c: CASE WHEN contains(c, ',') OR {strip('c')} = '' THEN ' ' ELSE {strip('c')} END))
         END AS f FROM given)
       SELECT conv_id, turn, unnest(range(len(f))) AS row_no, array_to_string(unnest(f), '|') AS cells FROM filled""",
@@ -382,6 +432,21 @@ ORACLES: dict[str, str] = {
       rows AS (SELECT b.*, dense_rank() OVER (PARTITION BY table_id ORDER BY anchor) - 1 AS row_no FROM boxes b JOIN anchored USING (table_id, y))
       SELECT table_id, box_id, x, y, w, h, row_no,
       row_number() OVER (PARTITION BY table_id, row_no ORDER BY x, box_id, y, w, h) - 1 AS col_no FROM rows""",
+    "boxes_to_markdown": """WITH {BOXES}, cells AS MATERIALIZED (SELECT table_id, box_id, x, CASE WHEN box_id % 89 = 0 THEN NULL ELSE y END AS y, w, h,
+        CASE WHEN x % 11 = 0 THEN ' ' ELSE w || ' x ' || h END AS cell FROM boxes),
+      folded AS (SELECT table_id, list_reduce(list({'y': y, 'c': {'x': x, 'id': box_id, 'y': y, 'w': w, 'h': h, 't': cell}} ORDER BY y), lambda a, b: CASE
+          WHEN len(a.rows) > 0 AND b.y - a.anchor <= 10 THEN {'anchor': a.anchor, 'rows': list_append(a.rows[:-2], list_append(a.rows[-1], b.c))}
+          ELSE {'anchor': b.y, 'rows': list_append(a.rows, [b.c])} END,
+          {'anchor': 0, 'rows': []::STRUCT(x INTEGER, id BIGINT, y INTEGER, w INTEGER, h INTEGER, t VARCHAR)[][]}).rows AS r
+        FROM cells GROUP BY table_id HAVING count(y) = count(*)),
+      texts AS (SELECT table_id, list_transform(r, lambda row: list_transform(list_sort(row), lambda c: c.t)) AS r FROM folded),
+      ragged_tables AS (SELECT o_orderkey AS table_id, coalesce(r, [[ROWS_FAILED]]) AS r FROM orders LEFT JOIN texts ON o_orderkey = table_id),
+      sized AS (SELECT *, list_max(list_transform(r, lambda x: len(x))) AS n FROM ragged_tables)
+      SELECT table_id, 0 AS part, array_to_string(list_concat(
+        ['| ' || array_to_string(list_transform(range(1, n + 1), lambda i: 'Columna ' || i), ' | ') || ' |',
+         '| ' || array_to_string(list_transform(range(n), lambda i: '---'), ' | ') || ' |'],
+        list_transform(r, lambda x: '| ' || array_to_string(list_concat(x, list_transform(range(n - len(x)), lambda i: '')), ' | ') || ' |')), chr(10)) AS markdown
+      FROM sized""".replace("[[ROWS_FAILED]]", f"[[{quoted(ROWS_FAILED)}]]").replace("{BOXES}", BOXES),
     "region_filter": f"""WITH {BOXES} SELECT table_id, place + 1 AS id, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM boxes
       WHERE w > 100 AND h > 100""",
     "acronym_occurrences": f"WITH {DOCS_ACR}, {acronyms('docs_acr', 'doc_id')} SELECT doc_id, acronym, occurrences FROM acr_doc",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.constants import EMBEDDING_DIM, COOCCURRENCE_RADIUS, DISTANCE_CUTOFF, TOP_K, TOP_K_SMALL
-from scriptorium.functions import markup
+from scriptorium.functions import markup, urls
 from scriptorium.operators import chunking, crawl, dictionary, graph, lexicon, pages, presence, prompts, retrieval, status
 from scriptorium.operators import documents as docs
 from scriptorium.plans import tables
@@ -138,18 +138,24 @@ def html_to_markdown(spark, sf_dir):
     return pages.pages_to_markdown(tables.pages(spark, sf_dir).withColumn("html", odd))
 
 
+@query
+def page_edges(spark, sf_dir):
+    """All links of the site, with the page that was captured at their end."""
+    return pages.page_edges(tables.site_pages(spark, sf_dir), tables.SITE)
+
+
 @query
 def crawl_closure(spark, sf_dir):
     """From the first captured page along the links of the site."""
-    start = tables.pages(spark, sf_dir).agg(F.min_by("url", "page_id")).first()[0]
+    start = tables.site_pages(spark, sf_dir).agg(F.min_by(urls.canonical(F.col("url")), "page_id")).first()[0]
     return crawl.crawl_closure(tables.site_links(spark, sf_dir), [start], "http")
 
 
 @query
 def frontier_anti(spark, sf_dir):
-    """Link targets that are not among the pages in scope."""
+    """Link targets that were not captured."""
     targets = tables.site_links(spark, sf_dir).select(F.col("dst").alias("url"))
-    seen = pages.crawl_scope(tables.pages(spark, sf_dir).select("url"), SCOPE)
+    seen = tables.site_pages(spark, sf_dir).select(urls.canonical(F.col("url")).alias("url"))
     return crawl.unvisited(targets, seen)
 
 
@@ -165,10 +171,7 @@ def markdown_to_text(spark, sf_dir):
 
 @query
 def recursive_chunks(spark, sf_dir):
-    split = chunking.recursive_chunks()
-    return tables.documents_md(spark, sf_dir).select(
-        "doc_id", F.posexplode(split("text")).alias("chunk_index", "chunk")
-    )
+    return chunking.recursive_rows(tables.documents_md(spark, sf_dir), "doc_id")
 
 
 @query
@@ -233,9 +236,15 @@ def filled_cells(spark, sf_dir):
         "rows",
         F.transform("rows", lambda row: F.transform(row, lambda cell: F.when(cell.contains(","), " \t").otherwise(cell))),
     )
-    # Some tables have only rows without cells, some have one among others.
+    # Some tables have only rows without cells, some have one among others, some have no rows.
     empty = F.array().cast("array<string>")
-    given = F.when(F.col("role") == "system", F.array(empty, empty)).when(F.col("turn") == 1, F.array_append("rows", empty)).otherwise(F.col("rows"))
+    none = F.array().cast("array<array<string>>")
+    given = (
+        F.when(F.col("role") == "system", F.array(empty, empty))
+        .when(F.col("turn") == 1, F.array_append("rows", empty))
+        .when(F.col("turn") == 2, none)
+        .otherwise(F.col("rows"))
+    )
     rows = docs.fill_cells(given)
     return blanked.select("conv_id", "turn", F.posexplode(rows).alias("row_no", "_row")).select(
         "conv_id", "turn", "row_no", joined("_row").alias("cells")
@@ -253,6 +262,12 @@ def reading_order_rows(spark, sf_dir):
     return docs.reading_order(boxes)
 
 
+@query
+def boxes_to_markdown(spark, sf_dir):
+    """Cell boxes of every order as a table; orders without boxes and with a box that lost its place say so."""
+    return docs.boxes_to_markdown(tables.regions(spark, sf_dir), tables.cell_boxes(spark, sf_dir))
+
+
 @query
 def region_filter(spark, sf_dir):
     return docs.region_filter(tables.boxes(spark, sf_dir)).select("table_id", "id", "region.*")
@@ -349,14 +364,18 @@ class _Graph:
         self.acronyms, self.terms = acronyms.checkpoint(), terms.checkpoint()
         self.nodes = graph.graph_nodes(self.acronyms, self.terms)
         self.elements = graph.elements(self.nodes)
-        self._relations = None
+        self._neighbours = None
+
+    @property
+    def neighbours(self) -> DataFrame:
+        if self._neighbours is None:
+            found = presence.element_presence(self.corpus, self.elements)
+            self._neighbours = graph.neighbour_lists(found, COOCCURRENCE_RADIUS).checkpoint()
+        return self._neighbours
 
     @property
     def relations(self) -> DataFrame:
-        if self._relations is None:
-            found = presence.element_presence(self.corpus, self.elements).checkpoint()
-            self._relations = presence.cooccurrence_pairs(found, COOCCURRENCE_RADIUS)
-        return self._relations
+        return graph.relations_of(self.neighbours)
 
     @property
     def edges(self) -> DataFrame:
@@ -365,8 +384,7 @@ class _Graph:
 
     @property
     def dictionary(self) -> DataFrame:
-        centrality = graph.degree_centrality(self.nodes, self.edges)
-        return dictionary.semantic_dictionary(self.acronyms, self.terms, self.relations, centrality, PARTS)
+        return dictionary.semantic_dictionary(self.acronyms, self.terms, self.nodes, self.neighbours, PARTS)
 
 
 @query
@@ -385,7 +403,8 @@ def element_presence(spark, sf_dir):
 
 @query
 def cooccurrence_pairs(spark, sf_dir):
-    return _Graph(spark, sf_dir).relations
+    built = _Graph(spark, sf_dir)
+    return presence.cooccurrence_pairs(presence.element_presence(built.corpus, built.elements).checkpoint(), COOCCURRENCE_RADIUS)
 
 
 @query
@@ -407,7 +426,7 @@ def degree_centrality(spark, sf_dir):
 
 @query
 def element_connections(spark, sf_dir):
-    return graph.element_connections(_Graph(spark, sf_dir).relations)
+    return graph.element_connections(_Graph(spark, sf_dir).neighbours)
 
 
 @query
@@ -450,8 +469,8 @@ def run_stats(spark, sf_dir):
             "relations": built.relations,
             "nodes": built.nodes,
             "edges": built.edges,
-            "chunks": chunking.chunk_rows(built.corpus),
-        }
+        },
+        {"chunks": (built.corpus, F.size(chunking.paragraph_chunks(F.col("text"))))},
     )
 
 
@@ -544,6 +563,19 @@ def _contexts(spark, sf_dir) -> DataFrame:
     return prompts.context_assembly(asked, results, sourced, 0.9)
 
 
+@query
+def recursive_search(spark, sf_dir):
+    """Pages as Markdown, as plain text, in recursive chunks; the three nearest of each question as its context."""
+    texts = tables.pages(spark, sf_dir).select(
+        F.col("page_id").alias("path"), markup.markdown_to_text(markup.html_to_markdown(F.col("html"))).alias("text")
+    )
+    chunks = chunking.numbered_chunks(chunking.recursive_rows(texts), "path").withColumnRenamed("position", "id").checkpoint()
+    asked = tables.questions(spark, sf_dir)
+    vectors = retrieval.embed_texts(chunks.select("id", "chunk"), "chunk")
+    results = retrieval.nearest(vectors, retrieval.embed_texts(asked, "question"), TOP_K_SMALL, "l2", width=EMBEDDING_DIM)
+    return prompts.context_assembly(asked, results, with_source(chunks), 0.9)
+
+
 @query
 def context_assembly(spark, sf_dir):
     return _contexts(spark, sf_dir)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.pages import extract_links
+from scriptorium.functions.markup import page_hrefs
+from scriptorium.operators.pages import page_edges
 from scriptorium.session import configure
 
 
@@ -63,13 +64,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages", "page_id")
 
 
-def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between captured pages: the target of a link is the page whose id its hash gives."""
+SITE = "https://site.example.org"
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured pages as one site: a page lies where its first link points, so links lead to pages. Some addresses end in a fragment."""
     captured = pages(spark, sf_dir)
-    count = captured.agg(F.count("*")).scalar()
-    number = F.conv(F.substring(F.md5("href"), 1, 8), 16, 10).cast("bigint") % count
-    links = extract_links(captured).select(F.col("url").alias("src"), number.alias("page_id"))
-    return links.join(captured.select("page_id", F.col("url").alias("dst")), "page_id").select("src", "dst")
+    first = F.coalesce(F.get(page_hrefs(F.col("html")), F.lit(0)), F.lit("/"))
+    fragment = F.when(F.col("url").contains("#"), "#top").otherwise("")
+    return captured.select("page_id", F.concat(F.lit(SITE), first, fragment).alias("url"), "html")
+
+
+def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between the addresses of the site."""
+    return page_edges(site_pages(spark, sf_dir), SITE).select("src", "dst")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +93,18 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cell_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same boxes with a text, which is blank in some; a few have lost their place."""
+    lost = F.col("box_id") % 89 == 0
+    text = F.when(F.col("x") % 11 == 0, " \t").otherwise(F.concat(F.lit(" "), "w", F.lit(" x "), "h", F.lit("\n")))
+    return boxes(spark, sf_dir).select("table_id", "box_id", "x", F.when(~lost, F.col("y")).alias("y"), "w", "h", text.alias("text"))
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table per order, also of orders without line items."""
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))
+
+
 def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as ragged tables: lines as rows, sentences as cells."""
     rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\. "))

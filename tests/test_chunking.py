@@ -1,12 +1,13 @@
 import random
 import time
+from collections import deque
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.functions.splitting import first_lines, split_recursively
+from scriptorium.functions.splitting import first_lines
 from scriptorium.functions.text import count_newlines, strip
 from scriptorium.operators import chunking
 from scriptorium.operators.ordering import dense_ordinal, running_offset
@@ -122,6 +123,54 @@ def test_positions_over_many_ranges(spark):
         total += weights[key]
 
 
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def _cut(text: str, separator: str) -> list[str]:
+    """Pieces of the text; each keeps the separator in front of it."""
+    if not separator:
+        return list(text)
+    head, *rest = text.split(separator)
+    return [piece for piece in (head, *(separator + piece for piece in rest)) if piece]
+
+
+def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
+    """Join neighbouring pieces up to ``size`` and let each result start with a tail of the one before."""
+    packed: list[str] = []
+    window: deque[str] = deque()
+    width = 0
+    for piece in pieces:
+        if window and width + len(piece) > size:
+            packed.append("".join(window))
+            while window and (width > overlap or width + len(piece) > size):
+                width -= len(window.popleft())
+        window.append(piece)
+        width += len(piece)
+    packed.append("".join(window))
+    return [text for text in map(str.strip, packed) if text]
+
+
+def split_recursively(text: str | None, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Chunks of at most ``size`` characters, cut at the coarsest separator that makes them fit."""
+    if not text:
+        return []
+    level = next((i for i, mark in enumerate(separators) if mark == "" or mark in text), len(separators) - 1)
+    finer = separators[level + 1 :]
+    chunks: list[str] = []
+    fitting: list[str] = []
+    for piece in _cut(text, separators[level]):
+        if len(piece) < size:
+            fitting.append(piece)
+            continue
+        if fitting:
+            chunks += _pack(fitting, size, overlap)
+            fitting = []
+        chunks += split_recursively(piece, size, overlap, finer) if finer else [piece]
+    if fitting:
+        chunks += _pack(fitting, size, overlap)
+    return chunks
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abc \n", max_size=400), st.integers(5, 60), st.integers(0, 4))
 def test_recursive_splitting_properties(text, size, overlap):
@@ -137,3 +186,20 @@ def test_recursive_splitting_overlaps():
     for left, right in zip(chunks, chunks[1:]):
         shared = max(n for n in range(len(right) + 1) if left.endswith(right[:n]))
         assert 0 < shared <= 8
+
+
+@pytest.mark.parametrize("size, overlap", [(10, 3), (7, 0), (12, 9)])
+def test_recursive_chunks_against_the_plain_rule(spark, size, overlap):
+    rng = random.Random(size)
+    texts = ["", " ", "\n\n", "a", "x" * 95, "é" * 40 + " b", "ab " * 30, "\n\n\n" * 9, "a\n\n" + "b" * 30 + "\n\nc"]
+    texts += ["".join(rng.choice("abé \n") for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    frame = spark.createDataFrame([*enumerate(texts), (-1, None)], "path int, text string").repartition(3)
+    found = {r.path: r.chunks for r in frame.select("path", chunking.recursive_chunks(F.col("text"), size, overlap).alias("chunks")).collect()}
+    assert found == {-1: [], **{i: split_recursively(t, size, overlap) for i, t in enumerate(texts)}}
+
+
+def test_a_long_text_is_split_in_linear_time(spark):
+    text = "x" * 3_000_000 + " " + "word " * 100_000
+    started = time.time()
+    chunks = spark.createDataFrame([("a", text)], "path string, text string").select(chunking.recursive_chunks(F.col("text"))).first()[0]
+    assert time.time() - started < 60 and chunks == split_recursively(text, 500, 50)

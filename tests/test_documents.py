@@ -46,7 +46,7 @@ def test_ragged_tables(spark):
 def test_cells(spark):
     rows = spark.createDataFrame([(1, [[" x ", "\t"], []]), (2, []), (3, [[]])], "k int, rows array<array<string>>")
     found = {r.k: r.c for r in rows.select("k", docs.fill_cells(F.col("rows")).alias("c")).collect()}
-    assert found == {1: [["x", " "]], 2: [["[Table detected but content extraction failed]"]], 3: [["[Table detected but content extraction failed]"]]}
+    assert found == {1: [["x", " "]], 2: [["[Table content could not be extracted properly]"]], 3: [["[Table detected but content extraction failed]"]]}
 
 
 def test_document_is_the_concatenation_of_its_parts(spark):

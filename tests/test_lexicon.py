@@ -13,8 +13,8 @@ def definitions(spark, text):
 
 
 def test_acronyms_are_whole_words_of_plain_capitals(value):
-    text = "ÀBC FIB ABCÉ A_B X2 UPC. ETSÑ A fib-FIB"
-    assert value(lexicon.acronyms_in(F.col("t")), t=text) == ["FIB", "UPC", "FIB"]
+    text = "ÀBC ABX ABCÉ A_B X2 QRS. ETSÑ A abx-ABX"
+    assert value(lexicon.acronyms_in(F.col("t")), t=text) == ["ABX", "QRS", "ABX"]
 
 
 @pytest.mark.parametrize(
@@ -25,7 +25,7 @@ def test_acronyms_are_whole_words_of_plain_capitals(value):
         ("x (note) the thing ( AB ) y", {"AB": "note) the thing"}),
         ("AB (  )", {"AB": ""}),
         ("AB () then AB (def)", {"AB": "def"}),
-        ("XFIB (def) FIB", {"XFIB": "def", "FIB": "def"}),
+        ("XABX (def) ABX", {"XABX": "def", "ABX": "def"}),
         ("AB (one (two) three", {"AB": "one (two"}),
         ("AB (never closed", {"AB": None}),
         ("((AB) yes (AB)", {"AB": "AB) yes"}),

@@ -20,12 +20,14 @@ def vectors():
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("question_bytes", [1 << 20, 600])
-def test_nearest_against_brute_force(spark, vectors, metric, question_bytes):
+@pytest.mark.parametrize("pivots, block", [(64, 512), (5, 7), (1, 3)])
+def test_nearest_against_brute_force(spark, vectors, metric, pivots, block, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+    monkeypatch.setattr(retrieval, "BLOCKS_PER_KEY", 2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(5)
     asked = corpus.withColumnRenamed("id", "query_id")
-    found = retrieval.nearest(corpus, asked, 4, metric, question_bytes=question_bytes).collect()
+    found = retrieval.nearest(corpus, asked, 4, metric, pivots=pivots).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.distance, r.id))

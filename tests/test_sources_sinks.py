@@ -46,19 +46,19 @@ def test_pdf_listing_is_flat_and_ignores_case(spark, tmp_path):
 def test_dictionary_file(spark, tmp_path):
     entry = {"archivos": ["a.md"], "conexiones": [], "centralidad": 0.5}
     data = {
-        "acronimos": {"FIB": {"definicion": None, **entry}},
-        "terminos": {"año": {"ocurrencias": 3, "archivos": ["a.md", "b.md"], "conexiones": ["FIB", "FIB"]}},
-        "relaciones": [{"origen": "FIB", "destino": "año", "archivo": "a.md", "distancia": 4}],
+        "acronimos": {"ABX": {"definicion": None, **entry}},
+        "terminos": {"año": {"ocurrencias": 3, "archivos": ["a.md", "b.md"], "conexiones": ["ABX", "ABX"]}},
+        "relaciones": [{"origen": "ABX", "destino": "año", "archivo": "a.md", "distancia": 4}],
     }
     path = tmp_path / "d.json"
     path.write_text(json.dumps(data, ensure_ascii=False, indent=2), encoding="utf-8")
     rows = corpus.scan_dictionary(spark, str(path))
     texts = {r.id: (r.text, r.metadata.centrality) for r in dictionary.enriched_texts(rows).collect()}
     assert texts == {
-        "FIB": ("ACRÓNIMO: FIB\nAPARECE EN: a.md", 0.5),
-        "año": ("TÉRMINO: año\nOCURRENCIAS: 3\nAPARECE EN: a.md, b.md\nRELACIONADO CON: FIB, FIB", 0.0),
+        "ABX": ("ACRÓNIMO: ABX\nAPARECE EN: a.md", 0.5),
+        "año": ("TÉRMINO: año\nOCURRENCIAS: 3\nAPARECE EN: a.md, b.md\nRELACIONADO CON: ABX, ABX", 0.0),
     }
-    assert [tuple(r) for r in corpus.scan_relations(spark, str(path)).collect()] == [("FIB", "año", "a.md", 4)]
+    assert [tuple(r) for r in corpus.scan_relations(spark, str(path)).collect()] == [("ABX", "año", "a.md", 4)]
 
 
 def test_index_is_replaced_and_appended(spark, tmp_path):
