@@ -37,10 +37,10 @@ class _Bucketed:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def crawl_closure(links: DataFrame, start_urls: list[str], scope: str = "", max_depth: int | None = None) -> DataFrame:
+def crawl_closure(links: DataFrame, start_urls: list[str] | DataFrame, scope: str = "", max_depth: int | None = None) -> DataFrame:
     """All URLs reachable from the start URLs inside the scope: ``(url, depth, route)``.
 
-    ``links`` holds ``(src, dst)``. One round per depth. The link rows are laid out by their source once and the visited URLs by themselves, in the same
+    ``links`` holds ``(src, dst)``; the start URLs are a list or rows ``(url)``. One round per depth. The link rows are laid out by their source once and the visited URLs by themselves, in the same
     buckets: a round joins its frontier to the links and removes the visited ones without moving either, and shuffles only the
     targets it has found, made distinct before. Rounds are written to the shared folder, so the plan stays short and a lost
     executor costs a round at most. PDF addresses are reached but not followed. Out-of-scope links and repeats are dropped once, before the rounds.
@@ -49,8 +49,8 @@ def crawl_closure(links: DataFrame, start_urls: list[str], scope: str = "", max_
     edges, visited = _Bucketed(spark, "src"), _Bucketed(spark, "url")
     kept = links.filter(in_scope(F.col("dst"), scope) & ~is_pdf(F.col("src"))).select("src", "dst").distinct()
     edges.append(kept.repartition(edges.buckets, "src"))
-    starts = spark.createDataFrame([(url,) for url in sorted(set(start_urls))], "url string")
-    visited.append(starts.filter(in_scope(F.col("url"), scope)).withColumn("depth", F.lit(0)).repartition(visited.buckets, "url"))
+    starts = start_urls if isinstance(start_urls, DataFrame) else spark.createDataFrame([(url,) for url in start_urls], "url string")
+    visited.append(starts.select("url").distinct().filter(in_scope(F.col("url"), scope)).withColumn("depth", F.lit(0)).repartition(visited.buckets, "url"))
     depth = 0
     while max_depth is None or depth < max_depth:
         frontier = visited.rows().filter(F.col("depth") == depth)

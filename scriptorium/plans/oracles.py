@@ -112,7 +112,8 @@ def markdown(html: str) -> str:
 MARKDOWN = markdown("html")
 
 SITE = f"""{LINKS},
-firsts AS MATERIALIZED (SELECT page_id, p.url AS old, 'https://site.example.org' || coalesce(href, '/') AS url FROM pages p LEFT JOIN (SELECT * FROM links WHERE position = 0) USING (page_id)),
+firsts AS MATERIALIZED (SELECT page_id, p.url AS old, 'https://site.example.org' || coalesce(h[3], h[1], '/') AS url
+  FROM pages p LEFT JOIN (SELECT page_id, list(href ORDER BY position) AS h FROM links GROUP BY page_id) USING (page_id)),
 site AS MATERIALIZED (SELECT regexp_replace(f.url, '#.*', '') AS src, 'https://site.example.org' || regexp_replace(href, '#.*', '') AS dst, count(*) AS n_links
   FROM links JOIN firsts f USING (page_id) GROUP BY ALL),
 captured AS MATERIALIZED (SELECT regexp_replace(url, '#.*', '') AS dst, max(page_id) AS page_id FROM firsts GROUP BY ALL)"""
@@ -388,8 +389,9 @@ ORACLES: dict[str, str] = {
     "html_to_markdown": f"""SELECT page_id, url, {MARKDOWN} AS markdown
       FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 1 THEN html || {quoted(ODD_HTML)} ELSE html END AS html FROM pages)""",
     "page_edges": f"""WITH {SITE} SELECT src, dst, page_id, n_links FROM site LEFT JOIN captured USING (dst)""",
-    "crawl_closure": f"""WITH RECURSIVE {SITE}, start AS (SELECT regexp_replace(url, '#.*', '') AS url FROM firsts WHERE page_id = (SELECT min(page_id) FROM firsts)),
-      reached AS (SELECT [url] AS fresh, [url] AS seen, 0 AS depth FROM start
+    "crawl_closure": f"""WITH RECURSIVE {SITE}, start AS (SELECT list(DISTINCT url) AS urls FROM (SELECT min_by(regexp_replace(url, '#.*', ''), page_id) AS url
+        FROM firsts GROUP BY regexp_extract(old, '^[a-z]+://[^/]*'))),
+      reached AS (SELECT urls AS fresh, urls AS seen, 0 AS depth FROM start
         UNION ALL SELECT n, list_concat(seen, n), depth + 1 FROM (SELECT seen, depth, coalesce((SELECT list(DISTINCT dst) FROM site
           WHERE list_contains(fresh, src) AND NOT list_contains(seen, dst)), []) AS n FROM reached) WHERE len(n) > 0)
       SELECT unnest(fresh) AS url, depth, 'page' AS route FROM reached""",

@@ -146,9 +146,9 @@ def page_edges(spark, sf_dir):
 
 @query
 def crawl_closure(spark, sf_dir):
-    """From the first captured page along the links of the site."""
-    start = tables.site_pages(spark, sf_dir).agg(F.min_by(urls.canonical(F.col("url")), "page_id")).first()[0]
-    return crawl.crawl_closure(tables.site_links(spark, sf_dir), [start], "http")
+    """From the first captured page of every host along the links of the site."""
+    start = tables.site_pages(spark, sf_dir).groupBy("host").agg(F.min_by(urls.canonical(F.col("url")), "page_id").alias("url"))
+    return crawl.crawl_closure(tables.site_links(spark, sf_dir), start, "http")
 
 
 @query

@@ -68,11 +68,11 @@ SITE = "https://site.example.org"
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captured pages as one site: a page lies where its first link points, so links lead to pages. Some addresses end in a fragment."""
-    captured = pages(spark, sf_dir)
-    first = F.coalesce(F.get(page_hrefs(F.col("html")), F.lit(0)), F.lit("/"))
+    """The captured pages as one site: a page lies where its third (or first) link points, so links lead to pages. Some addresses end in a fragment."""
+    captured = pages(spark, sf_dir).withColumn("_hrefs", page_hrefs(F.col("html")))
+    own = F.coalesce(F.get("_hrefs", F.lit(2)), F.get("_hrefs", F.lit(0)), F.lit("/"))
     fragment = F.when(F.col("url").contains("#"), "#top").otherwise("")
-    return captured.select("page_id", F.concat(F.lit(SITE), first, fragment).alias("url"), "html")
+    return captured.select("page_id", F.concat(F.lit(SITE), own, fragment).alias("url"), "html", F.regexp_extract("url", "^[a-z]+://[^/]*", 0).alias("host"))
 
 
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
