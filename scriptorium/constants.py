@@ -39,6 +39,8 @@ TABLE_EMPTY = "*No se pudo extraer el contenido de la tabla*"
 COLUMN_NAME = "Columna "
 CELLS_MISSING = "[Table detected but content extraction failed]"
 ROWS_FAILED = "[Table content could not be extracted properly]"
+FOLDER_MISSING = "Error: Input folder '{}' does not exist"
+FOLDER_EMPTY = "No PDF files found in '{}'"
 ANSWER_HTTP_ERROR = "Error al procesar la consulta: "
 ANSWER_ERROR = "Lo siento, hubo un error al procesar tu pregunta con el modelo local."
 LABEL_ACRONYM = "ACRÓNIMO: "

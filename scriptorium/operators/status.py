@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.constants import FOLDER_EMPTY, FOLDER_MISSING
+
 
 def isolated(convert: Callable[[str], str]):
     """A vectorised function from a Python converter; an exception becomes the ``error`` of its own row."""
@@ -36,6 +38,16 @@ def ingest_status(items: DataFrame, name: Column, value: Column, error: Column)
     )
 
 
+def folder_lines(lines: DataFrame, folder: str, exists: bool) -> DataFrame:
+    """``(name, line)``: the result lines of a folder; one line without a name where the folder is missing or holds nothing to convert."""
+    spark = lines.sparkSession
+    text = (FOLDER_EMPTY if exists else FOLDER_MISSING).format(folder)
+    alone = spark.range(1).select(F.lit(None).cast("string").alias("name"), F.lit(text).alias("line"), F.lit(1).alias("_one"))
+    # The line stays only where there is no other.
+    other = lines.limit(1).select(F.lit(1).alias("_one"))
+    return lines.select("name", "line").unionByName(alone.join(other, "_one", "left_anti").select("name", "line"))
+
+
 def split_by_status(items: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     """The accepted and the rejected rows."""
     return items.filter(error.isNull()), items.filter(error.isNotNull())

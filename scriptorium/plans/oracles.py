@@ -10,6 +10,8 @@ from scriptorium.constants import (
     ANSWER_ERROR,
     ANSWER_HTTP_ERROR,
     CELLS_MISSING,
+    FOLDER_EMPTY,
+    FOLDER_MISSING,
     NOT_NOUNS,
     NOT_PLURAL,
     NOTHING_FOUND,
@@ -23,7 +25,6 @@ from scriptorium.constants import (
     SPACE,
     STOP_WORDS,
 )
-from scriptorium.functions.markup import LAYOUT_RULES, MARKDOWN_RULES
 from scriptorium.plans.tables import ODD_HTML
 
 DOMAIN = "la colección de documentos"
@@ -42,12 +43,6 @@ def strip(text: str) -> str:
     return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
-def rules(text: str, table) -> str:
-    for pattern, replacement in table:
-        text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
-    return text
-
-
 # The character references that occur in the pages and in what the queries add to them; the ampersand comes last.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
@@ -341,8 +336,26 @@ def joined(items: str) -> str:
     return f"array_to_string({items}, '|')"
 
 
+def plain_text(markdown: str) -> str:
+    """Plain text line by line: links first, since they may run over lines; then the marks at the beginning of each line, then those inside it."""
+    joined = f"array_to_string(list_transform(string_split({markdown}, {NL}), lambda l: CASE WHEN left(ltrim(l, ' ' || chr(9)), 3) IN ('```', '~~~') THEN '' ELSE l END), {NL})"
+    linked = rf"regexp_replace(regexp_replace({joined}, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')"
+    marks = "replace(replace(l, ' ', ''), chr(9), '')"
+    rule = rf"regexp_full_match({marks}, '\*\*\*[*_-]*|---[*_-]*|___[*_-]*')"
+    heading = r"regexp_replace(l, '^[ \t]{0,3}#{1,6}[ \t]+', '')"
+    quote = r"regexp_replace(l, '^[ \t]*>[ \t]?', '')"
+    item = r"regexp_replace(l, '^[ \t]*(?:[*+\-]|[0-9]+\.)[ \t]+', '')"
+    bold = r"regexp_replace(regexp_replace(l, '\*\*([^*]+)\*\*', '\1', 'g'), '__([^_]+)__', '\1', 'g')"
+    light = r"regexp_replace(regexp_replace(regexp_replace(l, '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '<[^>]*>', '', 'g')"
+    lines = f"list_transform(string_split({linked}, {NL}), lambda l: CASE WHEN {rule} THEN '' ELSE {heading} END)"
+    for step in (quote, item, bold, light, "rtrim(l, ' ' || chr(9))"):
+        lines = f"list_transform({lines}, lambda l: {step})"
+    return strip(entities(rf"regexp_replace(array_to_string({lines}, {NL}), '\n{{3,}}', {NL} || {NL}, 'g')"))
+
+
 #: Plain text of the Markdown of the pages.
-PLAIN = strip(entities(rules(rules("markdown", MARKDOWN_RULES), LAYOUT_RULES)))
+PLAIN = plain_text("markdown")
+PDF_NAMES = """pdfs AS (SELECT CASE WHEN page_id % 4 = 0 THEN 'p ' || page_id || '.pdf' ELSE 'p+' || page_id || '.PDF' END AS name, html FROM pages WHERE page_id % 4 < 2)"""
 
 
 ORACLES: dict[str, str] = {
@@ -396,8 +409,23 @@ ORACLES: dict[str, str] = {
           WHERE list_contains(fresh, src) AND NOT list_contains(seen, dst)), []) AS n FROM reached) WHERE len(n) > 0)
       SELECT unnest(fresh) AS url, depth, 'page' AS route FROM reached""",
     "frontier_anti": f"""WITH {SITE} SELECT DISTINCT dst AS url FROM site WHERE dst NOT IN (SELECT dst FROM captured)""",
-    "markdown_to_text": f"""SELECT page_id, {strip(entities(rules(rules('markdown', MARKDOWN_RULES), LAYOUT_RULES)))} AS text
-      FROM (SELECT page_id, {MARKDOWN} AS markdown FROM pages)""",
+    "markdown_to_text": f"""SELECT page_id, {PLAIN} AS text FROM (SELECT page_id, {MARKDOWN} AS markdown FROM pages)""",
+    "pages_scanned": f"""WITH {ADDRESSES}, kept AS (SELECT p.page_id, html, {STORED.format(path='path')} AS storage_path
+        FROM addresses a JOIN pages p USING (page_id) WHERE form = 0 AND p.url LIKE 'https://%'),
+      last AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY storage_path ORDER BY page_id DESC) = 1),
+      stored AS (SELECT storage_path, {REWRITTEN} AS html FROM last)
+      SELECT storage_path || '.md' AS path, {MARKDOWN} AS text, 'Archivo: ' || storage_path || '.md' AS source FROM stored""",
+    "pdfs_scanned": f"""WITH {PDF_NAMES} SELECT name, strlen(html) AS length, sha256(html) AS content_sha256 FROM pdfs""",
+    "folder_status": f"""WITH {PDF_NAMES} SELECT '.' AS folder, name, CASE WHEN strlen(html) < 2000
+        THEN 'Error converting ' || chr(39) || name || chr(39) || ': only ' || strlen(html) || ' bytes'
+        ELSE 'Successfully converted ' || chr(39) || name || chr(39) || ' to: ' || regexp_replace(name, '[.][^.]*$', '') || '.md' END AS line FROM pdfs
+      UNION ALL SELECT 'text', NULL, {quoted(FOLDER_EMPTY.format('text'))} UNION ALL SELECT 'nowhere', NULL, {quoted(FOLDER_MISSING.format('nowhere'))}""",
+    "stream_upsert_index": f"""WITH latest AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END AS text,
+        CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 7 <> 0),
+      {chunks('latest', 'doc_id')}
+      SELECT doc_id, version, chunk_index, total_chunks, chunk, start_line, {END_LINE} AS end_line FROM chunks JOIN latest USING (doc_id)""",
+    "rejected_vectors": """SELECT vec_id AS id, CASE WHEN vec_id % 11 = 0 THEN 'no vector' WHEN vec_id % 7 = 0 OR vec_id % 5 = 0 THEN 'wrong width' ELSE 'null in vector' END AS reason
+      FROM embeddings WHERE vec_id % 11 = 0 OR vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 3 = 0""",
     "paragraphs": f"""WITH {DOCS_MD} SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS paragraph
       FROM (SELECT doc_id, {PARAS} AS p FROM docs_md)""",
     "word_packing": f"""WITH {DOCS_MD} SELECT doc_id, unnest(range(len(p))) AS piece_no, unnest(p) AS piece

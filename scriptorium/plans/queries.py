@@ -17,7 +17,7 @@ from scriptorium.sources import corpus as sources
 from scriptorium.sources import sinks
 from scriptorium.sources.corpus import with_source
 from scriptorium.session import checkpoint_folder
-from scriptorium.streaming.index import append_chunks, document_stream
+from scriptorium.streaming.index import append_chunks, document_stream, keep_index, read_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,52 @@ def scan_corpus(spark, sf_dir):
     return with_source(corpus)
 
 
+@query
+def pages_scanned(spark, sf_dir):
+    """The stored pages as files of both kinds, and what a scan for Markdown finds there and in a folder that does not exist."""
+    folder = _written(spark, "pages")
+    stored = pages.page_store(tables.pages(spark, sf_dir), SCOPE).checkpoint()
+    sinks.write_files(stored, folder, "markdown_file", "markdown")
+    sinks.write_files(stored, folder, "html_file", "html")
+    return sources.scan_corpus(spark, folder).unionByName(sources.scan_corpus(spark, f"{folder}/nowhere"))
+
+
+def _pdf_folder(spark, sf_dir) -> str:
+    """Every page as a file: PDFs with suffixes in either case, some below a folder, and other files."""
+    folder = _written(spark, "pdfs")
+    number = F.col("page_id").cast("string")
+    name = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("p "), number, F.lit(".pdf")))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("p+"), number, F.lit(".PDF")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("below/p"), number, F.lit(".pdf")))
+        .otherwise(F.concat(F.lit("text/p"), number, F.lit(".pdf.txt")))
+    )
+    sinks.write_files(tables.pages(spark, sf_dir).select(name.alias("name"), "html"), folder, "name", "html")
+    return folder
+
+
+@query
+def pdfs_scanned(spark, sf_dir):
+    """The PDF files directly in a folder, and those of a folder that does not exist."""
+    folder = _pdf_folder(spark, sf_dir)
+    found = sources.scan_pdfs(spark, folder).unionByName(sources.scan_pdfs(spark, f"{folder}/nowhere"))
+    return found.select("name", "length", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query
+def folder_status(spark, sf_dir):
+    """Result lines of a folder of PDFs of which some are too short to convert, of one without PDFs and of one that does not exist."""
+    folder, found = _pdf_folder(spark, sf_dir), None
+    for name in (".", "text", "nowhere"):
+        path = f"{folder}/{name}"
+        error = F.when(F.col("length") < 2000, F.concat(F.lit("only "), "length", F.lit(" bytes")))
+        value = F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit(".md"))
+        done = status.ingest_status(sources.scan_pdfs(spark, path), F.col("name"), value, error)
+        lines = status.folder_lines(done, name, sources.folder_exists(spark, path)).withColumn("folder", F.lit(name))
+        found = lines if found is None else found.unionByName(lines)
+    return found
+
+
 @query
 def ingest_status(spark, sf_dir):
     """The number in each page address; addresses that end in something else are reported."""
@@ -536,6 +582,21 @@ def _label_search(spark, sf_dir, k: int, metric: str) -> DataFrame:
     return retrieval.nearest(vectors.select("id", "embedding"), means, k, metric, width=width)
 
 
+@query
+def rejected_vectors(spark, sf_dir):
+    """The vectors that a search leaves out, with the reason: some of the table's are lost, cut short, lengthened, or hold a null."""
+    vectors = tables.load(spark, sf_dir, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    width = retrieval.usual_width(vectors)
+    spoilt = (
+        F.when(F.col("id") % 11 == 0, F.lit(None).cast("array<double>"))
+        .when(F.col("id") % 7 == 0, F.slice("embedding", 2, 5))
+        .when(F.col("id") % 5 == 0, F.array_append("embedding", F.lit(1.0)))
+        .when(F.col("id") % 3 == 0, F.transform("embedding", lambda x, i: F.when(i != 1, x)))
+        .otherwise(F.col("embedding"))
+    )
+    return retrieval.rejected_vectors(vectors.withColumn("embedding", spoilt), width).select("id", "reason")
+
+
 @query
 def knn_cosine(spark, sf_dir):
     return _label_search(spark, sf_dir, TOP_K, "cosine")
@@ -622,6 +683,25 @@ def stream_chunk_index(spark, sf_dir):
     return spark.read.parquet(f"{run}/index")
 
 
+@query
+def stream_upsert_index(spark, sf_dir):
+    """An index kept by a stream: all documents, then new versions of some, empty versions of others, and old versions that come too late."""
+    run = _written(spark, "upsert")
+    rows = tables.documents(spark, sf_dir).select("doc_id", "text")
+    third, seventh = F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 == 0
+    arriving = (
+        rows.withColumn("version", F.lit(1)),
+        tables.documents_md(spark, sf_dir).filter(third | seventh).select("doc_id", F.when(~seventh, F.col("text")).alias("text"), F.lit(2).alias("version")),
+        rows.filter(F.col("doc_id") % 5 == 0).select("doc_id", F.lit("late").alias("text"), F.lit(0).alias("version")),
+    )
+    for versions in arriving:
+        versions.repartition(4).write.mode("append").parquet(f"{run}/in")
+        # What has arrived is taken in; the next run continues after it.
+        stream = document_stream(spark, f"{run}/in", "doc_id bigint, text string, version int", files_per_trigger=4)
+        keep_index(stream, f"{run}/index", f"{run}/log", "doc_id").awaitTermination()
+    return read_index(spark, f"{run}/index")
+
+
 # Sinks, written and read back
 
 

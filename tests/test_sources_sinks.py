@@ -3,10 +3,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import dictionary, graph
+from scriptorium.operators import dictionary, graph, status
 from scriptorium.operators.status import ingest_status, isolated, split_by_status
 from scriptorium.sources import corpus, sinks
-from scriptorium.streaming.index import append_chunks, document_stream
+from scriptorium.streaming.index import append_chunks, document_stream, read_index, upsert_chunks
 
 
 def test_corpus_scan(spark, tmp_path):
@@ -122,3 +122,43 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
         append_chunks(document_stream(spark, docs, schema), out, log).awaitTermination()
     found = spark.read.parquet(out).collect()
     assert sorted((r.path, r.chunk_index) for r in found) == [("0-0", 0), ("1-0", 0), ("1-0", 1), ("1-1", 0)]
+
+
+def test_upserts_replace_documents(spark, tmp_path):
+    """Versions that replace, come late, empty a document, repeat, and batches that are tried again."""
+    index = str(tmp_path / "index")
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "path string, version int, text string")
+
+    def held():
+        return {(r.path, r.version, r.chunk) for r in read_index(spark, index).collect()}
+
+    upsert_chunks(batch(("a", 1, "one"), ("b", 1, "bee"), ("c", 1, "see"), (None, 1, "none")), index, 0, buckets=3)
+    assert held() == {("a", 1, "one"), ("b", 1, "bee"), ("c", 1, "see"), (None, 1, "none")}
+    second = batch(("a", 3, "three"), ("a", 2, "two"), ("b", 0, "late"), ("c", 2, None), ("d", 1, "x\n\ny"))
+    for _ in range(2):
+        upsert_chunks(second, index, 1, buckets=3)
+        assert held() == {("a", 3, "three"), ("b", 1, "bee"), ("d", 1, "x\n\ny"), (None, 1, "none")}
+    upsert_chunks(batch(("c", 1, "late"), ("a", 3, "again"), ("d", 2, "")), index, 2, buckets=3)
+    assert held() == {("a", 3, "again"), ("b", 1, "bee"), (None, 1, "none")}
+    upsert_chunks(batch(("c", 3, "back")).limit(0), index, 3, buckets=3)
+    upsert_chunks(batch(("c", 3, "back")), index, 4, buckets=3)
+    assert held() == {("a", 3, "again"), ("b", 1, "bee"), ("c", 3, "back"), (None, 1, "none")}
+    assert read_index(spark, index).columns == ["path", "version", "chunk_index", "total_chunks", "chunk", "start_line", "end_line"]
+
+
+def test_files_are_written_and_found(spark, tmp_path):
+    rows = [("a/ü b.md", "text\nñ"), ("c.md", ""), ("c.txt", "no"), (None, "x"), ("d.md", None)]
+    written = sinks.write_files(spark.createDataFrame(rows, "name string, body string"), f"file://{tmp_path}/w", "name", "body")
+    assert sorted(map(tuple, written.collect())) == [("a/ü b.md", 7), ("c.md", 0), ("c.txt", 2)]
+    assert sorted((r.path, r.text) for r in corpus.scan_corpus(spark, str(tmp_path / "w")).collect()) == [("a/ü b.md", "text\nñ")]
+    lines = spark.createDataFrame([("n", "line")], "name string, line string")
+    assert [tuple(r) for r in status.folder_lines(lines, "f", True).collect()] == [("n", "line")]
+    assert [r.line for r in status.folder_lines(lines.limit(0), "f", True).collect()] == ["No PDF files found in 'f'"]
+    assert [r.line for r in status.folder_lines(lines.limit(0), "f", False).collect()] == ["Error: Input folder 'f' does not exist"]
+    assert corpus.folder_exists(spark, str(tmp_path)) and not corpus.folder_exists(spark, str(tmp_path / "nowhere"))
+
+
+def test_an_empty_markdown_folder_is_found_empty(spark, tmp_path):
+    assert corpus.scan_corpus(spark, str(tmp_path / "nowhere")).collect() == []
