@@ -2,7 +2,8 @@
 
 A walk over a text has one random bit per step and character, the same bits for all texts. At each step it
 emits the character it stands on and moves on if the bit is set. Where two texts agree, their walks fall into step
-again after an edit, so a small edit distance becomes a small Hamming distance. The fingerprint samples the embedding: at
+again after an edit, so a small edit distance becomes a small Hamming distance. How soon they do is chance, so there are
+``WALKS`` independent walks, and the nearest counts. The fingerprint samples the embeddings: at
 fixed random steps, one random bit of the character emitted. Steps are sampled at levels, one per doubling of
 the length; a text has the level of its length and the next, so texts of similar length share one.
 """
@@ -10,6 +11,7 @@ the length; a text has the level of its length and the next, so texts of similar
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import checkpointed, per_batch, text_list
 
-#: Bits sampled per level.
-SAMPLES = 512
+#: Independent walks, and bits sampled per walk and level.
+WALKS, SAMPLES = 2, 256
 #: The level of the shortest texts: 2 ** LOWEST characters.
 LOWEST = 5
 SEED = 7_919
@@ -32,15 +34,16 @@ PERIOD = 1 << 16
 ROUND = 128
 #: Characters and texts embedded at a time.
 CHARACTERS, TEXTS = 2_000_000, 512
-#: Bands for texts of one level, and as many for texts of this level and the one below; bits per band.
+#: Bands of a walk for texts of one level, and as many for texts of this level and the one below; bits per band.
 BANDS, BAND_BITS = 12, 16
 
 
 @lru_cache(1)
 def _walk_bits() -> np.ndarray:
-    bits = np.random.default_rng(SEED).integers(0, 2, (PERIOD, KINDS), "u1")
-    bits[:, PAST] = 0
-    return bits
+    """The bits of all walks, one walk's behind the other's."""
+    bits = np.random.default_rng(SEED).integers(0, 2, (PERIOD, WALKS, KINDS), "u1")
+    bits[:, :, PAST] = 0
+    return bits.reshape(PERIOD, WALKS * KINDS)
 
 
 @lru_cache(64)
@@ -61,42 +64,44 @@ def _level(n: int) -> int:
 
 
 def _walks(texts: list[np.ndarray]) -> list[tuple[int, list[tuple[int, bytes]]]]:
-    """Of each text its level, and at it and the next the samples before the end and the bits."""
-    sizes = np.array([len(t) for t in texts])
+    """Of each text its level, and at it and the next, walk by walk, the samples before the end and the bits."""
+    sizes, count = np.array([len(t) for t in texts]), len(texts)
     levels = [_level(n) for n in sizes.tolist()]
     chars = np.concatenate([np.r_[t, np.uint8(PAST)] for t in texts])
     starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
     bits = _walk_bits()
     wanted = {level + up for level in set(levels) for up in (0, 1)}
     # For each step the samples of all levels that look at it.
-    seen = {level: np.full((len(texts), SAMPLES), PAST, "u1") for level in wanted}
+    seen = {level: np.full((WALKS * count, SAMPLES), PAST, "u1") for level in wanted}
     looks: dict[int, list[tuple[int, int]]] = {}
     for level in wanted:
         for place, step in enumerate(_samples(level)[0].tolist()):
             looks.setdefault(step, []).append((level, place))
-    alive, at, step = np.arange(len(texts)), starts.copy(), 0
+    # All walks of all texts go side by side.
+    alive, at, step = np.arange(WALKS * count), np.tile(starts, WALKS), 0
+    own = np.repeat(np.arange(WALKS) * KINDS, count)
     while len(alive):
         for step in range(step, step + ROUND):
             now = chars[at]
             for level, place in looks.get(step, ()):
                 seen[level][alive, place] = now
-            at += bits[(step + (step >> 16) * 4_099) % PERIOD][now]
+            at += bits[(step + (step >> 16) * 4_099) % PERIOD][now + own]
         step += 1
         going = chars[at] != PAST
         if not going.all():
-            alive, at = alive[going], at[going]
+            alive, at, own = alive[going], at[going], own[going]
     out = []
     for i, level in enumerate(levels):
         rows = []
         for each in (level, level + 1):
-            got = seen[each][i]
-            rows.append((int((got != PAST).sum()), np.packbits(_samples(each)[1][np.arange(SAMPLES), got]).tobytes()))
+            for got in seen[each][i::count]:
+                rows.append((int((got != PAST).sum()), np.packbits(_samples(each)[1][np.arange(SAMPLES), got]).tobytes()))
         out.append((level, rows))
     return out
 
 
 def fingerprints_of(texts: list[str]) -> list[str]:
-    """``level:samples:bits:samples:bits`` of each text; equal texts have equal fingerprints."""
+    """``level:samples:bits:...`` of each text, for each walk at its level and then at the next; equal texts have equal fingerprints."""
     kinds = [_kinds(t) for t in texts]
     out, part, size = [""] * len(texts), [], 0
 
@@ -116,7 +121,7 @@ def fingerprints_of(texts: list[str]) -> list[str]:
 
 
 def likeness_of(a: str, b: str) -> float:
-    """The estimated share of equal steps of the embeddings, from 0 to 1; 0 for texts whose lengths differ too much to share a level."""
+    """The estimated share of equal steps of the embeddings, from 0 to 1, of the walk that shows most; 0 for texts whose lengths differ too much to share a level."""
     if a == b:
         return 1.0
     x, y = a.split(":"), b.split(":")
@@ -124,30 +129,33 @@ def likeness_of(a: str, b: str) -> float:
     top = max(p, q)
     if top - min(p, q) > 1:
         return 0.0
-    i, j = 1 + 2 * (top - p), 1 + 2 * (top - q)
-    n = max(int(x[i]), int(y[j]))
-    if not n:
-        return 0.0
-    differ = int.from_bytes(bytes.fromhex(x[i + 1]), "big") ^ int.from_bytes(bytes.fromhex(y[j + 1]), "big")
-    wrong = (differ >> (SAMPLES - n)).bit_count()
-    return max(0.0, 1 - 2 * wrong / n)
+    best = 0.0
+    for walk in range(WALKS):
+        i, j = (1 + 2 * (WALKS * (top - level) + walk) for level in (p, q))
+        n = max(int(x[i]), int(y[j]))
+        if n:
+            differ = int.from_bytes(bytes.fromhex(x[i + 1]), "big") ^ int.from_bytes(bytes.fromhex(y[j + 1]), "big")
+            best = max(best, 1 - 2 * (differ >> (SAMPLES - n)).bit_count() / n)
+    return best
 
 
 @lru_cache(1)
 def _band_places() -> np.ndarray:
     """The sampled bits of each band: among those before the end of all texts of a level, and of those of the level below too."""
     random = np.random.default_rng(SEED + 1)
-    return np.stack([[random.choice(int(SAMPLES * share), BAND_BITS, replace=False) for _ in range(BANDS)] for share in (0.4, 0.2)])
+    return np.stack([[random.choice(int(SAMPLES * share), BAND_BITS, replace=False) for _ in range(WALKS * BANDS)] for share in (0.45, 0.22)])
 
 
 def bands_of(fingerprint: str) -> list[int]:
-    """Keys of the bands: at the own level for texts of either length, and at the next level for longer ones."""
+    """Keys of the bands of every walk: at the own level for texts of either length, and at the next level for longer ones."""
     parts = fingerprint.split(":")
     level, keys = int(parts[0]), []
     for up, longer in ((0, 0), (0, 1), (1, 1)):
-        bits = np.unpackbits(np.frombuffer(bytes.fromhex(parts[2 + 2 * up]), "u1"))
-        values = bits[_band_places()[longer]] @ (1 << np.arange(BAND_BITS))
-        keys += [int(v) | (band + longer * BANDS) << 24 | (level + up) << 32 for band, v in enumerate(values)]
+        for walk in range(WALKS):
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex(parts[2 + 2 * (WALKS * up + walk)]), "u1"))
+            own = slice(walk * BANDS, (walk + 1) * BANDS)
+            values = bits[_band_places()[longer][own]] @ (1 << np.arange(BAND_BITS))
+            keys += [int(v) | (band + walk * BANDS + longer * WALKS * BANDS) << 24 | (level + up) << 32 for band, v in enumerate(values)]
     return keys
 
 
@@ -175,27 +183,38 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def in_ranges(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, text, _last boolean)`` dealt to tasks by ranges of the key and sorted in each.
+    """``(key, text, _last boolean)`` dealt to tasks by ranges of the key and sorted in each, null first; equal keys by the digest of their text.
 
     Behind the rows of a task comes the first row of the next range that has rows, or the first of all, with
-    ``_last``: so each row's successor is in its task. Texts move once.
+    ``_last``: so each row's successor is in its task. Texts move once. Ranges come from the keys alone; what the tasks are told
+    of them is the first key of each, one entry a range.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("key IS NOT NULL")
-    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 1000).alias("b")).first()["b"] if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    # The place of the key among at most as many bounds as there are shuffle partitions.
-    ranged = rows.withColumn("_range", F.size(F.filter(edges, lambda b: b <= F.col("key"))))
-    firsts = sorted(ranged.groupBy("_range").agg(F.min("key").alias("k")).collect())
-    if not firsts:
-        return ranged.select("key", "text", F.lit(False).alias("_last"))
-    before = {first["k"]: firsts[i - 1]["_range"] for i, first in enumerate(firsts)}
-    copies = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])
-    places = F.when(F.col("key").isin(list(before)), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("_last")), F.struct(copies[F.col("key")].alias("r"), F.lit(True).alias("_last"))))
-    places = F.coalesce(places, F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("_last"))))
-    dealt = ranged.withColumn("_p", F.explode(places)).select("key", "text", F.col("_p._last").alias("_last"), F.col("_p.r").alias("_to"))
-    return dealt.repartitionById(len(bounds) + 1, F.col("_to")).sortWithinPartitions("_last", "key", "text").select("key", "text", "_last")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256).alias("digest"))
+    ranged = rows.select("key", "digest").repartitionByRange(parts, "key", "digest").withColumn("_part", F.spark_partition_id())
+    found = ranged.groupBy("_part").agg(F.min(F.struct("key", "digest")).alias("first")).collect()
+    sent = spark.sparkContext.broadcast(sorted((row["first"]["key"] is not None, row["first"]["key"], row["first"]["digest"]) for row in found))
+
+    def deal(batches):
+        firsts = sent.value
+        place = {first: i for i, first in enumerate(firsts)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [(k is not None, k, d) for k, d in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
+            to = [bisect_right(firsts, name) - 1 for name in names]
+            # The first row of a range goes to the range before it too, behind that range's rows.
+            copied = [i for i, name in enumerate(names) if name in place]
+            to += [(place[names[i]] - 1) % len(firsts) for i in copied]
+            taken = pa.array([*range(len(names)), *copied])
+            last = pa.array([False] * len(names) + [True] * len(copied))
+            columns = [batch.column(c).take(taken) for c in ("key", "text", "digest")]
+            yield pa.RecordBatch.from_arrays([*columns, last, pa.array(to, pa.int32())], ["key", "text", "digest", "_last", "_to"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    dealt = rows.mapInArrow(deal, f"key {kind}, text string, digest string, _last boolean, _to int")
+    return dealt.repartitionById(max(1, len(found)), F.col("_to")).sortWithinPartitions("_last", "key", "digest").select("key", "text", "_last")
 
 
 def edited_by_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -203,11 +222,12 @@ def edited_by_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     ``(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``. Edited: the
     last quarter of the characters (rounded down) replaced by the first as many, or all, of the next text, in
-    ascending order of the key; the first follows the last. Equal keys follow each other by text. A single row is its own next.
-    Null texts are empty; rows with a null key are left out, since they have no place in the order.
+    ascending order of the key; the first follows the last. Equal keys follow each other by the digest of their text. A single row is its own next.
+    Null texts are empty; null keys come first.
     """
 
     def run(batches):
+        kind = pa.null()
         held: list[tuple] = []  # the row whose next is to come: key, text, fingerprint
 
         def finish(rows):
@@ -217,7 +237,7 @@ def edited_by_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 edited.append(now[: len(now) - cut] + after[:cut])
             prints = fingerprints_of(edited)
             out = {
-                "key": pa.array([r[0] for r in rows[:-1]]),
+                "key": pa.array([r[0] for r in rows[:-1]], kind),
                 "n_chars": pa.array([len(r[1]) for r in rows[:-1]], pa.int64()),
                 "edited_sha256": pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]),
                 "fingerprint": pa.array([r[2] for r in rows[:-1]]),
@@ -228,6 +248,7 @@ def edited_by_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
+            kind = batch.schema.field("key").type
             # The first copy of the next range's first row ends the rows; it has no row of its own.
             ends = batch.column(2).to_pylist()
             batch = batch.slice(0, ends.index(True) + 1) if True in ends else batch

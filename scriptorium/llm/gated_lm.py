@@ -2,9 +2,10 @@
 
 Outputs are factored: a class, then a word of the class. Frequent words have outputs of their own; every other word
 belongs to a bucket by its ending, is drawn from the bucket by its count in the whole training text, and the
-network predicts the bucket. Training reads every training text once, in rounds: each task starts from the same weights,
-trains on its share of the round's documents by truncated backpropagation, and the weights of all tasks are averaged by their
-tokens. Scoring carries the state of a document from window to window, so its likelihood is that of the whole text.
+network predicts the bucket. Training reads every training text once, in rounds: each shard starts from the same weights,
+trains on its share of the round's documents by truncated backpropagation, and the weights of all shards are averaged by their
+tokens. Shards and their order come from hashes of the rows and their number from the tokens, so the model does not depend on how rows lie in files and
+tasks. Training starts afresh every ``PIECE`` tokens; scoring carries the state of a document from window to window, so its likelihood is that of the whole text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ ENDINGS, MARKS = 32, 4
 BUCKETS = ENDINGS * MARKS
 CLASSES, HIDDEN = 40, 32
 #: Training: rounds, which share out all texts, texts side by side, steps of backpropagation, step size.
-ROUNDS, LANES, STEPS, RATE = 3, 64, 16, 0.15
+ROUNDS, LANES, STEPS, RATE = 8, 64, 16, 0.15
+#: Training tokens per shard, and shards whose weights a task averages.
+SHARD_TOKENS, AVERAGED = 4_000_000, 64
 #: Training reads texts in pieces of so many tokens, each from a fresh state, so that no lane is much longer than others.
 PIECE = 512
 #: Sum of squared gradients before the first; it keeps the first steps of rarely used weights short.
@@ -347,36 +350,81 @@ def _network_of(handle) -> tuple[Vocabulary, Network]:
     return vocabulary, Network(vocabulary, flat)
 
 
-def round_of(key: str, text: str, rounds: int = ROUNDS) -> Column:
-    """The round that reads a row. Copies of a text are told apart by their keys, rows without a key by their texts."""
-    return F.pmod(F.xxhash64(key, text), F.lit(rounds))
+def shards_of(tokens: int) -> int:
+    """Training shards by the tokens to learn from: how the rows lie in files or tasks plays no part."""
+    return max(1, -(-tokens // SHARD_TOKENS))
 
 
-def train(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights. Each round reads the rows of its own, and all rounds together read every row once."""
+def training_texts(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, shards: int, rounds: int) -> DataFrame:
+    """``(shard, round, name, symbols)``: every text once, as two bytes a token; one partition per shard, in an order of its own.
+
+    A hash of key and text deals the rows. Rows that agree in both are alike, so their order does not matter.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def work(batches):
+        vocabulary = sent.value
+        for batch in batches:
+            made = [vocabulary.symbols(words_of(t or ""))[1].astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "round", "name")], pa.array(made, pa.binary())], ["shard", "round", "name", "symbols"])
+
+    name = F.xxhash64(key, text)
+    slot = F.pmod(name, F.lit(shards * rounds))
+    dealt = docs.select((slot % shards).cast("int").alias("shard"), F.floor(slot / shards).cast("int").alias("round"), F.xxhash64(name).alias("name"), F.col(text).alias("text"))
+    rows = dealt.mapInArrow(work, "shard int, round int, name bigint, symbols binary")
+    return checkpointed(rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("round", "name", "symbols"))
+
+
+def _averaged(moves: DataFrame, shards: int) -> DataFrame:
+    """``(i, row)``: the mean of the shards' moves by their tokens; some shards at a time, so that no task holds very many."""
+
+    def mean(group: pa.Table) -> pa.Table:
+        seen = np.array(group.column("seen").to_pylist(), "f8")
+        rows = [np.frombuffer(row, "f4") for row in group.column("row").to_pylist()]
+        total = sum(s * row for s, row in sorted(zip(seen, rows, strict=True), key=lambda x: (x[0], x[1].tobytes()))) / seen.sum()
+        return pa.table({"i": group.column("i")[:1], "shard": group.column("shard")[:1], "seen": pa.array([int(seen.sum())], pa.int64()), "row": pa.array([total.astype("f4").tobytes()], pa.binary())})
+
+    while True:
+        shards = -(-shards // AVERAGED)
+        grouped = moves.withColumn("shard", F.floor(F.col("shard") / AVERAGED).cast("int"))
+        moves = grouped.groupBy("i", "shard").applyInArrow(mean, "i int, shard int, seen bigint, row binary")
+        if shards == 1:
+            return moves
+
+
+def train(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS, shards: int | None = None) -> np.ndarray:
+    """The weights. Each round reads the texts of its own, and all rounds together read every text once.
+
+    In a round every shard starts from the same weights and trains on its texts in their order. The result depends on the rows alone, not on the tasks
+    that they lie in.
+    """
     spark, network = docs.sparkSession, Network(vocabulary)
+    shards = shards_of(vocabulary.n) if shards is None else shards
     blocks = -(-len(network.flat) // BLOCK)
+    texts = training_texts(docs, key, text, vocabulary, shards, rounds)
     for number in range(rounds):
         sent = spark.sparkContext.broadcast((vocabulary, network.flat))
 
-        def run(batches, sent=sent, rate=RATE / (1 + number)):
+        def run(batches, sent=sent, rate=RATE / (1 + 2 * number / rounds)):
             vocabulary, flat = sent.value
-            mine = Network(vocabulary, flat.copy())
-            texts = (vocabulary.symbols(words_of(t or ""))[1] for batch in batches for t in batch.column(0).to_pylist())
-            seen = Trainer(mine, rate).train(texts)
+            mine, shard = Network(vocabulary, flat.copy()), []
+
+            def read():
+                for batch in batches:
+                    shard[:] = batch.column("shard")[:1].to_pylist() or shard
+                    for symbols in batch.column("symbols").to_pylist():
+                        yield np.frombuffer(symbols, "<u2").astype(int)
+
+            seen = Trainer(mine, rate).train(read())
             if seen:
                 moved = (mine.flat - flat).astype("f4")
                 rows = [moved[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array(rows, pa.binary())], ["i", "seen", "row"])
-
-        def mean(group: pa.Table) -> pa.Table:
-            seen = np.array(group.column("seen").to_pylist(), "f8")
-            rows = [np.frombuffer(row, "f4") for row in group.column("row").to_pylist()]
-            total = sum(s * row for s, row in sorted(zip(seen, rows, strict=True), key=lambda x: (x[0], x[1].tobytes()))) / seen.sum()
-            return pa.table({"i": group.column("i")[:1], "row": pa.array([total.astype("f4").tobytes()], pa.binary())})
+                columns = [pa.array(range(blocks), pa.int32()), pa.array(shard * blocks, pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["i", "shard", "seen", "row"])
 
-        part = docs.filter(round_of(key, text, rounds) == number).select(F.col(text).alias("text"))
-        found = part.mapInArrow(run, "i int, seen bigint, row binary").groupBy("i").applyInArrow(mean, "i int, row binary").collect()
+        moves = texts.filter(F.col("round") == number).mapInArrow(run, "i int, shard int, seen bigint, row binary")
+        found = _averaged(moves, shards).collect()
         if found:
             moved = np.concatenate([np.frombuffer(row["row"], "f4") for row in sorted(found, key=lambda r: r["i"])])
             network = Network(vocabulary, network.flat + moved)
@@ -440,7 +488,9 @@ def score(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     numbered = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = f"key {kind}, row bigint, token string, n bigint, bucket int, n_tokens bigint, n_known bigint, base double, model double"
     rows = numbered.mapInArrow(run, schema)
-    joined = rows.join(counts, "token", "left")
+    # The one row that each document has without a token meets nothing, wherever it goes: a name of its own keeps these rows apart.
+    named = rows.withColumn("_token", F.coalesce("token", F.concat(F.lit(END), F.col("row"))))
+    joined = named.join(counts.withColumnRenamed("token", "_token"), "_token", "left")
     c = F.coalesce("c", F.lit(0))
     rest = F.get(F.array(*[F.lit(float(x)) for x in rest_total(vocabulary.totals)]), F.col("bucket"))
     rare = lambda total: F.when(F.col("n") > 0, F.col("n") * F.log10((c + 0.5) / total)).otherwise(0.0)

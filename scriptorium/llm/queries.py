@@ -172,7 +172,8 @@ def _rules_sql() -> str:
           SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
                  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
                  length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
-                 len(list_distinct(w[1:500])) AS n_distinct
+                 CASE WHEN len(w) > {quality_rules.BLOCK} THEN list_sum(list_transform(range(0, len(w), {quality_rules.BLOCK}),
+                   lambda i: {quality_rules.BLOCK} * len(list_distinct(w[i + 1:i + {quality_rules.BLOCK}]))))::BIGINT // len(w) ELSE len(list_distinct(w)) END AS n_distinct
           FROM w LEFT JOIN covered USING (doc_id)),
         votes AS MATERIALIZED (SELECT *, [{votes}] AS v FROM s),
         patterns AS (SELECT v, count(*)::DOUBLE AS n, len(list_filter(v, lambda x: x > 0)) > 1 AS m FROM votes GROUP BY v),

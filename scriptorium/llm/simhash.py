@@ -45,15 +45,19 @@ def fingerprint_of(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str = "text", width: int = 3) -> DataFrame:
-    """``(key, fp bigint)``: the fingerprint's bits as a signed number."""
+    """``(key, fp bigint, digest)``: the fingerprint's bits as a signed number, and the digest of the text."""
 
     def work(batch):
         made = np.array([fingerprint_of(t, width) for t in text_list(batch.column(1))], "<u8").view("<i8")
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["key", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), batch.column(2)], ["key", "fp", "digest"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(per_batch(work), f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), text_digest(docs[text]).alias("digest"))
+    return rows.mapInArrow(per_batch(work), f"key {kind}, fp bigint, digest string").withColumnRenamed("key", key)
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def _cuts(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -200,6 +204,15 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     return shards.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_sorted(radius), "a bigint, b bigint")
 
 
+def _rooted(marked: DataFrame, key: str, radius: int) -> DataFrame:
+    """``(fp, root, first, winner)`` of each distinct fingerprint: its component, the smallest key with it, and the row that goes before all others with it."""
+    # Null keys go behind all others.
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "digest")
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min(key).alias("first"), F.min(order).alias("winner")))
+    roots = component_roots(fingerprint_links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", "first", "winner", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """``(key, fp, component_id)`` of every row: documents are linked at ``radius`` or fewer differing bits.
 
@@ -208,9 +221,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", width: int =
     rows give no rows; other columns are not read. Only fingerprints move, and equal ones as one.
     """
     marked = checkpointed(fingerprints(docs, key, text, width))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = component_roots(fingerprint_links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, key, radius)
     # One row per distinct fingerprint; the copies come in by the last join, which splits hot fingerprints.
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     members = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
@@ -218,8 +229,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str = "text", width: int =
 
 
 def survivors(docs: DataFrame, key: str, text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component, one row per key. Rows without a key cannot be told apart from others, so all stay."""
-    keyed = docs.filter(F.col(key).isNotNull())
-    found = near_duplicates(keyed, key, text, width, radius).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept"))
-    kept = keyed.dropDuplicates([key]).join(found, F.col(key) == F.col("_kept"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    """One row of ``docs`` of each component: the one with the smallest key, of equal keys the one with the smallest digest of its text.
+
+    Null keys go behind all others. Components are of rows, so unlike rows that share a key are kept side by side; of rows with equal key and text any one
+    stays. A row is found again by its key and its text's digest, and texts move once.
+    """
+    marked = checkpointed(fingerprints(docs, key, text, width))
+    winners = _rooted(marked, key, radius).groupBy("root").agg(F.min("winner").alias("w")).select(F.col("w.key").alias("_key"), F.col("w.digest").alias("_digest"))
+    dealt = docs.withColumn("_text_digest", text_digest(docs[text]))
+    same = (F.col("_text_digest") == F.col("_digest")) & F.col(key).eqNullSafe(F.col("_key"))
+    return dealt.join(winners, same, "left_semi").dropDuplicates([key, "_text_digest"]).drop("_text_digest")

@@ -243,7 +243,7 @@ def brute_components(values, radius):
     return label
 
 
-def test_simhash(odd, none):
+def test_simhash(spark, odd, none):
     got = rows_of(simhash.near_duplicates(odd, "doc_id"), "doc_id", "fp", "component_id")
     keys, values = [k for k, _ in texts()], [brute_fingerprint(t) for _, t in texts()]
     labels = brute_components(values, 2)
@@ -252,6 +252,11 @@ def test_simhash(odd, none):
     assert simhash.near_duplicates(none, "doc_id").count() == 0
     assert rows_of(simhash.survivors(odd, "doc_id"), "doc_id") == sorted({(s,) for s in smallest.values()})
     assert set(CLASHES) <= set(simhash.survivors(odd, "doc_id").columns)
+    # Unlike rows that share a key are both kept; of like ones the smallest key stays, and a missing key goes last.
+    a, b, c = "alpha beta gamma delta", "one two three four", "red green blue black"
+    rows = spark.createDataFrame([(1, a), (1, b), (2, c), (3, b), (None, c), (None, "no key at all here"), (2, c)], "doc_id bigint, text string")
+    stays = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.survivors(rows, "doc_id").collect())
+    assert stays == [(0, "no key at all here"), (1, a), (1, b), (2, c)]
 
 
 @pytest.mark.parametrize("shard", [8192, 20])
@@ -296,6 +301,11 @@ def test_edit_fingerprints(spark, odd, none):
     assert got.fingerprint.tolist() == [prints[k] for k, _ in docs] and prints[6] == prints[7] and prints[1] == prints[2] != prints[4]
     assert edit_fingerprint.edited_by_next(none, "doc_id").count() == 0
     one = edit_fingerprint.edited_by_next(spark.createDataFrame([(1, "abcdefgh")], "doc_id bigint, text string"), "doc_id").first()
+    named = [(None, "nothing here"), (None, "nothing"), ("b", "bbbbbbbb"), ("a", "aaaaaaaa"), ("ñ", "nnnnnnnn"), ("b", "bbbbbbbb")]
+    got = edit_fingerprint.edited_by_next(spark.createDataFrame(named, "doc_id string, text string").repartition(5), "doc_id").collect()
+    order = sorted(named, key=lambda row: (row[0] is not None, row[0] or "", hashlib.sha256(row[1].encode()).hexdigest()))
+    want = [(k, hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest()) for (k, t), (_, u) in zip(order, order[1:] + order[:1], strict=True)]
+    assert sorted(want, key=str) == sorted(((row["doc_id"], row["edited_sha256"]) for row in got), key=str)
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
@@ -367,19 +377,53 @@ def test_language_model(spark, odd, none):
 
 def test_language_model_reads_every_training_text_once(spark, odd):
     rows = [*((i, PROSE) for i in range(300)), *((300 + i, f"text {i}") for i in range(300)), *((None, f"no key {i}") for i in range(30)), *texts()]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    number = gated_lm.round_of("doc_id", "text")
-    parts = [[tuple(row) for row in docs.filter(number == i).collect()] for i in range(gated_lm.ROUNDS)]
-    order = lambda row: (str(row[0]), str(row[1]))
-    assert sorted((row for part in parts for row in part), key=order) == sorted(rows, key=order)
-    assert all(sum(t == PROSE for _, t in part) > 50 for part in parts)
-    # Each text moves the weights, also alone.
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     vocabulary = gated_lm.vocabulary_of(checkpointed(gated_lm.word_counts(docs)))
+    dealt = gated_lm.training_texts(docs, "doc_id", "text", vocabulary, 5, 4)
+    parts = dealt.withColumn("part", F.spark_partition_id()).collect()
+    want = collections.Counter(vocabulary.symbols(gated_lm.words_of(t or ""))[1].astype("<u2").tobytes() for _, t in rows)
+    assert collections.Counter(bytes(row["symbols"]) for row in parts) == want
+    assert len({row["shard"] for row in parts}) == 5 == len({(row["shard"], row["part"]) for row in parts}) and {row["round"] for row in parts} == {0, 1, 2, 3}
+    # Each text moves the weights, also alone.
     start = gated_lm.Network(vocabulary).flat
     for text in ("text 1", "text 2", "text 3", "text 4"):
         assert not np.array_equal(gated_lm.train(docs.filter(F.col("text") == text), "doc_id", "text", vocabulary), start)
 
 
+def test_language_model_does_not_depend_on_the_layout(spark, odd, monkeypatch):
+    monkeypatch.setattr(gated_lm, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(gated_lm, "AVERAGED", 3)
+    rows = [*((i, f"{PROSE} text {i % 40}") for i in range(200)), *texts()[:4]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [sorted(map(tuple, gated_lm.score(docs.repartition(parts), "doc_id").collect())) for parts in (1, 4, 32)]
+    assert found[0] and all(a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9) for other in found[1:] for a, b in zip(found[0], other, strict=True))
+
+
+def test_many_shards_keep_most_of_the_gain(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    follow = {w: r.sample(words, 3) for w in words}
+
+    def text():
+        out = [r.choice(words)]
+        for _ in range(150):
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    docs = checkpointed(spark.createDataFrame([(i, text()) for i in range(1200)], "doc_id bigint, text string"))
+    gains = []
+    for shards in (1, 8):
+        tokens = gated_lm.SHARD_TOKENS
+        gated_lm.SHARD_TOKENS = -(-150_000 // shards)
+        try:
+            got = gated_lm.score(docs, "doc_id").toPandas()
+        finally:
+            gated_lm.SHARD_TOKENS = tokens
+        held = got[got.held_out]
+        gains.append((held.score.sum() - held.base_score.sum()) / held.n_tokens.sum())
+    assert gains[0] > 0.2 and gains[1] > 0.5 * gains[0]
+
+
 def test_language_model_gradients():
     """Backpropagation against differences, and scores that do not depend on windows or neighbours."""
     words, counts = ["\n", *[f"w{i}" for i in range(60)]], np.arange(61, 0, -1)
