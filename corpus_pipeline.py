@@ -6,12 +6,14 @@ the last keep the columns of the documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import packing, quality_classifier, quality_rules, simhash
-from scriptorium.llm.common import checkpointed, prepare, table
+from scriptorium.llm.common import prepare, table
+from scriptorium.session import checkpoint_folder
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id. Unlike documents that share an id all stay."""
     prepare(spark)
     return simhash.survivors(docs, "doc_id", width=3, radius=2)
 
@@ -49,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, on the table of documents; what a stage keeps is written once and read by the next."""
+    """The stages one after the other, on the table of documents; what a stage keeps is written as Parquet to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
+        docs = spark.read.parquet(f"{folder}/{number}-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
