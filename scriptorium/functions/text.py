@@ -31,10 +31,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda word: word != "")
 
 
-def count_newlines(text: Column) -> Column:
-    return F.size(F.split(text, "\n")) - 1
-
-
 #: All named character references of HTML, as the standard library lists them.
 _NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
 _REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
@@ -63,15 +59,7 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def without_extension(name: Column) -> Column:
-    return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
-
-
 def positions(first: Column | int, last: Column) -> Column:
     """``[first, ..., last]``, empty when ``last < first``."""
     first = first if isinstance(first, Column) else F.lit(first)
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def first_or_null(items: Column) -> Column:
-    return F.try_element_at(items, F.lit(1))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.constants import DISTANCE_CUTOFF, TOP_K
 from scriptorium.functions.vectors import hash_vector
-from scriptorium.session import broadcast_if_small, checkpoint_folder
+from scriptorium.session import broadcast_if_small, checkpoint_folder, written
 
 Embedder = Callable[[Column], Column]
 
@@ -101,6 +101,10 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray, width: int, metric: str) -
 
     def assign(batches):
         for batch in batches:
+            # Filtered here and not by an expression, above which an embedding function would run a second time.
+            batch = batch.filter(_usable(batch.column("vector"), width))
+            if not batch.num_rows:
+                continue
             lists = batch.column("vector")
             matrix = _matrix(lists, width, metric)
             away = _to_pivots(matrix, pivots)
@@ -114,6 +118,15 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray, width: int, metric: str) -
     return vectors.mapInArrow(assign, f"cell int, id {_kind(vectors, 'id')}, vector array<double>, reach double")
 
 
+def _usable(lists: pa.Array, width: int) -> pa.Array:
+    """``usable_vector`` on an array of vectors."""
+    holes = np.zeros(len(lists), bool)
+    parents = pc.list_parent_indices(lists).to_numpy()
+    holes[parents[pc.is_null(lists.flatten()).to_numpy(zero_copy_only=False)]] = True
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    return pa.array((sizes == width) & ~holes)
+
+
 def _kind(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 
@@ -223,33 +236,31 @@ def nearest(
     rounded to 6 decimals, ties go by id. Under the cosine a zero vector is at distance 1 of everything.
     """
     checkpoint_folder(vectors.sparkSession)
-    # Written first and filtered then: an embedding function above a filter would run once for the filter and once for the rows.
-    corpus = vectors.select(F.col(id_column).alias("id"), F.col("embedding").cast("array<double>").alias("vector")).checkpoint()
-    width = usual_width(corpus.withColumnRenamed("vector", "embedding")) if width is None else width
-    corpus = corpus.filter(usable_vector(F.col("vector"), width))
+    width = usual_width(vectors) if width is None else width
+    corpus = vectors.select(F.col(id_column).alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("vector")).checkpoint()
     asked = asked.filter(usable_vector(F.col("vector"), width)).withColumn("bound", F.lit(float("inf")))
     empty = asked.select("query_id", F.lit(0).alias("rank")).join(corpus.select("id").limit(0), F.lit(False)).select("query_id", "rank", "id", F.lit(0.0).alias("distance"))
-    # A bounded number of vectors in one row.
-    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(pivots).agg(F.collect_list("vector").alias("vectors")).first()["vectors"]
+    # A bounded number of vectors in one row; any will do.
+    sample = corpus.filter(usable_vector(F.col("vector"), width)).limit(pivots).agg(F.collect_list("vector").alias("vectors")).first()["vectors"]
     if not sample:
         return empty
+    points = _matrix(pa.array(sample), width, metric)
+    in_cells = written(_in_cells(corpus, points, width, metric))
     found = None
     if metric == "cosine":
         # Everything is at distance 1 of a zero question, so the smallest ids are its nearest.
         nothing = ~F.exists("vector", lambda x: x != 0)
-        smallest = corpus.select("id").orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id"))).scalar()
+        smallest = in_cells.select("id").orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id"))).scalar()
         found = asked.filter(nothing).select("query_id", F.explode(smallest).alias("id"), F.lit(1.0).alias("distance"))
         asked = asked.filter(~nothing)
-    points = _matrix(pa.array(sample), width, metric)
-    in_cells = _in_cells(corpus, points, width, metric).checkpoint()
     sizes = in_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach"))
     # One entry a pivot.
     cells = {row["cell"]: (row["n"], row["reach"]) for row in sizes.agg(F.collect_list(F.struct("cell", "n", "reach")).alias("cells")).first()["cells"]}
     counts = F.create_map(*[F.lit(x) for c, (n, _) in cells.items() for x in (c, -(-n // BLOCK_ROWS))])
     block = F.pmod(F.xxhash64("id"), counts[F.col("cell")])
     numbered = in_cells.select("cell", F.floor(block / BLOCKS_PER_KEY).cast("int").alias("sub"), "id", "vector")
-    blocks = _blocks(numbered, block, "cell", "sub").checkpoint()
+    blocks = written(_blocks(numbered, block, "cell", "sub"))
     spread = -(-asked.count() // BLOCK_ROWS) or 1
     first = _ranked(_met(_visits(asked, cells, points, width, metric, k, False), blocks, spread, width, metric, k), k).checkpoint()
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("bound"))

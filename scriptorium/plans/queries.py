@@ -16,7 +16,7 @@ from scriptorium.plans import tables
 from scriptorium.sources import corpus as sources
 from scriptorium.sources import sinks
 from scriptorium.sources.corpus import with_source
-from scriptorium.session import checkpoint_folder
+from scriptorium.session import checkpoint_folder, written
 from scriptorium.streaming.index import append_chunks, document_stream, keep_index, read_index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -541,8 +541,7 @@ def _index(spark, sf_dir) -> DataFrame:
 
 def _search(spark, sf_dir, metric: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The index, the questions, and the nearest chunks of every question."""
-    checkpoint_folder(spark)
-    index = _index(spark, sf_dir).checkpoint()
+    index = written(_index(spark, sf_dir))
     asked = tables.questions(spark, sf_dir)
     results = retrieval.nearest(
         retrieval.embed_texts(index.select("id", "chunk"), "chunk"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named or current
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written once as a table in the shared folder. Smaller than a checkpoint, and columns that are not read later cost nothing."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(rows: DataFrame, limit: int) -> DataFrame:
     """Mark a table for broadcast if it has at most ``limit`` rows; otherwise leave the join to a shuffle."""
     return F.broadcast(rows) if rows.count() <= limit else rows

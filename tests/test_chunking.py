@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions.splitting import first_lines
-from scriptorium.functions.text import count_newlines, strip
+from scriptorium.functions.text import strip
 from scriptorium.operators import chunking
 from scriptorium.operators.ordering import dense_ordinal, running_offset
 
@@ -64,7 +64,6 @@ def test_line_spans(value):
     assert tuple(value(chunking.line_span(F.col("t"), F.lit("two")), t=text)) == (2, 2)
     assert tuple(value(chunking.line_span(F.col("t"), F.lit("four")), t=text)) == (0, 0)
     assert tuple(value(chunking.line_span(F.col("t"), F.lit("")), t=text)) == (1, 1)
-    assert value(count_newlines(F.col("t")), t=text) == 3
 
 
 @settings(max_examples=300, deadline=None)

@@ -30,3 +30,22 @@ def test_page_store_keeps_the_last_page_of_a_path(spark):
     stored = {r.storage_path: r for r in pages.page_store(captured, "http://h/").collect()}
     assert set(stored) == {"a", "index"}
     assert stored["a"].page_id == 2 and stored["a"].markdown == "two\n" and stored["a"].markdown_file == "a.md"
+
+
+def test_starts_as_rows_and_a_long_chain(spark):
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(12)] + [("p3", "p0"), ("p12", "p5")]
+    links = spark.createDataFrame(edges, "src string, dst string")
+    starts = spark.createDataFrame([("p0",), ("p6",), ("p6",)], "url string")
+    found = {r.url: r.depth for r in crawl.crawl_closure(links, starts).collect()}
+    assert found == {f"p{i}": i if i < 6 else i - 6 for i in range(13)}
+
+
+def test_edges_lead_to_captured_pages(spark):
+    rows = [
+        (1, "http://h/a#top", '<a href="b">x</a><a href="/b#s">y</a><a href="http://o/z">z</a><a href="#f">self</a>'),
+        (2, "http://h/b", '<a href="a">a</a>'), (3, "http://h/b#again", '<a href="/c">c</a>'), (4, "http://h/d", "none"),
+    ]
+    captured = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = sorted(map(tuple, pages.page_edges(captured, "http://h/").collect()))
+    assert found == [("http://h/a", "http://h/a", 1, 1), ("http://h/a", "http://h/b", 3, 2), ("http://h/b", "http://h/a", 1, 1), ("http://h/b", "http://h/c", None, 1)]
+    assert ("http://h/a", "http://o/z", None, 1) in set(map(tuple, pages.page_edges(captured).collect()))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from scriptorium.operators import documents as docs
@@ -63,3 +65,34 @@ def test_document_is_the_concatenation_of_its_parts(spark):
     )
     parts = docs.document_markdown(frame, pages_per_part=2).orderBy("part").collect()
     assert len(parts) == 2 and "".join(p.markdown for p in parts) == whole[0].markdown
+
+
+def brute_markdown(boxes, tolerance=10):
+    """The table of one region by the plain rule: sorted by height, a new row beyond the tolerance of its first box, each row by x."""
+    if not boxes or any(b[1] is None or b[2] is None for b in boxes):
+        rows = [["[Table content could not be extracted properly]"]]
+    else:
+        rows, anchor = [], None
+        for box in sorted(boxes, key=lambda b: b[2]):
+            if anchor is None or box[2] - anchor > tolerance:
+                rows.append([])
+                anchor = box[2]
+            rows[-1].append(box)
+        rows = [[(b[3] or "").strip() or " " for b in sorted(row, key=lambda b: (b[1], b[0], b[2]))] for row in rows]
+    width = max(map(len, rows))
+    lines = [[f"Columna {i + 1}" for i in range(width)], ["---"] * width, *[row + [""] * (width - len(row)) for row in rows]]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
+def test_boxes_become_tables(spark):
+    rng = random.Random(3)
+    tables = {t: [(b, rng.randrange(60), rng.randrange(200), rng.choice([" a ", "b\n", "", "\t", None])) for b in range(rng.randrange(1, 40))] for t in range(30)}
+    tables[100] = [(b, b % 7, b // 7 * 30, f"c{b}") for b in range(7 * 300)]
+    tables[101], tables[102], tables[103] = [], [(1, 5, None, "lost"), (2, 5, 5, "x")], [(1, None, 3, "lost")]
+    boxes = spark.createDataFrame([(t, *b) for t, rows in tables.items() for b in rows] + [(999, 1, 1, 1, "no region")], "table_id int, box_id int, x int, y int, text string")
+    regions = spark.createDataFrame([(t,) for t in [*tables, 5]], "table_id int")
+    for rows_per_part in (1000, 64):
+        found = {}
+        for row in docs.boxes_to_markdown(regions, boxes, rows_per_part=rows_per_part).orderBy("table_id", "part").collect():
+            found[row.table_id] = found.get(row.table_id, "") + row.markdown
+        assert found == {t: brute_markdown(rows) for t, rows in tables.items()}

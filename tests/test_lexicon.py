@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,18 @@ def test_lemma_table_and_support(spark):
     lemmas = spark.createDataFrame([("mejores", "bueno"), ("mejor", "bueno")], "term string, lemma string")
     found = lexicon.term_dictionary(frame, runs=lexicon.lemma_by_table(runs, lemmas)).collect()
     assert [(r.term, r.occurrences, r.n_files, r.files) for r in found] == [("bueno", 4, 2, ["d0", "d1"])]
+
+
+def test_definitions_in_linear_time(spark):
+    """Very many parentheses, closed at the end only or never, and very many acronyms."""
+    names = ["".join(chr(65 + i // 26**k % 26) for k in (2, 1, 0)) for i in range(3000)]
+    for text in ("AB (x " * 100_000, "(" * 100_000 + "AB (", "AB (x " * 100_000 + ")", " ".join(f"{n} (def {n})" for n in names)):
+        started = time.time()
+        found = definitions(spark, text)
+        assert time.time() - started < 20
+        if len(found) > 1:
+            assert found == {n: f"def {n}" for n in names}
+        elif text.endswith(")"):
+            assert found["AB"].startswith("x AB (x ") and len(found["AB"]) > 500_000
+        else:
+            assert found == {"AB": None}
