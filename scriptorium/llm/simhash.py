@@ -1,14 +1,16 @@
 """Near-duplicates by SimHash fingerprints, found with BK-trees.
 
-Distinct fingerprints are dealt to shards by bits: of ``radius + 2`` blocks of bits, two fingerprints within the radius
-agree in two at least, so each pair of blocks is a table and its bits are a shard's key. A shard over its
-limit is dealt again by the bits that are left, twice at most; then so few bits are left that its size is
-bounded by their number. Each shard's tree meets the shard's fingerprints, and only edges whose distance
+Of ``radius + 1`` blocks of bits, two fingerprints within the radius agree in one at least, and so in any part of it. Distinct
+fingerprints are dealt to shards once per block, by as few of its bits as bring a shard to some thousand: a bound on memory that loses no
+link. A shard that is larger all the same is dealt again, by the whole block and then by the bits that are left, until its size is
+bounded by their number. A shard is a BK-tree: children keyed by their distance to the parent. It is built in the task
+that holds the shard, meets the shard's fingerprints, and only edges whose distance
 can lead into the radius are followed. A shard's links go on as stars, never as all pairs of a group.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -22,8 +24,8 @@ from scriptorium.llm.components import component_roots
 
 BITS = 64
 SEED = 42
-#: Fingerprints of a shard that is not dealt again.
-SHARD = 8192
+#: Fingerprints that a shard is meant to have, and those of one that is not dealt again.
+MEANT, SHARD = 2048, 8192
 #: Pairs of a query and a tree node that a task follows at a time.
 FRONTIER = 1_000_000
 
@@ -109,8 +111,8 @@ def build_trees(shard: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nd
     return root, parent, edge
 
 
-def search_trees(root: np.ndarray, parent: np.ndarray, edge: np.ndarray, value: np.ndarray, radius: int):
-    """Yields arrays of pairs (query, found) within the radius, each value as a query to its shard's tree."""
+def search_trees(root: np.ndarray, parent: np.ndarray, edge: np.ndarray, value: np.ndarray, radius: int, visits: Counter | None = None):
+    """Yields arrays of pairs (query, found) within the radius, each value as a query to its shard's tree. ``visits`` counts the nodes that are met."""
     child = np.flatnonzero(parent >= 0)
     code = parent[child] * 128 + edge[child]
     order = np.argsort(code, kind="stable")
@@ -122,6 +124,8 @@ def search_trees(root: np.ndarray, parent: np.ndarray, edge: np.ndarray, value:
             half = len(query) // 2
             stack += [(query[:half], node[:half]), (query[half:], node[half:])]
             continue
+        if visits is not None:
+            visits["nodes"] += len(node)
         distance = np.bitwise_count(value[query] ^ value[node]).astype("i8")
         hit = (distance <= radius) & (query != node)
         if hit.any():
@@ -188,17 +192,36 @@ def _links_of_sorted(radius: int):
     return run
 
 
+def _by_prefix(distinct: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """Rows ``(key, whole, rest, fp)`` once per block: the key from a few of its bits, from all of them, and the other blocks' bits; and the most bits that are left."""
+    blocks = _cuts(BITS, radius + 1)
+    few = max(0, (max(distinct.count(), 1) - 1).bit_length() - (MEANT.bit_length() - 1))
+    copies = []
+    for number, (place, width) in enumerate(blocks):
+        key, whole = (F.xxhash64(F.lit(number), _block(F.col("fp"), place, bits)) for bits in (min(few, width), width))
+        rest = _packed(F.col("fp"), blocks[:number] + blocks[number + 1 :])
+        copies.append(F.struct(key.alias("key"), whole.alias("whole"), rest.alias("rest"), "fp"))
+    return distinct.select(F.explode(F.array(*copies)).alias("c")).select("c.*"), BITS - min(width for _, width in blocks)
+
+
 def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     """``(a, b)``: links whose components are those of all pairs of ``distinct (fp)`` within the radius."""
-    rows = distinct.select(F.lit(0).cast("bigint").alias("key"), F.col("fp").alias("rest"), "fp")
-    dealt, left = _dealt(rows, BITS, radius + 2, 2)
+    dealt, left = _by_prefix(distinct.select("fp"), radius)
     ready = []
-    for _ in range(2):
-        hot = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).select("key")
+    for again in range(4):
+        dealt = checkpointed(dealt)
+        hot = checkpointed(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD).select("key"))
         ready.append(dealt.join(hot, "key", "left_anti").select("key", "fp"))
-        dealt, left = _dealt(dealt.join(hot, "key", "left_semi"), left, radius + 1, 1)
-    # A shard now holds at most 2 ** left distinct fingerprints.
-    ready.append(dealt.select("key", "fp"))
+        if hot.isEmpty():
+            break
+        dealt = dealt.join(hot, "key", "left_semi")
+        if again == 0:
+            dealt = dealt.select(F.xxhash64("key", "whole").alias("key"), "rest", "fp")
+        else:
+            dealt, left = _dealt(dealt, left, radius + 1, 1)
+    else:
+        # A shard now holds at most 2 ** left distinct fingerprints.
+        ready.append(dealt.select("key", "fp"))
     shards = reduce(DataFrame.unionByName, ready)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links_of_sorted(radius), "a bigint, b bigint")

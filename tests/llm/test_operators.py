@@ -284,6 +284,29 @@ def test_links_of_clustered_fingerprints(spark, monkeypatch, shard):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_trees_hold_real_shards(spark):
+    """Thousands of fingerprints in a tree of some depth, of which a search meets a share; the links are those of all pairs."""
+    r = np.random.default_rng(8)
+    value = r.integers(0, 2**63, 3000, dtype="u8") * np.uint64(2) + r.integers(0, 2, 3000, dtype="u8")
+    for i in range(0, 3000, 10):
+        value[i + 1] = value[i] ^ np.uint64(1 << int(r.integers(0, 64))) ^ np.uint64(1 << int(r.integers(0, 64)))
+    value = np.unique(value)
+    shard = np.zeros(len(value), "i8")
+    root, parent, edge = simhash.build_trees(shard, value)
+    depth = np.zeros(len(value), int)
+    for _ in range(60):
+        depth = np.where(parent >= 0, depth[parent] + 1, 0)
+    visits = collections.Counter()
+    found = {(int(a), int(b)) for q, n in simhash.search_trees(root, parent, edge, value, 2, visits) for a, b in zip(q, n, strict=True)}
+    near = np.bitwise_count(value[:, None] ^ value[None, :]) <= 2
+    assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a != b} and len(found) >= 500
+    assert depth.max() > 3 and visits["nodes"] < 0.7 * len(value) ** 2
+    distinct = checkpointed(spark.createDataFrame([(int(v),) for v in value.view("<i8")], "fp bigint"))
+    dealt, _ = simhash._by_prefix(distinct, 2)
+    sizes = [row["count"] for row in dealt.groupBy("key").count().collect()]
+    assert sum(sizes) == 3 * len(value) and max(sizes) > 1000
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     roots = dict(rows_of(component_roots(links), "node", "root"))
