@@ -146,10 +146,10 @@ def _least(away: np.ndarray, matrix: np.ndarray, pivots: np.ndarray, radius: np.
     return gap**2 / 2 if metric == "cosine" else gap**2
 
 
-def _visits(asked: DataFrame, cells: dict[int, tuple[int, float]], pivots: np.ndarray, width: int, metric: str, k: int, later: bool) -> DataFrame:
+def _visits(asked: DataFrame, cells: dict[int, tuple[int, float]], pivots: np.ndarray, width: int, metric: str, k: int, later: bool, probes: int = 0) -> DataFrame:
     """``(cell, sub, query_id, vector, bound)``: the cells that each question goes to.
 
-    First the nearest ones that hold ``k`` vectors; ``later``, all others that can hold something within ``bound``. A cell of many
+    First the nearest ones that hold ``k`` vectors, ``probes`` at least; ``later``, all others that can hold something within ``bound``. A cell of many
     blocks has several join keys (``sub``).
     """
     known = sorted(c for c in cells if c != NOWHERE)
@@ -166,7 +166,7 @@ def _visits(asked: DataFrame, cells: dict[int, tuple[int, float]], pivots: np.nd
             order = np.argsort(away, axis=1, kind="stable")
             before = np.cumsum(count[order], axis=1) - count[order]
             first = np.zeros(least.shape, bool)
-            np.put_along_axis(first, order, before < k, axis=1)
+            np.put_along_axis(first, order, (before < k) | (np.arange(len(known)) < probes), axis=1)
             bound = batch.column("bound").to_numpy(zero_copy_only=False)
             chosen = (~first & (least <= bound[:, None] + MARGIN)) if later else first
             if NOWHERE in cells:
@@ -227,6 +227,7 @@ def nearest(
     id_column: str = "id",
     width: int | None = None,
     pivots: int = PIVOTS,
+    probes: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every question: ``(query_id, rank, id, distance)``.
 
@@ -234,6 +235,9 @@ def nearest(
     Vectors of another width than ``width``, and those with nulls, are left out on both sides
     (``rejected_vectors`` names them). By default it is the most frequent width of ``vectors``. ``metric`` is ``cosine`` or ``l2`` (squared). Distances are
     rounded to 6 decimals, ties go by id. Under the cosine a zero vector is at distance 1 of everything.
+
+    With ``probes`` the search is approximate: a question meets that many nearest cells (more, if they hold fewer than ``k`` vectors) and no others, so its
+    cost is bounded whatever the data. The tests measure the recall.
     """
     checkpoint_folder(vectors.sparkSession)
     width = usual_width(vectors) if width is None else width
@@ -262,7 +266,10 @@ def nearest(
     numbered = in_cells.select("cell", F.floor(block / BLOCKS_PER_KEY).cast("int").alias("sub"), "id", "vector")
     blocks = written(_blocks(numbered, block, "cell", "sub"))
     spread = -(-asked.count() // BLOCK_ROWS) or 1
-    first = _ranked(_met(_visits(asked, cells, points, width, metric, k, False), blocks, spread, width, metric, k), k).checkpoint()
+    first = _ranked(_met(_visits(asked, cells, points, width, metric, k, False, probes or 0), blocks, spread, width, metric, k), k)
+    if probes is not None:
+        return first if found is None else _ranked(first.drop("rank").unionByName(found), k)
+    first = first.checkpoint()
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("bound"))
     left = asked.drop("bound").join(bounds, "query_id", "left").fillna(float("inf"), "bound")
     second = _met(_visits(left, cells, points, width, metric, k, True), blocks, spread, width, metric, k)

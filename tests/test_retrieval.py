@@ -129,3 +129,16 @@ def test_label_means_of_usable_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = queries.QUERIES["knn_cosine"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.id) for r in found if r["rank"] == 1} == {(0, 1), (1, 3)} and len(found) == 6
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_probes_bound_the_search_and_keep_the_recall(spark, metric):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 3
+    found = np.concatenate([centre + rng.normal(size=(50, 16)) for centre in centres])
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(found)], "id bigint, embedding array<double>").repartition(4).checkpoint()
+    asked = corpus.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in retrieval.nearest(corpus, asked, 10, metric).collect()}
+    near = retrieval.nearest(corpus, asked, 10, metric, probes=8).collect()
+    assert len(near) == len(exact) == 400
+    assert len(exact & {(r.query_id, r.id) for r in near}) >= 0.9 * len(exact)
