@@ -147,8 +147,8 @@ QUERIES = {
 
 
 def _template_values() -> str:
-    rows = [(name, licenses.bigrams_of(body)) for name, body in licenses.TEMPLATES]
-    return ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}])" for name, grams in rows)
+    rows = [(name, licenses.bigrams_of(body), licenses.words_of_template(body)) for name, body in licenses.TEMPLATES]
+    return ", ".join(f"('{name}', [{', '.join(repr(g) for g in grams)}], '{words[0]} {words[1]}', {len(words)})" for name, grams, words in rows)
 
 
 def _rules_sql() -> str:
@@ -264,7 +264,7 @@ ORACLES: dict[str, str] = {
     """,
     "op10_quality_rules": _rules_sql(),
     "op8_licenses": f"""
-        WITH t(license, grams) AS (VALUES {_template_values()}),
+        WITH t(license, grams, first, n_words) AS (VALUES {_template_values()}),
         d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS x FROM documents),
         g AS (SELECT doc_id, x, regexp_split_to_array(x, '\\n *\\n[ \\n]*') AS p FROM d),
         parts AS (
@@ -272,10 +272,17 @@ ORACLES: dict[str, str] = {
           FROM g),
         words AS (SELECT doc_id, row_number() OVER () AS part, list_filter(regexp_split_to_array(part, '[ \\n]+'), lambda y: y <> '') AS w FROM parts),
         grams AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+        whole AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(x, '[ \\n]+'), lambda y: y <> '') AS w FROM d),
+        pairs AS (SELECT doc_id, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM whole),
+        windows AS (
+          SELECT doc_id, i, license, grams, list_distinct(list_transform(range(i, least(i + n_words - 1, len(w))), lambda j: w[j] || ' ' || w[j + 1])) AS b
+          FROM pairs JOIN t ON gram = first JOIN whole USING (doc_id)),
         dice AS (
-          SELECT doc_id, part, license, max(2.0::DOUBLE * len(list_intersect(b, grams)) / (len(b) + len(grams))) AS dice
-          FROM grams, t WHERE len(list_intersect(b, grams)) > 0 GROUP BY ALL)
-        SELECT doc_id, license, count(*) AS n_parts, max(dice) AS dice FROM dice WHERE dice >= {licenses.LEAST} GROUP BY ALL
+          SELECT doc_id, 1 AS part, part AS place, license, max(2.0::DOUBLE * len(list_intersect(b, grams)) / (len(b) + len(grams))) AS dice FROM grams, t GROUP BY ALL
+          UNION ALL
+          SELECT doc_id, 0, i, license, max(2.0::DOUBLE * len(list_intersect(b, grams)) / (len(b) + len(grams))) FROM windows GROUP BY ALL),
+        best AS (SELECT * FROM dice WHERE dice >= {licenses.LEAST} QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, part, place))
+        SELECT doc_id, license, sum(part) AS n_parts, sum(1 - part) AS n_windows, max(dice) AS dice FROM best GROUP BY ALL
     """,
     "op2_chat_format": """
         WITH t AS (

@@ -13,7 +13,7 @@ there and is compatible with the encoding of the prefix before it.
 A chunk of text is a map from the state in which it is entered to the state in which it is left and a count.
 White space resets the state, so that map is given by the bytes before the first white space (still to be
 read from the entering state), the count of the complete words, and the bytes after the last white space. Such
-maps compose associatively; the chunks of a text are composed by a prefix scan.
+maps compose associatively; the chunks of a text are composed by a prefix scan, or as a tree where only the whole count is wanted.
 """
 
 from __future__ import annotations
@@ -193,8 +193,8 @@ class TextCounter:
             return ChunkMap(a.head, a.count, a.tail + b.head)
         return ChunkMap(a.head, a.count + self._words[a.tail + b.head] + b.count, b.tail)
 
-    def _prefixes(self, text: str, chunk: int) -> list[ChunkMap]:
-        return prefix_scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)], self.compose)
+    def _maps(self, text: str, chunk: int) -> list[ChunkMap]:
+        return [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
 
     def _ended(self, m: ChunkMap) -> int:
         """The tokens of a chunk that nothing comes before or after."""
@@ -202,11 +202,15 @@ class TextCounter:
 
     def prefix_counts(self, text: str, chunk: int = CHUNK) -> list[int]:
         """The tokens up to the end of each chunk, words cut there counted as they stand."""
-        return [self._ended(m) for m in self._prefixes(text, chunk)]
+        return [self._ended(m) for m in prefix_scan(self._maps(text, chunk), self.compose)]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        prefixes = self._prefixes(text, chunk)
-        return self._ended(prefixes[-1]) if prefixes else 0
+        """The last of the scan's products alone: neighbours are composed until one map is left, so no more than the text is held."""
+        maps = self._maps(text, chunk)
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+            maps = pairs + maps[len(pairs) * 2 :]
+        return self._ended(maps[0]) if maps else 0
 
 
 def prefix_scan(items: list, compose: Callable) -> list:

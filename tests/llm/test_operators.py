@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,6 +88,18 @@ def test_token_counts_are_the_librarys(odd, none):
         assert counter.prefix_counts(text, 3)[-1] == count(text)
 
 
+def test_a_long_word_takes_memory_in_proportion():
+    counter, peaks = token_counts.TextCounter(public_tokenizers.path(token_counts.VOCABULARY)), []
+    counter.count("warm up")
+    for n in (500_000, 2_000_000):
+        text = "abcdefghij" * (n // 10)
+        tracemalloc.start()
+        assert counter.count(text) == counter.count(text, chunk=n)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 12 * 2_000_000
+
+
 def test_prefix_scan():
     assert token_counts.prefix_scan(list("abcdefg"), lambda a, b: a + b) == ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg"]
 
@@ -216,9 +229,19 @@ def test_license_scan(spark, odd, none):
         (6, "Released under the MIT License, as is often done by most."), (7, "All rights reserved.\nAll rights reserved."),
     ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("license", F.lit("x")).withColumn("key", F.lit("y"))
-    got = rows_of(licenses.scan(docs, "doc_id"), "doc_id", "license", "n_parts", "dice")
-    assert (1, "MIT", 1, 1.0) in got and any(r[:2] == (2, "MIT") and r[3] > 0.9 for r in got)
-    assert (7, "all-rights-reserved", 3, 1.0) in got and {r[0] for r in got} == {1, 2, 7}
+    got = rows_of(licenses.scan(docs, "doc_id"), "doc_id", "license", "n_parts", "n_windows", "dice")
+    assert (1, "MIT", 1, 1, 1.0) in got and any(r[:2] == (2, "MIT") and r[4] > 0.9 for r in got)
+    assert (6, "MIT", 0, 1, 1.0) in got and (7, "all-rights-reserved", 3, 2, 1.0) in got and {r[0] for r in got} == {1, 2, 6, 7}
+    # Notices inside longer lines and a word changed; of like licences the one that is meant.
+    bodies = [(name, body) for name, body in licenses.TEMPLATES]
+    inside = [(100 + i, f"{PROSE}{body} {PROSE}") for i, (_, body) in enumerate(bodies)]
+    inside += [(1, "Copyright (c) 2024 Acme Inc. All rights reserved."), (2, "Licensed under the MIT License"), (3, "see Mozilla Public License Version 2.0 there")]
+    found = collections.defaultdict(set)
+    for key, name in rows_of(licenses.scan(spark.createDataFrame(inside, "doc_id bigint, text string"), "doc_id"), "doc_id", "license"):
+        found[key].add(name)
+    assert all(name in found[100 + i] for i, (name, _) in enumerate(bodies))
+    assert found[1] == {"all-rights-reserved"} and found[2] == {"MIT"} and found[3] == {"MPL-2.0"}
+    assert all(found[100 + i] == {name} for i, (name, _) in enumerate(bodies) if name in ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "CC-BY-NC-4.0", "CC-BY-SA-4.0"))
     assert licenses.scan(none, "doc_id").count() == 0 and licenses.scan(odd, "doc_id").count() == 0
 
 
