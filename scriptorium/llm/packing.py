@@ -28,8 +28,8 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces of text whose ids are remembered, and as many from before.
 REMEMBERED = 500_000
-#: Groups that the pieces of one length are numbered in.
-GROUPS = 64
+#: Pieces of one length that a group numbers on average; a length has as many groups as it needs.
+GROUP_ROWS = 500_000
 
 
 class TextTokenizer:
@@ -246,19 +246,21 @@ def pack(pieces: DataFrame, order: list[str], length: str = "length", capacity:
 
     ``order``: columns that name a piece; equal rows may change places. Lengths are from 1 to ``capacity``. At most
     ``capacity`` counts reach the driver, and the plan that comes back is bounded by them. Pieces of one length
-    are numbered within groups by a hash of ``order``, which are then put one after the other, so a hot length
-    is spread. No pieces give no rows. ``pieces`` is read twice.
+    are numbered within groups by a hash of ``order``, which are then put one after the other. The number of groups follows the number of
+    pieces of that length, so a hot length is spread over as many tasks as it needs. No pieces give no rows. ``pieces`` is read three times.
     """
     spark = pieces.sparkSession
-    spread = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(GROUPS)).cast("int"))
+    counts = {row[0]: row[1] for row in pieces.groupBy(length).agg(F.count("*").alias("n")).collect()}
+    groups = spark.createDataFrame([(size, -(-n // GROUP_ROWS)) for size, n in counts.items()], f"{length} {pieces.schema[length].dataType.simpleString()}, _groups bigint")
+    # At most ``capacity`` rows.
+    spread = pieces.join(F.broadcast(groups), length).withColumn("_group", F.pmod(F.xxhash64(*order), F.col("_groups")).cast("int")).drop("_groups")
     totals = checkpointed(spread.groupBy(F.col(length).alias("_length"), "_group").agg(F.count("*").alias("_n")))
-    counts = {row[0]: row[1] for row in totals.groupBy("_length").agg(F.sum("_n")).collect()}
     slots = spark.createDataFrame(_slots(plan(counts, capacity)), "_size bigint, _from bigint, _to bigint, _sequence bigint, _many bigint, _offset bigint")
     before = Window.partitionBy("_length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_length").alias("_size"), F.col("_group").alias("_part"), "_start")
     inside = Window.partitionBy(length, "_group").orderBy(*order)
     numbered = spread.withColumn("_row", F.row_number().over(inside).cast("bigint") - 1)
-    # At most capacity * GROUPS rows.
+    # At most ``capacity`` rows and one for each GROUP_ROWS pieces.
     numbered = numbered.join(F.broadcast(starts), (F.col(length) == F.col("_size")) & (F.col("_group") == F.col("_part"))).select(
         *pieces.columns, (F.col("_row") + F.col("_start")).alias("_number")
     )

@@ -104,7 +104,9 @@ def test_prefix_scan():
     assert token_counts.prefix_scan(list("abcdefg"), lambda a, b: a + b) == ["a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdefg"]
 
 
-def test_packing(odd, none):
+@pytest.mark.parametrize("group_rows", [packing.GROUP_ROWS, 1])
+def test_packing(odd, none, group_rows, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", group_rows)
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     made = packing.packed_documents(odd, "doc_id").toPandas()
