@@ -677,7 +677,8 @@ def stream_chunk_index(spark, sf_dir):
     """The index of the documents, built by a stream and read back."""
     run = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = tables.load(spark, sf_dir, "documents").schema.toDDL()
-    arriving = document_stream(spark, sf_dir, schema, "documents.parquet")
+    # A pattern and not a path: the table may be one file or a folder of files, and a stream takes a path for a folder.
+    arriving = document_stream(spark, f"{sf_dir}/document[s].parquet", schema)
     append_chunks(arriving.select("doc_id", "text"), f"{run}/index", f"{run}/log", "doc_id").awaitTermination()
     return spark.read.parquet(f"{run}/index")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators import dictionary, graph, status
 from scriptorium.operators.status import ingest_status, isolated, split_by_status
 from scriptorium.sources import corpus, sinks
+from scriptorium.plans.queries import QUERIES
 from scriptorium.streaming.index import append_chunks, document_stream, read_index, upsert_chunks
 
 
@@ -124,6 +125,15 @@ def test_stream_continues_where_it_stopped(spark, tmp_path):
     assert sorted((r.path, r.chunk_index) for r in found) == [("0-0", 0), ("1-0", 0), ("1-0", 1), ("1-1", 0)]
 
 
+def test_stream_index_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"uno\n\ndos {i}") for i in range(6)], "doc_id bigint, text string").repartition(3)
+    rows.write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for name in ("folder", "file"):
+        assert sorted(r.doc_id for r in QUERIES["stream_chunk_index"](spark, str(tmp_path / name)).collect()) == list(range(6))
+
+
 def test_upserts_replace_documents(spark, tmp_path):
     """Versions that replace, come late, empty a document, repeat, and batches that are tried again."""
     index = str(tmp_path / "index")
