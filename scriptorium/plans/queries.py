@@ -741,9 +741,11 @@ def index_written(spark, sf_dir):
     path = _written(spark, "index")
     rows = chunking.chunk_rows(tables.documents(spark, sf_dir), "doc_id")
     even = F.col("doc_id") % 2 == 0
-    sinks.replace_index(rows.filter(~even), path)
+    # Cut once: this half goes into the index that is replaced and is appended to the next.
+    odd = written(rows.filter(~even))
+    sinks.replace_index(odd, path)
     sinks.replace_index(rows.filter(even), path)
-    sinks.append_index(rows.filter(~even), path)
+    sinks.append_index(odd, path)
     return spark.read.parquet(path)
 
 

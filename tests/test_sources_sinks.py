@@ -134,6 +134,13 @@ def test_stream_index_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
         assert sorted(r.doc_id for r in QUERIES["stream_chunk_index"](spark, str(tmp_path / name)).collect()) == list(range(6))
 
 
+def test_an_index_is_appended_from_chunks_that_were_cut_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"uno\n\ndos {i}") for i in range(6)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plans, append = [], sinks.append_index
+    monkeypatch.setattr(sinks, "append_index", lambda rows, path: (plans.append(rows._jdf.queryExecution().toString()), append(rows, path)))
+    assert QUERIES["index_written"](spark, str(tmp_path)).count() == 6 and "locate" not in plans[0]
+
+
 def test_upserts_replace_documents(spark, tmp_path):
     """Versions that replace, come late, empty a document, repeat, and batches that are tried again."""
     index = str(tmp_path / "index")
