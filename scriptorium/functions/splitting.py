@@ -5,14 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = np.uint64(6364136223846793005)
+#: Texts up to this length are searched for each chunk by itself, which is faster than hashing them.
+SHORT = 32_768
 
 
 def first_lines(text: str, chunks: list[str]) -> list[dict[str, int]]:
     """First and last line of the first occurrence of each chunk in the text, 0 and 0 without one.
 
-    Chunks of a length between two powers of two share a window of the smaller one. A rolling hash of all windows
+    A short text is searched for each chunk by itself; so few chunks fit in it that this is bounded. In a longer one,
+    chunks of a length between two powers of two share a window of the smaller one. A rolling hash of all windows
     of the text gives the few places where a chunk's beginning may stand; these are compared in order.
     """
+    if len(text) <= SHORT:
+        out, seen = [], {}
+        for chunk in chunks:
+            if chunk not in seen:
+                place = text.find(chunk)
+                seen[chunk] = 0 if place < 0 else text.count("\n", 0, place) + 1
+            start = seen[chunk]
+            out.append({"start_line": start, "end_line": start + chunk.count("\n") if start else 0})
+        return out
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
     newlines = np.r_[0, np.cumsum(points == 10)]
     places = {"": 0}

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptorium.functions import splitting
 from scriptorium.functions.splitting import first_lines
 from scriptorium.functions.text import strip
 from scriptorium.operators import chunking
@@ -202,3 +203,13 @@ def test_a_long_text_is_split_in_linear_time(spark):
     started = time.time()
     chunks = spark.createDataFrame([("a", text)], "path string, text string").select(chunking.recursive_chunks(F.col("text"))).first()[0]
     assert time.time() - started < 60 and chunks == split_recursively(text, 500, 50)
+
+
+def test_first_lines_of_short_and_long_texts_agree(monkeypatch):
+    text = "\n".join(f"line {i % 7} of {i}" for i in range(200))
+    chunks = ["", "of 12", "line 3 of 3\nline 4", "line 1", text, text + "x", "not there", "of 12"]
+    found = []
+    for short in (10**6, -1):
+        monkeypatch.setattr(splitting, "SHORT", short)
+        found.append(first_lines(text, chunks))
+    assert found[0] == found[1] and found[0][1]["start_line"] == 13
