@@ -10,12 +10,13 @@ tasks. Training starts afresh every ``PIECE`` tokens; scoring carries the state
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, as ``words_of`` gives them, and their number in each text. Null has none."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, places = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    real = pc.not_equal(pc.binary_length(words), 0)
+    return words.filter(real), np.bincount(places[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
 def bucket_of(word: bytes) -> int:
     """By the last letter or digit of a word and what follows it."""
     body = word.rstrip(b".,;:!?")
@@ -67,14 +76,15 @@ class Vocabulary:
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, n: int, distinct: int, totals: np.ndarray):
-        self.place = {w.encode(): i for i, w in enumerate(words)}
+        self.table = pa.array(words, pa.string())
         self.outputs = min(OUTPUTS, len(words))
         self.n, self.distinct, self.totals = n, distinct, totals
         buckets = np.array([bucket_of(w.encode()) for w in words])
         self.symbol = np.where(np.arange(len(words)) < self.outputs, np.arange(len(words)), self.outputs + buckets)
-        self.base = np.log10((counts + 0.5) / base_total(n, distinct))
-        self.rest = np.where(np.arange(len(words)) < self.outputs, 0.0, np.log10((counts + 0.5) / rest_total(totals)[buckets]))
-        self.known = counts > 0
+        # The last entry is for words that are not in the table.
+        self.base = np.r_[np.log10((counts + 0.5) / base_total(n, distinct)), 0.0]
+        self.rest = np.r_[np.where(np.arange(len(words)) < self.outputs, 0.0, np.log10((counts + 0.5) / rest_total(totals)[buckets])), 0.0]
+        self.known = np.r_[counts > 0, False]
         mass = np.r_[counts[: self.outputs], totals[:, 0]] + 1.0
         # Words of equal share by the square root of their counts make a class, in order of their counts.
         order = np.argsort(-mass, kind="stable")
@@ -86,16 +96,41 @@ class Vocabulary:
         for c, members in enumerate(self.members):
             self.class_of[members], self.within[members] = c, np.arange(len(members))
         self.mass = mass
-
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Places in the table (-1: not there) and symbols of the words and the end, and the words that are not there, with their numbers."""
-        places = np.fromiter(map(self.place.get, words, repeat(-1)), "i4", len(words))
-        symbols = self.symbol[places]
+        # The weights of a class's words lie side by side: a symbol's row among them, its class's first row and number of rows.
+        self.order = np.concatenate(self.members)
+        self.sizes = np.array([len(members) for members in self.members])
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        self.row_of = self.starts[self.class_of] + self.within
+
+    def looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Places in the table (-1: not there) and symbols of words; which are not there, and those words."""
+        places = pc.fill_null(pc.index_in(words, value_set=self.table), -1).to_numpy(zero_copy_only=False)
         missing = np.flatnonzero(places < 0)
-        rare = [words[i] for i in missing]
-        if rare:
-            symbols[missing] = [self.outputs + bucket_of(w) for w in rare]
-        return np.r_[places, self.place[END.encode()]], np.r_[symbols, self.symbol[self.place[END.encode()]]], Counter(rare)
+        rare, symbols = words.take(pa.array(missing)), self.symbol[places]
+        symbols[missing] = [self.outputs + bucket_of(w.encode()) for w in rare.to_pylist()]
+        return places, symbols, missing, rare
+
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Places and symbols of the words of one text and its end, and the words that are not in the table, with their numbers."""
+        places, symbols, _, rare = self.looked_up(pa.array(words, pa.binary()).cast(pa.string()))
+        return np.r_[places, 0], np.r_[symbols, self.symbol[0]], Counter(rare.to_pylist())
+
+    def symbols_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The symbols of each text and its end."""
+        words, counts = words_in(texts)
+        return with_ends(self.looked_up(words)[1], counts, self.symbol[0])
+
+    def for_training(self) -> Vocabulary:
+        """Without the words."""
+        slim = copy.copy(self)
+        slim.table = None
+        return slim
+
+
+def with_ends(values: np.ndarray, counts: np.ndarray, end) -> list[np.ndarray]:
+    """The values text by text, each text with one more for its end."""
+    cuts = np.cumsum(counts)
+    return np.split(np.insert(values, cuts, end), (cuts + np.arange(1, len(counts) + 1))[:-1])
 
 
 def base_total(n: int, distinct: int) -> float:
@@ -106,116 +141,192 @@ def rest_total(totals: np.ndarray) -> np.ndarray:
     return totals[:, 0] + 0.5 * (totals[:, 1] + 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Network:
-    """Weights as views of one vector. Inputs of words go straight to the gates."""
+    """Weights as views of one vector. Inputs of words go straight to the gates. Rows of ``ww`` and ``bw`` are in the order of the classes."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         n, h, c = len(vocabulary.mass), HIDDEN, len(vocabulary.members)
-        self.shapes = {"e": (n + 1, 3 * h), "u": (h, 3 * h), "wc": (h, c), "bc": (c,), "ww": (n, h), "bw": (n,)}
+        # Biases are the last row or column of the weights that they belong to.
+        self.shapes = {"e": (n + 1, 3 * h), "u": (h, 3 * h), "c": (h + 1, c), "w": (n, h + 1)}
         sizes = [int(np.prod(s)) for s in self.shapes.values()]
         self.flat = np.zeros(sum(sizes), "f4") if flat is None else flat
         for (name, shape), end in zip(self.shapes.items(), np.cumsum(sizes), strict=True):
             setattr(self, name, self.flat[end - int(np.prod(shape)) : end].reshape(shape))
+        self.wc, self.bc, self.ww, self.bw = self.c[:h], self.c[h], self.w[:, :h], self.w[:, h]
         self.vocabulary = vocabulary
         if flat is None:
             random = np.random.default_rng(SEED)
             self.e[:] = random.normal(0, 0.3, self.e.shape)
             self.u[:] = random.normal(0, h**-0.5, self.u.shape)
             self.wc[:] = random.normal(0, 0.05, self.wc.shape)
-            self.ww[:] = random.normal(0, 0.05, self.ww.shape)
+            self.ww[:] = random.normal(0, 0.05, self.ww.shape)[vocabulary.order]
             # It starts as the distribution of single words.
+            self.bw[:] = np.log(vocabulary.mass[vocabulary.order])
             for k, members in enumerate(vocabulary.members):
                 self.bc[k] = np.log(vocabulary.mass[members].sum())
-                self.bw[members] = np.log(vocabulary.mass[members])
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """The gates and the next state of each lane, from the symbol read and the state."""
-        k = HIDDEN
-        given, own = self.e[x], h @ self.u
-        gates = given[:, : 2 * k]
-        gates += own[:, : 2 * k]
-        _sigmoid(gates)
-        z, r, own = gates[:, :k], gates[:, k:], own[:, 2 * k :]
-        new = r * own
-        new += given[:, 2 * k :]
+    def by_gate(self, weights: np.ndarray) -> np.ndarray:
+        """``(..., 3, rows, HIDDEN)`` of ``(..., rows, 3 * HIDDEN)``: the parts for each gate, the first two with the other sign."""
+        parts = np.ascontiguousarray(np.swapaxes(weights.reshape(*weights.shape[:-1], 3, HIDDEN), -2, -3))
+        np.negative(parts[..., :2, :, :], out=parts[..., :2, :, :])
+        return parts
+
+    def turned(self) -> np.ndarray:
+        """``u`` for ``advance``."""
+        u = self.u.copy()
+        np.negative(u[:, : 2 * HIDDEN], out=u[:, : 2 * HIDDEN])
+        return u
+
+    def advance(self, given: np.ndarray, u: np.ndarray, h: np.ndarray, own: np.ndarray, after: np.ndarray) -> None:
+        """One step, in place: ``given`` (the inputs by gate) becomes both gates and the new part, ``own`` what the state gives them, ``after`` the next state.
+
+        Where ``exp`` overflows the gate is 0, so callers ignore that.
+        """
+        np.matmul(h, u, out=own)
+        parts, gates, new = np.swapaxes(own.reshape(-1, 3, HIDDEN), 0, 1), given[:2], given[2]
+        gates += parts[:2]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(gates[1], parts[2], out=after)
+        new += after
         np.tanh(new, out=new)
-        after = h - new
-        after *= z
+        np.subtract(h, new, out=after)
+        after *= gates[0]
         after += new
-        return z, r, new, own, after
 
-    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of the targets."""
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
+        """The gates and the next state of each lane, from the symbol read and the state."""
+        given, after = self.by_gate(self.e[x]), np.empty((len(x), HIDDEN), self.flat.dtype)
+        own = np.empty((len(x), 3 * HIDDEN), self.flat.dtype)
+        with np.errstate(over="ignore"):
+            self.advance(given, self.turned(), h, own, after)
+        return given[0], given[1], given[2], own[:, 2 * HIDDEN :], after
+
+    def word_logits(self, h: np.ndarray, rows: np.ndarray, w: np.ndarray) -> tuple:
+        """Logits of all words of the classes of ``rows`` (places in ``w``), one state after the other in one vector, states by class.
+
+        Also: the states' order, the states in that order with a 1 for the bias, the places where a state's logits start, their numbers, and
+        ``(class, first state, last, first logit, last)`` of each class that is there.
+        """
         v = self.vocabulary
-        classes = v.class_of[target]
-        logits = h @ self.wc + self.bc
-        out = logits[np.arange(len(h)), classes] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(v.members) + 1))
-        for k, members in enumerate(v.members):
-            if cuts[k + 1] > cuts[k] and len(members) > 1:
-                rows = order[cuts[k] : cuts[k + 1]]
-                logits = h[rows] @ self.ww[members].T + self.bw[members]
-                out[rows] += logits[np.arange(len(rows)), v.within[target[rows]]] - np.log(np.exp(logits).sum(axis=1))
+        order = np.argsort(rows.astype("u2" if len(v.order) < 65_536 else "i8"), kind="stable")
+        rows = rows[order]
+        cuts = np.searchsorted(rows, v.starts)
+        states = np.ones((len(h), HIDDEN + 1), w.dtype)
+        states[:, :HIDDEN] = h[order]
+        counts = np.diff(cuts)
+        many = np.repeat(v.sizes, counts)
+        ends = np.r_[0, np.cumsum(counts * v.sizes)].tolist()
+        logits = np.empty(ends[-1], h.dtype)
+        there, cuts = np.flatnonzero(counts).tolist(), cuts.tolist()
+        spans = [(c, cuts[c], cuts[c + 1], ends[c], ends[c + 1]) for c in there]
+        firsts = v.starts.tolist()
+        for c, a, b, i, j in spans:
+            np.matmul(states[a:b], w[firsts[c] : firsts[c + 1]].T, out=logits[i:j].reshape(b - a, -1))
+        starts = np.cumsum(many) - many
+        return logits, order, states, starts, many, starts + rows - np.repeat(v.starts[:-1], counts), spans
+
+    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of the targets.
+
+        Products are in doubles, here and in ``text_scores``: rounding in a product depends on the number of its rows, and scores should not depend on neighbours.
+        """
+        v, kind = self.vocabulary, h.dtype
+        logits = np.matmul(h, self.wc.astype("f8")).astype(kind)
+        logits += self.bc
+        out = logits[np.arange(len(h)), v.class_of[target]]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
+        if len(h):
+            logits, order, _, starts, _, goals, _ = self.word_logits(h, v.row_of[target], self.w.astype("f8"))
+            words = logits[goals]
+            words -= np.log(np.add.reduceat(np.exp(logits, out=logits), starts))
+            out[order] += words
         return out
 
     def gradients(self, x: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, tuple]:
         """Of ``(steps, lanes)`` symbols read and to predict: gradients of the dense weights, the last state, and the gradients of inputs and words by row.
 
-        ``fresh``: the lane starts a text at this step, so the state before is zero.
+        ``fresh``: the lane starts a text at this step, so the state before is zero. ``rest`` of the dense gradients is one vector: all weights but the inputs'.
         """
-        v, k, (steps, lanes) = self.vocabulary, HIDDEN, x.shape
-        kept, states = [], np.empty((steps, lanes, k), "f4")
-        for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            z, r, new, own, after = self.step(x[t], h)
-            kept.append((h, z, r, new, own))
-            states[t] = h = after
+        v, k, kind, (steps, lanes) = self.vocabulary, HIDDEN, self.flat.dtype, x.shape
+        given, own = self.by_gate(self.e[x]), np.empty((steps, lanes, 3 * k), kind)
+        before, states = np.empty((steps, lanes, k), kind), np.empty((steps, lanes, k), kind)
+        u, some = self.turned(), fresh.any(axis=1).tolist()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                before[t] = h
+                if some[t]:
+                    before[t][fresh[t]] = 0
+                self.advance(given[t], u, before[t], own[t], states[t])
+                h = states[t]
+        rest = np.zeros(len(self.flat) - self.e.size, kind)
+        grads, at = {"rest": rest}, 0
+        for name in ("u", "c", "w"):
+            grads[name] = rest[at : at + getattr(self, name).size].reshape(self.shapes[name])
+            at += grads[name].size
+        grads["wc"], grads["bc"] = grads["c"][:k], grads["c"][k]
         flat, goal = states.reshape(-1, k), target.ravel()
-        grads = {name: np.zeros(shape, "f4") for name, shape in self.shapes.items() if name in ("u", "wc", "bc")}
-        p = flat @ self.wc + self.bc
-        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p = flat @ self.wc
+        p += self.bc
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(goal)), v.class_of[goal]] -= 1
-        grads["wc"][:], grads["bc"][:] = flat.T @ p, p.sum(axis=0)
+        np.matmul(flat.T, p, out=grads["wc"])
+        p.sum(axis=0, out=grads["bc"])
         dh = p @ self.wc.T
-        order = np.argsort(v.class_of[goal], kind="stable")
-        cuts = np.searchsorted(v.class_of[goal][order], np.arange(len(v.members) + 1))
-        words = []
-        for c, members in enumerate(v.members):
-            if cuts[c + 1] > cuts[c] and len(members) > 1:
-                rows = order[cuts[c] : cuts[c + 1]]
-                q = flat[rows] @ self.ww[members].T + self.bw[members]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(rows)), v.within[goal[rows]]] -= 1
-                words.append((members, q.T @ flat[rows], q.sum(axis=0)))
-                dh[rows] += q @ self.ww[members]
-        dh, d_after = dh.reshape(steps, lanes, k), np.zeros((lanes, k), "f4")
-        d_in = np.empty((steps, lanes, 3 * k), "f4")
+        q, order, sorted_states, starts, many, goals, spans = self.word_logits(flat, v.row_of[goal], self.w)
+        q -= np.repeat(np.maximum.reduceat(q, starts), many)
+        np.exp(q, out=q)
+        q /= np.repeat(np.add.reduceat(q, starts), many)
+        q[goals] -= 1
+        words, found, firsts = [], np.empty((len(flat), k + 1), kind), v.starts.tolist()
+        for c, a, b, i, j in spans:
+            members, one = slice(firsts[c], firsts[c + 1]), q[i:j].reshape(b - a, -1)
+            np.matmul(one.T, sorted_states[a:b], out=grads["w"][members])
+            np.matmul(one, self.w[members], out=found[a:b])
+            words.append((members, grads["w"][members, :k], grads["w"][members, k]))
+        dh[order] += found[:, :k]
+        dh = dh.reshape(steps, lanes, k)
+        z, r, new = given[:, 0], given[:, 1], given[:, 2]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = own[:, :, 2 * k :] * r * (1 - r)
+        d_own, d_new, back = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, k), kind), np.ascontiguousarray(self.u.T)
         for t in reversed(range(steps)):
-            h0, z, r, new, own = kept[t]
-            d = dh[t] + d_after
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (h0 - new) * z * (1 - z)
-            d_r = d_new * own * r * (1 - r)
-            d_in[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_own = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            grads["u"] += h0.T @ d_own
-            d_after = np.where(fresh[t][:, None], np.float32(0), d * z + d_own @ self.u.T)
-        rows, order = x.ravel(), np.argsort(x.ravel(), kind="stable")
-        touched, starts = np.unique(rows[order], return_index=True)
-        inputs = (touched, np.add.reduceat(d_in.reshape(-1, 3 * k)[order], starts, axis=0))
-        return grads, h, (inputs, words)
+            d = dh[t]
+            if t < steps - 1:
+                d += d_after
+            np.multiply(d, to_z[t], out=d_own[t, :, :k])
+            np.multiply(d, to_new[t], out=d_new[t])
+            np.multiply(d_new[t], to_r[t], out=d_own[t, :, k : 2 * k])
+            np.multiply(d_new[t], r[t], out=d_own[t, :, 2 * k :])
+            d_after = d_own[t] @ back
+            d *= z[t]
+            d_after += d
+            if some[t]:
+                d_after[fresh[t]] = 0
+        np.matmul(before.reshape(-1, k).T, d_own.reshape(-1, 3 * k), out=grads["u"])
+        d_own[:, :, 2 * k :] = d_new
+        return grads, h, (_sums_by(x.ravel(), d_own.reshape(-1, 3 * k)), words)
+
+
+def _sums_by(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names, and the sums of their rows. Names that come a few times are summed row by row, which is the faster way."""
+    order = np.argsort(names.astype("u2") if names.max() < 65_536 else names, kind="stable")
+    named = names[order]
+    starts = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+    counts = np.diff(np.r_[starts, len(named)])
+    sums = rows[order[starts]]
+    for i in range(1, 4):
+        more = np.flatnonzero((counts > i) & (counts < 5))
+        sums[more] += rows[order[starts[more] + i]]
+    often = counts > 4
+    if often.any():
+        many = counts[often]
+        sums[often] = np.add.reduceat(rows[order[np.repeat(often, counts)]], np.cumsum(many) - many, axis=0)
+    return named[starts], sums
 
 
 class Trainer:
@@ -225,57 +336,70 @@ class Trainer:
         self.network, self.rate = network, rate
         self.squares = Network(network.vocabulary, np.full_like(network.flat, FIRST_SQUARE))
 
-    def _move(self, name: str, rows, gradient: np.ndarray) -> None:
-        gradient = np.clip(gradient, -5, 5)
-        squares, weights = getattr(self.squares, name), getattr(self.network, name)
-        squares[rows] += gradient * gradient
-        weights[rows] -= self.rate * gradient / np.sqrt(squares[rows])
+    def _move(self, gradient: np.ndarray, squares: np.ndarray, weights: np.ndarray) -> None:
+        """All in place; a gradient of zero leaves its weight as it is."""
+        gradient /= LANES
+        np.clip(gradient, -5, 5, out=gradient)
+        squares += gradient * gradient
+        gradient *= self.rate
+        gradient /= np.sqrt(squares)
+        weights -= gradient
 
     def train(self, texts) -> int:
         """Trains on texts of symbols; lanes read them one after the other. The tokens read."""
         n = len(self.network.vocabulary.mass)  # the symbol read before the first word
-        lanes: list[np.ndarray] = [np.empty((0, 3), int)] * LANES
+        inputs = self.network.e.size
 
         def pieces():
             for symbols in texts:
-                rows = np.c_[np.r_[n, symbols[:-1]], symbols, np.arange(len(symbols)) % PIECE == 0]
-                yield from (rows[i : i + PIECE] for i in range(0, len(rows), PIECE))
+                read = np.empty(len(symbols), "i4")
+                read[:1], read[1:] = n, symbols[:-1]
+                yield from ((read[i : i + PIECE], symbols[i : i + PIECE]) for i in range(0, len(symbols), PIECE))
 
+        # Of each lane: symbols read, symbols to predict, and whether a piece starts there, from ``begin`` to ``end``.
+        lanes = np.zeros((3, LANES, STEPS + PIECE), "i4")
+        begin, end = np.zeros(LANES, int), np.zeros(LANES, int)
         h, total, coming, going = np.zeros((LANES, HIDDEN), "f4"), 0, pieces(), True
         while True:
-            for i in range(LANES):
-                while going and len(lanes[i]) < STEPS:
+            for i in np.flatnonzero(end - begin < STEPS).tolist() if going else ():
+                size = int(end[i] - begin[i])
+                lanes[:, i, :size] = lanes[:, i, begin[i] : end[i]].copy()
+                while going and size < STEPS:
                     piece = next(coming, None)
                     going = piece is not None
                     if going:
-                        lanes[i] = np.r_[lanes[i], piece]
-            full = [i for i in range(LANES) if len(lanes[i]) >= STEPS]
-            if not full:
-                full = [i for i in range(LANES) if len(lanes[i])]
-                if not full:
+                        to = size + len(piece[0])
+                        lanes[0, i, size:to], lanes[1, i, size:to], lanes[2, i, size:to] = *piece, 0
+                        lanes[2, i, size] = 1
+                        size = to
+                begin[i], end[i] = 0, size
+            left = end - begin
+            full = np.flatnonzero(left >= STEPS)
+            if not len(full):
+                full = np.flatnonzero(left)
+                if not len(full):
                     return total
-            steps = min(STEPS, min(len(lanes[i]) for i in full))
-            window = np.stack([lanes[i][:steps] for i in full], axis=1)
-            grads, h[full], (inputs, words) = self.network.gradients(window[:, :, 0], window[:, :, 1], window[:, :, 2] > 0, h[full])
-            for name, gradient in grads.items():
-                self._move(name, ..., gradient / LANES)
-            self._move("e", inputs[0], inputs[1] / LANES)
-            for members, gradient, bias in words:
-                self._move("ww", members, gradient / LANES)
-                self._move("bw", members, bias / LANES)
-            for i in full:
-                lanes[i] = lanes[i][steps:]
+            steps = min(STEPS, int(left[full].min()))
+            x, target, fresh = lanes[:, full, begin[full] + np.arange(steps)[:, None]]
+            grads, h[full], (touched, _) = self.network.gradients(x, target, fresh > 0, h[full])
+            rows, gradient = touched
+            squares, weights = self.squares.e[rows], self.network.e[rows]
+            self._move(gradient, squares, weights)
+            self.squares.e[rows], self.network.e[rows] = squares, weights
+            self._move(grads["rest"], self.squares.flat[inputs:], self.network.flat[inputs:])
+            begin[full] += steps
             total += steps * len(full)
 
 
 def text_scores(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Log10 probabilities of texts of symbols, each with its end."""
     out, start = np.zeros(len(texts)), len(network.vocabulary.mass)
+    e, u, gates = network.by_gate(network.e).reshape(-1, HIDDEN), network.turned().astype("f8"), np.arange(3)[:, None] * len(network.e)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     for a in range(0, len(order), ABREAST):
         part = order[a : a + ABREAST]  # longest first, so lanes end from the back
         sizes = np.array([len(texts[i]) for i in part])
-        h, last, at = np.zeros((len(part), HIDDEN), "f4"), np.full(len(part), start), 0
+        h, last, at = np.zeros((len(part), HIDDEN), network.flat.dtype), np.full(len(part), start), 0
         while at < sizes[0]:
             lanes = int((sizes > at).sum())
             steps = int(min(WINDOW, sizes[0] - at))
@@ -284,10 +408,13 @@ def text_scores(network: Network, texts: list[np.ndarray]) -> np.ndarray:
                 piece = texts[part[i]][at : at + steps]
                 goals[: len(piece), i] = piece
             h, last = h[:lanes], last[:lanes]
-            states = np.empty((steps, lanes, HIDDEN), "f4")
-            for t in range(steps):
-                h = network.step(last, h)[4]
-                states[t], last = h, goals[t]
+            states, own = np.empty((steps, lanes, HIDDEN), network.flat.dtype), np.empty((lanes, 3 * HIDDEN), "f4")
+            read = np.concatenate([last[None], goals[:-1]])[:, None] + gates
+            with np.errstate(over="ignore"):
+                for t in range(steps):
+                    network.advance(e.take(read[t], axis=0), u, h, own, states[t])
+                    h = states[t]
+            last = goals[-1]
             real = np.arange(at, at + steps)[:, None] < sizes[:lanes]
             logs = np.zeros((steps, lanes))
             logs[real] = network.log_probabilities(states[real], goals[real])
@@ -302,9 +429,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(words_of(t or ""))
-            counts[END.encode()] += batch.num_rows
+            for a in range(0, batch.num_rows, TEXTS):
+                found = pc.value_counts(words_in(batch.column(0).slice(a, TEXTS))[0])
+                counts.update(dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True)))
+            counts[END] += batch.num_rows
             if len(counts) > 500_000:
                 yield made(counts)
                 counts = Counter()
@@ -312,8 +440,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             yield made(counts)
 
     def made(counts):
-        tokens = pa.array(list(counts), pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([tokens, pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
 
     return docs.select(docs[text].alias("text")).mapInArrow(run, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -366,7 +493,7 @@ def training_texts(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary,
     def work(batches):
         vocabulary = sent.value
         for batch in batches:
-            made = [vocabulary.symbols(words_of(t or ""))[1].astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            made = [symbols.astype("<u2").tobytes() for symbols in vocabulary.symbols_of(batch.column("text"))] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "round", "name")], pa.array(made, pa.binary())], ["shard", "round", "name", "symbols"])
 
     name = F.xxhash64(key, text)
@@ -404,7 +531,7 @@ def train(docs: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds:
     blocks = -(-len(network.flat) // BLOCK)
     texts = training_texts(docs, key, text, vocabulary, shards, rounds)
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((vocabulary, network.flat))
+        sent = spark.sparkContext.broadcast((vocabulary.for_training(), network.flat))
 
         def run(batches, sent=sent, rate=RATE / (1 + 2 * number / rounds)):
             vocabulary, flat = sent.value
@@ -450,39 +577,29 @@ def score(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     vocabulary = vocabulary_of(counts)
     sent = spark.sparkContext.broadcast((vocabulary, train(learnt, key, text, vocabulary)))
 
+    names = ["key", "row", "token", "n", "bucket", "n_tokens", "n_known", "base", "model"]
+
     def run(batches):
         vocabulary, network = _network_of(sent)
         for batch in batches:
-            keys = batch.column(0)
             # A whole batch is scored at once: texts of like length go side by side.
             for a in range(0, batch.num_rows, TEXTS):
-                part = [vocabulary.symbols(words_of(t or "")) for t in batch.column(1).slice(a, TEXTS).to_pylist()]
-                scores = text_scores(network, [symbols for _, symbols, _ in part])
-                rows, token, n, tokens, known, base, model = [], [], [], [], [], [], []
-                for i, ((places, _, rare), s) in enumerate(zip(part, scores, strict=True), a):
-                    found = places[places >= 0]
-                    rows.append(i)
-                    token.append(None)
-                    n.append(0)
-                    tokens.append(len(places))
-                    known.append(int(vocabulary.known[found].sum()))
-                    base.append(vocabulary.base[found].sum())
-                    model.append(s + vocabulary.rest[found].sum())
-                    for word, times in rare.items():
-                        rows.append(i)
-                        token.append(word)
-                        n.append(times)
-                    for column in (tokens, known, base, model):
-                        column.extend([0] * len(rare))
-                first = np.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.take(pa.array(first)), batch.column(2).take(pa.array(first)), pa.array(token, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
-                        pa.array([0 if w is None else bucket_of(w) for w in token], pa.int32()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()), pa.array(model, pa.float64()),
-                    ],
-                    ["key", "row", "token", "n", "bucket", "n_tokens", "n_known", "base", "model"],
-                )
+                part = batch.slice(a, TEXTS)
+                words, counts = words_in(part.column("text"))
+                places, symbols, missing, rare = vocabulary.looked_up(words)
+                scores = text_scores(network, with_ends(symbols, counts, vocabulary.symbol[0]))
+                starts, places = np.r_[0, np.cumsum(counts + 1)[:-1]], np.insert(places, np.cumsum(counts), 0)
+                sums = [np.add.reduceat(x[places], starts) for x in (vocabulary.known.astype("i8"), vocabulary.base, vocabulary.rest)]
+                nothing = np.zeros(part.num_rows, "i8")
+                columns = [nothing, nothing.astype("i4"), counts + 1, sums[0], sums[1], scores + sums[2]]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("row"), pa.nulls(part.num_rows, pa.string()), *map(pa.array, columns)], names)
+                if len(missing):
+                    of = np.repeat(np.arange(part.num_rows), counts)[missing]
+                    found = pa.table({"of": of, "token": rare, "bucket": symbols[missing] - vocabulary.outputs})
+                    found = found.group_by(["of", "token", "bucket"], use_threads=False).aggregate([([], "count_all")]).combine_chunks().to_batches()[0]
+                    nothing, of = np.zeros(found.num_rows, "i8"), found.column("of")
+                    columns = [found.column("token"), found.column("count_all"), found.column("bucket").cast(pa.int32()), *map(pa.array, [nothing, nothing, nothing * 0.0, nothing * 0.0])]
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(of), part.column("row").take(of), *columns], names)
 
     kind = docs.schema[key].dataType.simpleString()
     numbered = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.monotonically_increasing_id().alias("row"))
