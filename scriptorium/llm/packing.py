@@ -13,6 +13,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ LENGTH = 2048
 END_ID = 0
 #: Pieces of text whose ids are remembered, and as many from before.
 REMEMBERED = 500_000
+#: Pieces of text that the library reads at once, and that make one text if they are letters.
+AT_ONCE, JOINED = 20_000, 500
 #: Pieces of one length that a group numbers on average; a length has as many groups as it needs.
 GROUP_ROWS = 500_000
 
@@ -36,7 +39,8 @@ class TextTokenizer:
     """Ids of texts by the library of the tokenizer file, as 32-bit little-endian bytes.
 
     A blank between two characters that are no white space always starts a token, and special strings hold no
-    blank, so a text is cut there; only pieces that are not remembered go through the library, many at a time.
+    blank, so a text is cut there; only pieces that are not remembered go through the library, many at a time. Pieces of letters go as one
+    text: the bytes of its tokens, one after the other, are the text's, so their lengths tell where a piece's ids end.
     """
 
     def __init__(self, path: str):
@@ -47,6 +51,7 @@ class TextTokenizer:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
+        self._sizes: np.ndarray | None = None
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._cut = re.compile(r"(?<=\S) (?=\S)").split
@@ -66,17 +71,36 @@ class TextTokenizer:
             self._old, self._known = self._known, {}
         known = self._known
         cut = [self._pieces(text) for text in texts]
-        found = [list(map(known.get, pieces)) for pieces in cut]
-        missing = {piece for pieces, have in zip(cut, found, strict=True) if None in have for piece, ids in zip(pieces, have, strict=True) if ids is None}
+        missing = set(chain.from_iterable(cut)).difference(known)
         self._learn(missing)
-        for pieces, have in zip(cut, found, strict=True):
-            if None in have:
-                have[:] = [known[piece] if ids is None else ids for piece, ids in zip(pieces, have, strict=True)]
+        made = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for piece in missing:
             if len(piece) > LONG:
                 known.pop(piece, None)
                 known.pop(piece[:-1], None)
-        return [b"".join(have) for have in found]
+        return made
+
+    def _together(self, pieces: list[str]) -> list[bytes] | None:
+        """The ids of pieces that each are a blank and letters; None if a token goes over the end of one."""
+        if self._sizes is None:
+            self._sizes = self._token_sizes()
+        joined = ["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.array(encoding.ids, "<u4") for encoding in self._library.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.cumsum([len(piece.encode("utf-8", "replace")) for piece in pieces])
+        reached = np.cumsum(self._sizes[ids])
+        cuts = np.searchsorted(reached, ends)
+        if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[cuts], ends):
+            return None
+        data, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _token_sizes(self) -> np.ndarray:
+        """Bytes of each token: in a byte-level vocabulary a character stands for a byte."""
+        tokens = self._library.get_vocab(with_added_tokens=False)
+        sizes = np.zeros(max(self._library.get_vocab(with_added_tokens=True).values(), default=-1) + 1, "i8")
+        for token, number in tokens.items():
+            sizes[number] = len(token)
+        return sizes
 
     def _learn(self, missing: set[str]) -> None:
         known, old, marked, ask = self._known, self._old, [], {}
@@ -92,10 +116,19 @@ class TextTokenizer:
                     ask[body] = None
         if marked:
             ask.update((mark, None) for mark in ",." if mark not in known)
-        new = list(ask)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, encoding in zip(part, self._library.encode_batch(part, add_special_tokens=False), strict=True):
+        words, others = [], []
+        for piece in ask:
+            (words if piece[:1] == " " and piece[1:].isalpha() else others).append(piece)
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            ids = self._together(part)
+            if ids is None:
+                others += part
+            else:
+                known.update(zip(part, ids, strict=True))
+        for i in range(0, len(others), AT_ONCE):
+            part = others[i : i + AT_ONCE]
+            for piece, encoding in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = array("I", encoding.ids).tobytes()
         for piece in marked:
             known[piece] = known[piece[:-1]] + known[piece[-1]]
