@@ -145,7 +145,10 @@ class TextEncoder:
         return not text.isascii() and self._rare_space(text) is not None
 
     def ids(self, text: str) -> bytes:
-        pieces = self._cut(text) if self._beside_space(text) else text.split(" ")
+        spaced = self._beside_space(text)
+        if not spaced and "\0" not in text:
+            return b"".join(map(self._pieces.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        pieces = self._cut(text) if spaced else text.split(" ")
         rest = [" " + piece for piece in pieces[1:]]
         return self._pieces[pieces[0]] + b"".join(map(self._pieces.__getitem__, rest))
 
@@ -161,18 +164,22 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
 
 
 @lru_cache(2)
-def _vocabulary(path: str) -> list[bytes]:
+def _vocabulary(path: str) -> pa.Array:
     ranks = read_ranks(path)
     known = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         known[rank] = token
-    return known
+    return pa.array(known, pa.binary())
 
 
-def decode_tree(ids: list[int], vocabulary: list[bytes]) -> bytes:
+def decode_tree(ids: np.ndarray, vocabulary: pa.Array) -> bytes:
     """The bytes of the tokens, concatenated up a tree of halves."""
     if len(ids) <= DECODE_LEAF:
-        return b"".join(map(vocabulary.__getitem__, ids))
+        if not len(ids):
+            return b""
+        # A column's bytes lie one after the other.
+        _, ends, data = vocabulary.take(pa.array(ids, pa.int32())).buffers()
+        return data[: np.frombuffer(ends, "<i4")[len(ids)]].to_pybytes()
     middle = len(ids) // 2
     return decode_tree(ids[:middle], vocabulary) + decode_tree(ids[middle:], vocabulary)
 
@@ -203,7 +210,7 @@ def encode(docs: DataFrame, key: str, text: str = "text", path: str | None = Non
         columns = {"key": batch.column(0), "ids": _ids_array(data)}
         if decoded:
             vocabulary = _vocabulary(path)
-            columns["decoded"] = pa.array([decode_tree(np.frombuffer(d, "<i4").tolist(), vocabulary) for d in data], pa.binary())
+            columns["decoded"] = pa.array([decode_tree(np.frombuffer(d, "<i4"), vocabulary) for d in data], pa.binary())
         return pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[key].dataType.simpleString()
@@ -217,7 +224,7 @@ def decode(tokens: DataFrame, key: str, ids: str = "ids", path: str | None = Non
 
     def work(batch):
         vocabulary = _vocabulary(path)
-        data = [decode_tree(row or [], vocabulary) for row in batch.column(1).to_pylist()]
+        data = [decode_tree(np.array(row or [], "i4"), vocabulary) for row in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["key", "ids", "decoded"])
 
     kind = tokens.schema[key].dataType.simpleString()

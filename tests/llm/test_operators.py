@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +510,55 @@ def test_language_model_gradients():
     some = [r.integers(0, 61, n) for n in lengths]
     together = gated_lm.text_scores(network, some)
     assert np.allclose(together, [gated_lm.text_scores(network, [s])[0] for s in some], rtol=1e-4)
+
+
+def test_scores_of_texts_do_not_depend_on_their_neighbours():
+    r = np.random.default_rng(1)
+    words, counts = ["\n", *[f"w{i}" for i in range(3000)]], np.arange(3001, 0, -1)
+    network = gated_lm.Network(gated_lm.Vocabulary(words, counts, int(counts.sum()), 3001, np.ones((gated_lm.BUCKETS, 2), "i8")))
+    some = [r.integers(0, 1600, n) for n in r.integers(1, 200, 60)]
+    together, alone = gated_lm.text_scores(network, some), [gated_lm.text_scores(network, [one])[0] for one in some]
+    assert np.allclose(together, alone, rtol=1e-11, atol=0)
+
+
+def test_words_in_a_column_are_the_words_of_each_text():
+    some = ["", None, " a  b\t", "A\x0b\x0c\r\nb\x1cc\u0085d É", "  ", "x", *(t for _, t in ODD)]
+    words, counts = gated_lm.words_in(pa.array(some, pa.string()))
+    want = [gated_lm.words_of(t or "") for t in some]
+    assert counts.tolist() == [len(w) for w in want] and words.to_pylist() == [x.decode() for w in want for x in w]
+    names, rows = np.array([3, 1, 3, 3, 9, 3, 3, 1, 70_000]), np.arange(18.0).reshape(9, 2)
+    for few in (names, names[:8]):
+        found, sums = gated_lm._sums_by(few, rows[: len(few)])
+        assert found.tolist() == sorted(set(few.tolist())) and np.allclose(sums, [rows[: len(few)][few == name].sum(axis=0) for name in found])
+
+
+def test_new_words_go_through_the_library_together(monkeypatch):
+    tokenizer = packing.TextTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeionrst中éß") for _ in range(r.randint(1, 12)))
+    some = [" ".join(word() + r.choice(["", "", ",", ".", "<|endoftext|>", "\0"]) for _ in range(r.randint(0, 300))) for _ in range(20)]
+    some += [t for _, t in texts()]
+    library, want = tokenizer._library, []
+    for t in some:
+        want.append(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+    assert tokenizer.ids(some) == want
+    # As many calls as there are bounded lots, not one text a word.
+    words = list({" " + word() for _ in range(3000)})
+    assert b"".join(tokenizer._together(words)) == np.array(library.encode("".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    # Where a token went over the end of a piece, pieces go one by one.
+    tokenizer._sizes = tokenizer._sizes * 0 + 1
+    assert tokenizer._together(words) is None
+    fresh = packing.TextTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    monkeypatch.setattr(fresh, "_together", lambda pieces: None)
+    assert fresh.ids(some) == want
+
+
+def test_decoding_takes_tokens_as_a_column():
+    ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
+    vocabulary, r = bpe._vocabulary(public_tokenizers.path(bpe.RANKS)), random.Random(4)
+    assert isinstance(vocabulary, pa.Array)
+    by_id = {i: token for token, i in ranks.items()}
+    for n in (0, 1, 5, bpe.DECODE_LEAF, bpe.DECODE_LEAF + 1, 3 * bpe.DECODE_LEAF + 7):
+        ids = [r.choice([*range(300), len(ranks) - 1]) for _ in range(n)]
+        ids = [i for i in ids if i in by_id]
+        assert bpe.decode_tree(np.array(ids, "i4"), vocabulary) == b"".join(by_id[i] for i in ids)
