@@ -179,3 +179,11 @@ def test_files_are_written_and_found(spark, tmp_path):
 
 def test_an_empty_markdown_folder_is_found_empty(spark, tmp_path):
     assert corpus.scan_corpus(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_a_dictionary_is_read_once(spark, tmp_path):
+    """Its two sections were two scans of one file, of which the relations are most."""
+    (tmp_path / "d.json").write_text('{"acronimos": {"AB": {"definicion": "a b", "archivos": ["x"]}, "C": null}}\n{"terminos": {"t": {"ocurrencias": 3, "conexiones": ["AB"]}}}\n{"relaciones": []}\n')
+    found = corpus.scan_dictionary(spark, str(tmp_path), lines=True)
+    assert sorted(tuple(row) for row in found.collect()) == [("acronimo", "AB", 0, "a b", None, ["x"], None, None), ("acronimo", "C", 0, None, None, None, None, None), ("termino", "t", 0, None, 3, None, ["AB"], None)]
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
